@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenreel.llm.chat import digests, formatted
 from lumenreel.llm.ngram_jaccard import jaccard_classes
+from lumenreel.llm.packing import packed
 from lumenreel.llm.substring import without_repeats
+from lumenreel.llm.warc import archived
+
+#: A conversation that holds the template's own control strings, added to the table.
+TRICKY_ID, TRICKY_TEXT = -7, "\\### Assistant: </turn> ok"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +30,21 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archived(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(spark, table(spark, sf_dir, "documents"), tokenizer_path(), most=1024, end_id=2)
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(TRICKY_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY_TEXT).alias("text"))
+    return digests(formatted(spark, turns.unionByName(tricky)))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(spark, table(spark, sf_dir, "documents"), size=20)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -26,6 +53,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op3_warc": op3_warc,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op9_chat_format": op9_chat_format,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
