@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.llm.chat import digests, formatted
+from lumenreel.llm import line_dedup
 from lumenreel.llm.ngram_jaccard import jaccard_classes
 from lumenreel.llm.packing import packed
+from lumenreel.llm.quality import judged
 from lumenreel.llm.substring import without_repeats
 from lumenreel.llm.warc import archived
 
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "n_lines", "n_removed", "text")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_classes(spark, table(spark, sf_dir, "documents"), percent=85, size=4)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -35,6 +42,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"), tokenizer_path(), most=1024, end_id=2)
 
@@ -52,8 +64,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_warc": op3_warc,
+        "op4_quality_rules": op4_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op9_chat_format": op9_chat_format,
         "op10_substring_dedup": op10_substring_dedup,
@@ -61,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL}
