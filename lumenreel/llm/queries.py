@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.llm.chat import digests, formatted
-from lumenreel.llm import line_dedup
+from lumenreel.llm import decontam, line_dedup
 from lumenreel.llm.ngram_jaccard import jaccard_classes
 from lumenreel.llm.packing import packed
 from lumenreel.llm.quality import judged
+from lumenreel.llm.sharding import sharded
 from lumenreel.llm.substring import without_repeats
 from lumenreel.llm.warc import archived
 
@@ -51,6 +52,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"), tokenizer_path(), most=1024, end_id=2)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(spark, table(spark, sf_dir, "documents"), shards=40)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(F.lit(TRICKY_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY_TEXT).alias("text"))
@@ -69,10 +78,12 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_quality_rules": op4_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_decontamination": op7_decontamination,
+        "op8_sharding": op8_sharding,
         "op9_chat_format": op9_chat_format,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL}
