@@ -10,6 +10,7 @@ from lumenreel.llm import decontam, line_dedup
 from lumenreel.llm.ngram_jaccard import jaccard_classes
 from lumenreel.llm.packing import packed
 from lumenreel.llm.quality import judged
+from lumenreel.llm.secrets import scanned
 from lumenreel.llm.sharding import sharded
 from lumenreel.llm.substring import without_repeats
 from lumenreel.llm.warc import archived
@@ -48,6 +49,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 6).alias("score"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, table(spark, sf_dir, "documents"), tokenizer_path(), most=1024, end_id=2)
 
@@ -77,6 +82,7 @@ def queries() -> dict:
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_warc": op3_warc,
         "op4_quality_rules": op4_quality_rules,
+        "op5_secret_scans": op5_secret_scans,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_decontamination": op7_decontamination,
         "op8_sharding": op8_sharding,
