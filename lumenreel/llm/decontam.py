@@ -46,7 +46,9 @@ def with_hashes(df: DataFrame, text: str, size: int, out: str) -> DataFrame:
 def with_shingles(df: DataFrame, text: str, size: int, out: str) -> DataFrame:
     """df with `out`: the distinct shingles of a text themselves."""
     held = df.withColumn("_words", plain_words(F.col(text)))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice("_words", i, size), " "))
+    # get() takes a place in a row's array as it is, where slice() would copy the whole array for each place
+    shingle = lambda i: F.concat_ws(" ", *[F.get(F.col("_words"), i + k) for k in range(size)])
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_words") - size, F.lit(0))), shingle)
     found = F.when(F.size("_words") > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
     return held.withColumn(out, found).drop("_words")
 
@@ -67,7 +69,8 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, containmen
     rows = sketch.count()
     wanted = sketch.select("hash").distinct()
     texts = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    shown = with_hashes(texts, "text", size, "hashes").select("doc_id", F.explode("hashes").alias("hash")).filter(F.col("hash") <= highest)
+    # the outer form: for the inner one, a filter on the array would be pushed down and make the array many times
+    shown = with_hashes(texts, "text", size, "hashes").select("doc_id", F.explode_outer("hashes").alias("hash")).filter(F.col("hash") <= highest)
     if rows <= broadcast_rows:
         found = shown.join(F.broadcast(wanted), "hash")
         found = found.distinct().join(F.broadcast(sketch), "hash")

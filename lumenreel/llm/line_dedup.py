@@ -33,7 +33,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
     """(host, hashes) of each host with boilerplate."""
     total = F.count(F.lit(1))
     hosts = pages.groupBy(F.col(host).alias(HOST)).agg(total.alias("pages"))
-    found = pages.select(F.col(host).alias(HOST), F.explode(F.array_distinct(F.transform(lines(F.col(text)), line_hash))).alias("line"))
+    found = pages.select(F.col(host).alias(HOST), F.explode_outer(F.array_distinct(F.transform(lines(F.col(text)), line_hash))).alias("line"))
     counts = found.filter("line is not null").groupBy(HOST, "line").agg(total.alias("n")).filter(F.col("n") >= min_pages)
     counts = counts.withColumnRenamed(HOST, "_h")
     often = counts.join(hosts, F.col("_h").eqNullSafe(F.col(HOST))).filter(F.col("n") > F.col("pages") * F.lit(ratio))

@@ -38,7 +38,7 @@ def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     hashed = docs.select(ngram_hashes(F.col(text)).alias("h"))
     previous = F.concat(F.array(F.lit(None).cast("long")), F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))))
     # single tokens and pairs in one pass: the pair with the token before; the first pairs with nothing
-    both = hashed.select(F.explode(F.arrays_zip(F.col("h"), previous.alias("p"))).alias("x")).select(F.col("x.h").alias("h"), F.col("x.p").alias("p"))
+    both = hashed.select(F.explode_outer(F.arrays_zip(F.col("h"), previous.alias("p"))).alias("x")).select(F.col("x.h").alias("h"), F.col("x.p").alias("p")).filter("h is not null")
     each = both.select(F.explode(F.array(F.pmod("h", F.lit(buckets)), F.pmod(F.xxhash64("p", "h"), F.lit(buckets)))).alias("bucket")).select(F.col("bucket").cast("int"))
     return each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
