@@ -364,7 +364,7 @@ def test_pipeline(spark, tmp_path):
     docs = [(i, f"shared header line of the site\n{' '.join(words(120, i))}", "en", f"s{i % 2}", None) for i in range(40)] + junk
     docs += [(100, docs[7][1] + " tail", "en", "s1", None), (101, f"{' '.join(words(60, 77))} {item} {' '.join(words(20, 78))}", "en", "s0", None)]
     spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(d[0], int(d[0] not in range(500, 505)), 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     at, seen = spark.createDataFrame(docs, DOCS), []
     for name, stage in p.STAGES[:-1]:
