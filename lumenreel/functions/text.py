@@ -40,6 +40,18 @@ def unicode_tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
+def plain_query_tokens(value: str) -> list[str]:
+    """unicode_tokens() of a query, on the driver: runs of letters, numbers and private-use characters."""
+    out, run = [], ""
+    for c in _fold(value) + " ":
+        if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co":
+            run += c
+        elif run:
+            out.append(run)
+            run = ""
+    return out
+
+
 def distinct_tags(*parts: Column) -> Column:
     """Trimmed non-empty distinct values of arrays and strings, in order of first appearance."""
     arrays = [F.coalesce(p, F.array().cast(NO_STRINGS)) for p in parts]

@@ -97,24 +97,3 @@ def from_blob(blobs: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BinaryType())
 def to_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
-
-
-def hashing_embedder(size: int = 64):
-    """An offline embedder: signed counts of hashed tokens, of length 1; a stand-in for a model behind the same call."""
-    import xxhash
-
-    def one(text: str | None) -> list[float] | None:
-        if text is None:
-            return None
-        out = np.zeros(size)
-        for word in text.lower().split():
-            h = xxhash.xxh3_64_intdigest(word)
-            out[h % size] += 1 if h >> 63 else -1
-        n = np.sqrt(out @ out)
-        return (out / n if n else out).tolist()
-
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return embed

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.functions import enrich, paths, text
-from lumenreel.operators import facets, filters, fts, hierarchy, intervals, lifecycle, search, segments, sync, vector
+from lumenreel.operators import embedding, facets, filters, fts, hierarchy, intervals, lifecycle, search, segments, sync, vector
 from lumenreel.sources import files
 from lumenreel.streaming import events as ev
 
@@ -437,7 +437,7 @@ query("timecodes", "SELECT event_id, printf('%d:%02d', (event_id // 60)::INTEGER
 query("locale_names", "SELECT doc_id, CASE lang WHEN 'fr' THEN 'fr_FR' WHEN 'de' THEN 'de_DE' WHEN 'es' THEN 'es_ES' ELSE 'en_US' END AS locale FROM documents")(lambda t: t.documents.select("doc_id", enrich.locale(F.concat(F.upper("lang"), F.lit("-xx"))).alias("locale")))
 query("file_hashes")(lambda t: t.documents.select("doc_id", files.content_hash(F.encode("text", "utf-8")).alias("file_hash")))
 query("path_hashes")(lambda t: t.pages.select("page_id", text.path_hashes("url").alias("hash")))
-query("embed_texts")(lambda t: t.documents.select("doc_id", vector.hashing_embedder(64)("text").alias("embedding")))
+query("embed_texts")(lambda t: t.documents.select("doc_id", embedding.embedded(embedding.HashingProvider(64), F.col("text")).alias("embedding")))
 
 # --- events -----------------------------------------------------------------------------------------------------
 

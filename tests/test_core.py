@@ -374,3 +374,39 @@ def test_entry_without_the_corpus_subpackage(monkeypatch):
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("lumenreel.llm", "corpus_pipeline")) else find(name, *a))
     names = e.queries()
     assert "hybrid_search" in names and not any(n.startswith("op") or n == "pipeline" for n in names) and set(e.oracle_sql()) <= set(names)
+
+
+def test_registry_and_options(spark):
+    from lumenreel.functions import registry
+
+    assert set(registry.response_schema()["properties"]) == set(registry.columns()) and "subjects array<string>" in registry.record_type()
+    assert registry.update_sql("clips", "clip_id").count("?") == 11 and all(c in registry.prompt() for c in registry.columns())
+    got = one(spark, registry.options(F.lit('{"skip_stt": true, "orphaned_retention_days": 7}')))
+    assert tuple(got) == (True, False, False, "balanced", 7) and tuple(one(spark, registry.options(F.lit(None).cast("string")))) == (False, False, False, "balanced", 30)
+
+
+def test_embedding(spark):
+    from lumenreel.operators import embedding
+
+    clips = spark.createDataFrame([(1, "a b", None, None), (2, " ", None, None), (3, "c", [1.0], "hashing-8"), (4, "a b", [9.0], "other")], "clip_id long, t string, embedding array<float>, embedding_model string")
+    got = {r.clip_id: r for r in embedding.fill_embeddings(clips, embedding.HashingProvider(8), F.col("t")).collect()}
+    assert got[3].embedding == [1.0] and got[2].embedding is None and got[2].embedding_model is None
+    assert got[1].embedding == got[4].embedding and len(got[1].embedding) == 8 and got[4].embedding_model == "hashing-8"
+    words = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "word string, embedding array<float>")
+    means = {r.clip_id: r.embedding for r in embedding.text_embeddings(clips.select("clip_id", "t"), words, "clip_id", "t").collect()}
+    assert means == {1: [0.5, 0.5], 4: [0.5, 0.5]}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lumenreel import __main__ as cli
+
+    root = str(tmp_path / "lib")
+    for command in ("init", "insert-mock", "embed", "facets"):
+        cli.main([command, "--root", root])
+    assert [r.clip_id for r in cli.found(spark, root, "海滩", "fts", 5).collect()] == [1, 2]
+    assert cli.found(spark, root, "waves peaceful", "auto", 5).first().clip_id == 2
+    cli.main(["search", "--root", root, "--query", "forest"])
+    assert "forest_morning.mp4" in capsys.readouterr().out
+    (tmp_path / "log").write_text("Duration: 00:01:00.00\npts_time:20\npts_time:20.1\n")
+    cli.main(["segments", "--root", root, "--log", str(tmp_path / "log")])
+    assert "20.0" in capsys.readouterr().out
