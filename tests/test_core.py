@@ -404,7 +404,7 @@ def test_command_line(spark, tmp_path, capsys):
     for command in ("init", "insert-mock", "embed", "facets"):
         cli.main([command, "--root", root])
     assert [r.clip_id for r in cli.found(spark, root, "海滩", "fts", 5).collect()] == [1, 2]
-    assert cli.found(spark, root, "waves peaceful", "auto", 5).first().clip_id == 2
+    assert cli.found(spark, root, "waves peaceful", "fts", 5).first().clip_id == 2
     cli.main(["search", "--root", root, "--query", "forest"])
     assert "forest_morning.mp4" in capsys.readouterr().out
     (tmp_path / "log").write_text("Duration: 00:01:00.00\npts_time:20\npts_time:20.1\n")
