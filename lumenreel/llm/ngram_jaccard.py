@@ -13,8 +13,10 @@ partner, in the next one. For each band `allocate` weighs two ways by cost:
 
 Equal sets share a node id and travel once for each batch. Signatures are packed in numpy by bucket, one binary row
 for each bucket and batch, and grouped by sorting. A list of nodes with a common signature first gives links to one
-centre, which are verified on the sets themselves; lists whose nodes are then in one class are done, and only
-pairs of different classes are verified after that. No pair of one list is left out: the result is exact.
+centre, which are verified on the sets themselves; then to a member of the list's largest class. Lists whose nodes are
+then in one class are done, and only pairs of different classes are verified after that. No pair of one list is left out: the result is exact. Before
+sets are fetched, a pair's parity bitmaps are compared: each element flips one bit, so the number of different bits
+is at most the number of different elements, and a pair with more than the threshold allows is no link.
 
 Nulls: a null text is an empty set; a null id gets a null class and links with nothing. Rows that share an id are
 one document with several texts: a link of one of them counts for all. Extra columns are ignored.
@@ -74,7 +76,7 @@ def allocate(percent: int, high: int, documents: int) -> tuple[str, int, int]:
         segments = differ + 1 + slack
         empty = segments * math.exp(-high / segments)
         tail = 1 - sum(math.exp(-empty) * empty**i / math.factorial(i) for i in range(slack + 1))
-        if tail < max(1e-4, 0.3 / math.sqrt(documents + 1)):
+        if tail < 0.01 / math.sqrt(documents + 1):
             break
     whole = segments * (1 + chance(high / segments))
     return ("less", halves, 0) if less < whole else ("whole", segments, slack)
@@ -119,15 +121,43 @@ def shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[lis
         yield batch.column(0).to_pylist(), [shingle_set(t.lower().split(), hashes, size) for t in texts]
 
 
+def parities(found: np.ndarray) -> bytes:
+    """A set's parity bitmap: a power of two of bits, at least two for each element."""
+    bits = 64
+    while bits < 2 * len(found):
+        bits *= 2
+    at = (mixed(found ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of the least of their lengths; the halves of a longer one are joined by exclusive or."""
+    least = min(map(len, maps))
+    out = np.empty((len(maps), least), np.uint8)
+    for i, m in enumerate(maps):
+        row = np.frombuffer(m, np.uint8)
+        while len(row) > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out.view(np.uint64)
+
+
+def may_link(one: np.ndarray, two: np.ndarray, size_one, size_two, percent: int) -> np.ndarray:
+    """Whether bitmaps leave it open that sets of these sizes reach the threshold."""
+    differ = np.bitwise_count(one ^ two).sum(axis=-1, dtype=np.int64)
+    return differ * (100 + percent) <= (size_one + size_two) * (100 - percent)
+
+
 def membership(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, n_shingles) of each row."""
+    """(doc_id, node, n_shingles, bits) of each row."""
 
     def run(batches):
         for ids, sets in shingled(batches, size):
             nodes = [node_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "n_shingles"])
+            bits = [parities(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "node", "n_shingles", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long")
+    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long, bits binary")
 
 
 def packed_signatures(docs: DataFrame, size: int, percent: int, buckets: int, counts: dict[int, int], top: int) -> DataFrame:
@@ -213,43 +243,106 @@ def close(percent: int):
     return 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
 
 
-def spokes(found: DataFrame, percent: int) -> DataFrame:
+def spokes(found: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list's centre and each of its other nodes."""
     pairs = found.select(F.element_at("nodes", 1).alias("one"), F.element_at("sizes", 1).alias("size_a"), F.explode(F.slice(F.arrays_zip("nodes", "sizes"), 2, CHUNK)).alias("x"))
     pairs = pairs.select("one", F.col("x.nodes").alias("two"), "size_a", F.col("x.sizes").alias("size_b"))
-    return pairs.filter((F.col("one") != F.col("two")) & close(percent)).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    pairs = pairs.filter((F.col("one") != F.col("two")) & close(percent)).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    both = pairs.join(maps.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("size").alias("s")), "a")
+    both = both.join(maps.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("size").alias("t")), "b").select("a", "b", "x", "y", "s", "t")
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                one, two = folded([x, y])
+                keep.append(bool(may_link(one, two, s, t, percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
 
+def crossing(found: DataFrame, labels: DataFrame, maps: DataFrame, percent: int, rays_only: bool = False) -> DataFrame:
+    """Pairs of a list's nodes in different classes that may be links.
 
-def crossing(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's nodes in different classes that were not yet tried."""
+    With rays_only, only pairs of one member of a list's largest class and each node of other classes: at most a row for
+    each member, and a centre of its own for each list, so a node that has many lists meets many centres.
+    """
     members = found.select("list", "chunk", F.explode(F.arrays_zip("nodes", "sizes", "roles")).alias("x"))
     members = members.select("list", "chunk", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size"), F.col("x.roles").alias("role"))
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = members.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("list")
-    chunks = members.join(several, "list").groupBy("list", "chunk").agg(F.collect_list(F.struct("node", "size", "role", "label")).alias("members"))
+    mapped = members.join(several, "list").join(maps.select("node", "bits"), "node")
+    chunks = mapped.groupBy("list", "chunk").agg(F.collect_list(F.struct("node", "size", "role", "label", "bits")).alias("members"))
+    if rays_only:
+        blocks = chunks.select(F.col("members").alias("m1"), F.col("list"))
     left = chunks.select("list", F.col("chunk").alias("c1"), F.col("members").alias("m1"))
     right = chunks.select("list", F.col("chunk").alias("c2"), F.col("members").alias("m2"))
-    blocks = left.join(right, "list").filter("c1 <= c2").select("c1", "c2", "m1", "m2")
+    if not rays_only:
+        blocks = left.join(right, "list").filter("c1 <= c2").select("m1", "m2")
 
     def run(batches):
+        tried: set[tuple[int, int]] = set()
         for batch in batches:
-            for row in batch.to_pylist():
-                one, two = ({k: np.array([m[k] for m in row[side]]) for k in ("node", "size", "role", "label")} for side in ("m1", "m2"))
-                tried = set()
-                for i in range(len(one["node"])):
-                    fits = two["label"] != one["label"][i]
-                    fits &= 100 * np.minimum(two["size"], one["size"][i]) >= percent * np.maximum(two["size"], one["size"][i])
-                    fits &= (two["role"] % 2 == 0) | (one["role"][i] % 2 == 0)
-                    fits &= (two["role"] < 2) | (one["role"][i] < 2)
-                    a = int(one["node"][i])
-                    tried.update((min(a, b), max(a, b)) for b in two["node"][fits].tolist())
-                if tried:
-                    a, b = zip(*tried, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            one, two = batch.column(0), batch.column(1)
+            for i in range(batch.num_rows):
+                tried.update(rays(members_of(one, i), two[i].as_py(), percent) if rays_only else across(members_of(one, i), members_of(two, i), percent))
+                if len(tried) > 50_000:
+                    yield arrow_pairs(tried)
+                    tried = set()
+        if tried:
+            yield arrow_pairs(tried)
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
+def arrow_pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def members_of(column: pa.ListArray, i: int) -> dict:
+    """One row's members as numpy columns, bitmaps as bytes."""
+    structs = column.slice(i, 1).flatten()
+    out = {k: v.to_numpy() for k, v in zip(("node", "size", "role", "label"), structs.flatten()[:4], strict=True)}
+    return out | {"bits": structs.flatten()[4].to_pylist()}
+
+
+def rays(members: dict, salt: int, percent: int) -> set[tuple[int, int]]:
+    """Pairs of one member of the largest class and each node of other classes that may be links."""
+    labels, counts = np.unique(members["label"], return_counts=True)
+    common = members["label"] == labels[np.argmax(counts)]
+    order = mixed(members["node"].astype(np.uint64) ^ np.uint64(salt & (2**64 - 1)))
+    centre = np.flatnonzero(common)[np.argmin(order[common])]
+    maps, others = folded(members["bits"]), np.flatnonzero(~common)
+    sizes = members["size"].astype(np.int64)
+    near = others[may_link(maps[others], maps[centre], sizes[others], sizes[centre], percent)]
+    a = int(members["node"][centre])
+    return {(min(a, b), max(a, b)) for b in members["node"][near].tolist()}
+
+
+def across(one: dict, two: dict, percent: int) -> set[tuple[int, int]]:
+    """Pairs of members of two chunks with different labels that may be links.
+
+    Most members have one label; pairs are walked through from the members of other labels, so a large class with
+    few strangers costs little.
+    """
+    maps = folded([*one["bits"], *two["bits"]])
+    m1, m2 = maps[: len(one["node"])], maps[len(one["node"]) :]
+    labels, counts = np.unique(np.concatenate([one["label"], two["label"]]), return_counts=True)
+    common = labels[np.argmax(counts)]
+    out: set[tuple[int, int]] = set()
+    for (x, mx), (y, my) in (((one, m1), (two, m2)), ((two, m2), (one, m1))):
+        for i in np.flatnonzero(x["label"] != common).tolist():
+            near = (y["label"] != x["label"][i]) & ((y["role"] % 2 == 0) | (x["role"][i] % 2 == 0)) & ((y["role"] < 2) | (x["role"][i] < 2))
+            near &= 100 * np.minimum(y["size"], x["size"][i]) >= percent * np.maximum(y["size"], x["size"][i])
+            near = np.flatnonzero(near)
+            near = near[may_link(my[near], mx[i], y["size"][near].astype(np.int64), int(x["size"][i]), percent)]
+            a = int(x["node"][i])
+            out.update((min(a, b), max(a, b)) for b in y["node"][near].tolist())
+    return out
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a")
@@ -287,24 +380,28 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
     counts = {r["band"]: 1 << int(r["count"]).bit_length() for r in per_band.toLocalIterator()}
     found = scratch.keep(lists(packed_signatures(docs, size, percent, partitions, counts, top), partitions), "lists")
     nodes = found.select(F.explode("nodes").alias("node")).distinct()
-    wanted = members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
+    maps = members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
+    maps = scratch.keep(maps.filter("doc_id is not null"), "maps")
 
     def elements(batches):
-        for ids, sets in shingled(batches, size):
+        for _, sets in shingled(batches, size):
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
-    chosen = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
-    sets = chosen.mapInArrow(elements, "node long, elements binary").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    # a shuffle at any size: the ids grow with the input, and texts of one id are few
+    chosen = docs.join(maps.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = chosen.mapInArrow(elements, "node long, elements binary").join(maps.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = scratch.keep(sets, "sets")
-    first = scratch.keep(verified(spokes(found, percent), sets, percent), "spokes")
-    labels = components(first, scratch)
-    second = scratch.keep(verified(crossing(found, labels, percent), sets, percent), "crossing")
-    scratch.drop(found, sets)
+    links = scratch.keep(verified(spokes(found, maps, percent), sets, percent), "spokes")
+    for rays_only, name in ((True, "rays"), (False, "crossing")):
+        labels = components(links, scratch)
+        more = scratch.keep(verified(crossing(found, labels, maps, percent, rays_only), sets, percent), name)
+        links = links.select("a", "b").union(more.select("a", "b"))
+    scratch.drop(sets)
+    scratch.drop(found, maps)
     # links of rows that share an id
     repeated = members.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     shared = members.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
-    links = first.select("a", "b").union(second.select("a", "b")).union(shared)
-    labels = components(links, scratch).withColumnRenamed("label", "class")
+    labels = components(links.union(shared), scratch).withColumnRenamed("label", "class")
     classed = members.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = classed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = classed.join(least, "class", "left")
@@ -319,6 +416,6 @@ def first_of_class(spark: SparkSession, docs: DataFrame, percent: int = 80, size
     """
     classes = jaccard_classes(spark, docs, percent, size)
     gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
+    rest = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
     with_id = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return with_id.unionByName(rest.filter("doc_id is null"))
