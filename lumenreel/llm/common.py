@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,9 @@ class Scratch:
         """Write df and read it back; the result has the attribute scratch_path."""
         path = self.path(name)
         df.write.parquet(path)
+        # shuffle files go when their plans are collected; a long chain of steps must not wait for that
+        gc.collect()
+        self.spark._jvm.System.gc()
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
         return back
@@ -94,19 +98,26 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: One odd multiplier a place, for the hash of a sequence of words.
-PLACES = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+#: An odd multiplier for each doubling, for the hash of a sequence of words.
+DOUBLINGS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def sequence_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each run of `size` consecutive words."""
+    """The hash of each run of `size` consecutive words: runs of powers of two, doubled, and then joined."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(size):
-        total += mixed(hashes[i : i + n] + PLACES[i % 64]) * PLACES[(i + 1) % 64]
-    return mixed(total)
+    total, done, power, k = None, 0, hashes, 0
+    while True:
+        if size >> k & 1:
+            part = power[done : done + n]
+            total = part if total is None else mixed(total * DOUBLINGS[32 + k] + part)
+            done += 1 << k
+        if done == size:
+            return mixed(total + DOUBLINGS[63])
+        step = 1 << k
+        power = mixed(power[:-step] * DOUBLINGS[k] + power[step:])
+        k += 1
 
 
 def binary_column(batch, name: str) -> list[bytes]:

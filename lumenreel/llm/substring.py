@@ -132,17 +132,16 @@ def repeated_in(entries: list[tuple[bytes, bytes]], size: int) -> np.ndarray:
     doc = np.repeat(np.array(docs, np.int64), windows)
     start = np.repeat(np.array(firsts, np.int64), windows) + within
     value = sequence_hashes(mixed(words.astype(np.uint64) + np.uint64(1)), size)[place]
-    order = np.lexsort((start, doc, value))
+    order = np.argsort(value)
     ordered = value[order]
-    same = np.r_[False, ordered[1:] == ordered[:-1]]
+    same = np.r_[False, ordered[1:] == ordered[:-1], False]
     # only windows whose hash occurs twice are looked at further
-    group = np.cumsum(~same) - 1
-    several = np.bincount(group)[group] > 1
-    order, group = order[several], group[several]
+    order = order[same[1:] | same[:-1]]
     if not len(order):
         return np.empty(0, HEAD)
+    order = order[np.lexsort((start[order], doc[order], value[order]))]
+    group = np.cumsum(np.r_[True, value[order][1:] != value[order][:-1]]) - 1
     # rows of a group are in order of place; the first with equal words is the earliest
-    later = np.zeros(len(order), bool)
     head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     first = np.repeat(head, np.diff(np.r_[head, len(order)]))
     equal = np.ones(len(order), bool)
@@ -154,15 +153,16 @@ def repeated_in(entries: list[tuple[bytes, bytes]], size: int) -> np.ndarray:
         for r in rows:
             key, at = words[place[order[r]] : place[order[r]] + size].tobytes(), (doc[order[r]], start[order[r]])
             later[r] = known.setdefault(key, at) != at
-    found = np.zeros(len(order[later]), HEAD)
+    if not later.any():
+        return np.empty(0, HEAD)
+    found = np.zeros(int(later.sum()), HEAD)
     found["doc"], found["start"] = doc[order[later]], start[order[later]]
     found.sort(order=["doc", "start"])
     fresh = np.r_[True, (found["doc"][1:] != found["doc"][:-1]) | (found["start"][1:] > found["start"][:-1] + 1)]
     runs = found[fresh].copy()
-    if len(runs):
-        at = np.flatnonzero(fresh)
-        last = np.r_[at[1:] - 1, len(found) - 1]
-        runs["length"] = found["start"][last] - found["start"][at] + 1
+    at = np.flatnonzero(fresh)
+    last = np.r_[at[1:] - 1, len(found) - 1]
+    runs["length"] = found["start"][last] - found["start"][at] + 1
     return runs
 
 
