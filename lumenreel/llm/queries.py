@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.llm.chat import digests, formatted
-from lumenreel.llm import decontam, line_dedup
+from lumenreel.llm import decontam, line_dedup, oracles
 from lumenreel.llm.ngram_jaccard import jaccard_classes
 from lumenreel.llm.packing import packed
 from lumenreel.llm.quality import judged
@@ -92,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op7_decontamination": decontam.ORACLE_SQL}
+    return dict(oracles.SQL)
