@@ -2,12 +2,13 @@
 
 Method, in DataFrame functions only. Each page's distinct lines are exploded as (host, hash of the line) and counted
 with a partial count before the shuffle; a line is boilerplate if its count exceeds `ratio` of the host's pages and
-reaches `min_pages`. A host's boilerplate has at most (lines of an average page) / ratio members, as each takes up
+reaches `min_pages`. Copies of a page on one host count as one page, else the lines of a much copied page would
+pass for boilerplate and all of it would go. A host's boilerplate has at most (lines of an average page) / ratio members, as each takes up
 that share of the pages' lines, so it is held as one array for each host and joined to the pages by host; no join has
 a row for each line. Lines are compared by a 64-bit hash within one host.
 
 Blank lines stay. Nulls: a null text stays null and counts as a page without lines; a null host is a host of its own.
-Repeated rows are pages of their own. A page whose lines all go has an empty text. Extra columns are kept.
+Repeated rows are copies of a page. A page whose lines all go has an empty text. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -32,15 +33,17 @@ def line_hash(line: Column) -> Column:
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
     """(host, hashes) of each host with boilerplate."""
     total = F.count(F.lit(1))
-    hosts = pages.groupBy(F.col(host).alias(HOST)).agg(total.alias("pages"))
-    found = pages.select(F.col(host).alias(HOST), F.explode_outer(F.array_distinct(F.transform(lines(F.col(text)), line_hash))).alias("line"))
+    one = pages.select(F.col(host).alias(HOST), F.md5(F.encode(F.col(text), "utf-8")).alias("_page"), F.array_distinct(F.transform(lines(F.col(text)), line_hash)).alias("_lines"))
+    one = one.dropDuplicates([HOST, "_page"])
+    hosts = one.groupBy(HOST).agg(total.alias("pages"))
+    found = one.select(HOST, F.explode_outer("_lines").alias("line"))
     counts = found.filter("line is not null").groupBy(HOST, "line").agg(total.alias("n")).filter(F.col("n") >= min_pages)
     counts = counts.withColumnRenamed(HOST, "_h")
     often = counts.join(hosts, F.col("_h").eqNullSafe(F.col(HOST))).filter(F.col("n") > F.col("pages") * F.lit(ratio))
     return often.groupBy(HOST).agg(F.collect_list("line").alias(HASHES))
 
 
-def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.07, min_pages: int = 5) -> DataFrame:
     """pages with `text` less its boilerplate lines, and n_lines and n_removed (blank lines don't count)."""
     often = boilerplate(pages, host, text, ratio, min_pages)
     both = pages.join(often, F.col(host).eqNullSafe(F.col(HOST)), "left").withColumn(HASHES, F.coalesce(HASHES, F.array().cast("array<long>")))
@@ -58,13 +61,13 @@ def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "tex
 
 ORACLE_SQL = r"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
-hosts AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT coalesce(md5(text), '')) AS pages FROM pages GROUP BY source),
 lines AS (
-  SELECT page, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM pages),
+  SELECT page, source, md5(text) AS copy, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM pages),
 bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS b FROM lines),
 often AS (
-  SELECT c.source, c.b FROM (SELECT source, b, count(DISTINCT page) AS n FROM bare WHERE b <> '' GROUP BY source, b) c
-  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n >= 5 AND c.n > h.pages * 0.05::DOUBLE),
+  SELECT c.source, c.b FROM (SELECT source, b, count(DISTINCT copy) AS n FROM bare WHERE b <> '' GROUP BY source, b) c
+  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n >= 5 AND c.n > h.pages * 0.07::DOUBLE),
 marked AS (SELECT bare.*, often.b IS NOT NULL AS gone FROM bare LEFT JOIN often ON bare.source IS NOT DISTINCT FROM often.source AND bare.b = often.b),
 kept AS (
   SELECT page, count(*) FILTER (WHERE b <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,

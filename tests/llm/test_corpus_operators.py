@@ -138,10 +138,10 @@ def test_substring_dedup_small_windows(spark, size):
 def test_line_dedup(spark):
     rows = [(i, f"top {i}\nall rights reserved \n\nbody {i}\nall rights reserved", "en", "a", None) for i in range(20)]
     rows += [(100 + i, "all rights reserved", "en", "b", None) for i in range(3)] + [(200, None, None, None, None), (201, "", None, None, None)]
-    rows += [(300 + i, "footer", None, None, None) for i in range(5)]
+    rows += [(300 + i, f"footer\n{i}", None, None, None) for i in range(5)] + [(400 + i, "copied\npage", "en", "c", None) for i in range(9)] + [(500 + i, f"own {i}", "en", "c", None) for i in range(9)]
     got = {r.doc_id: r for r in line_dedup.without_boilerplate(spark.createDataFrame(rows, DOCS), ratio=0.3).collect()}
     assert got[4].text == "top 4\n\nbody 4" and (got[4].n_lines, got[4].n_removed) == (4, 2)
-    assert got[101].text == "all rights reserved" and got[200].text is None and got[201].text == "" and got[302].text == ""
+    assert got[101].text == "all rights reserved" and got[200].text is None and got[201].text == "" and got[302].text == "2" and got[404].text == "copied\npage"
     assert len(got) == len(rows) and line_dedup.without_boilerplate(empty(spark)).count() == 0
 
 
