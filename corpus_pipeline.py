@@ -17,7 +17,7 @@ from lumenreel.llm.decontam import without_items
 from lumenreel.llm.line_dedup import without_boilerplate
 from lumenreel.llm.ngram_jaccard import first_of_class
 from lumenreel.llm.packing import packed
-from lumenreel.llm.quality import judged
+from lumenreel.llm.quality import kept_rows
 from lumenreel.llm.queries import table, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,7 +25,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and reach the log-likelihood threshold."""
-    return judged(docs, table(spark, sf_dir, "labels")).filter("kept").select(COLUMNS)
+    return kept_rows(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,3 +100,13 @@ def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
     score = F.when(F.size("_grams") > 0, total / (2 * F.size("_grams"))).otherwise(F.lit(0.0))
     held = held.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return held.drop("_grams", "_weights")
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that judged() keeps.
+
+    A plain filter on the verdict would be pushed below the steps that make it, each with the arrays before it made anew
+    for every place; the outer form of explode() keeps the steps apart.
+    """
+    row = F.when(F.col("kept"), F.array(F.struct(*docs.columns)))
+    return judged(docs, labels, **options).select(F.explode_outer(row).alias("_row")).filter("_row is not null").select("_row.*")
