@@ -44,21 +44,27 @@ def encoder(path: str):
     file's own library.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
     special = {t["content"]: t["id"] for t in made["added_tokens"]}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in k): v for k, v in made["model"]["vocab"].items() if k not in special}
     fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    del made, ranks
+
+    @lru_cache(maxsize=1)
+    def own():
+        """The file's own library, which takes much memory, only when it is needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
         try:
             return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), "<u4")
         except Exception:  # noqa: BLE001  the engine's pattern gives up on some very long runs, with errors of its own
-            return np.asarray(own.encode(text, add_special_tokens=False).ids, "<u4")
+            return np.asarray(own().encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
 
@@ -147,7 +153,7 @@ def packed_once(rows: DataFrame, turn: int, parts: int, most: int) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, tokenizer_path: str, most: int = 1024, end_id: int = 2, part_rows: int = PART_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each document."""
-    small_batches(spark, 1000)
+    small_batches(spark)
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     cut_up = scratch.keep(pieces(docs, tokenizer_path, most, end_id), "pieces")
