@@ -251,52 +251,28 @@ def arrow_lists(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["list", "chunk", "nodes", "sizes", "roles"])
 
 
-def with_bits(found: DataFrame, maps: DataFrame) -> DataFrame:
-    """(list, chunk, node, size, role, bits): a row for each member of a list."""
-    members = found.select("list", "chunk", F.explode(F.arrays_zip("nodes", "sizes", "roles")).alias("x"))
-    members = members.select("list", "chunk", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size"), F.col("x.roles").alias("role"))
-    return members.join(maps.select("node", "bits"), "node")
+def close(percent: int):
+    """Whether sizes allow two sets to reach the threshold."""
+    return 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
 
 
-def survey(found: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a list's centre and its other nodes that may be links, and (a, a) for nodes with another such partner.
-
-    What isn't in any row can't be linked with anything, so no set is fetched for it.
-    """
-    several = found.groupBy("list").agg((F.count(F.lit(1)) > 1).alias("cut"))
-    chunks = with_bits(found, maps).groupBy("list", "chunk").agg(F.collect_list(F.struct("node", "size", "role", F.col("role").cast("long").alias("label"), "bits")).alias("members"))
-    rows = chunks.join(several, "list").select("members", "cut")
+def spokes(found: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's centre and each of its other nodes."""
+    pairs = found.select(F.element_at("nodes", 1).alias("one"), F.element_at("sizes", 1).alias("size_a"), F.explode(F.slice(F.arrays_zip("nodes", "sizes"), 2, CHUNK)).alias("x"))
+    pairs = pairs.select("one", F.col("x.nodes").alias("two"), "size_a", F.col("x.sizes").alias("size_b"))
+    pairs = pairs.filter((F.col("one") != F.col("two")) & close(percent)).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    both = pairs.join(maps.select(F.col("node").alias("a"), F.col("bits").alias("x"), F.col("size").alias("s")), "a")
+    both = both.join(maps.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("size").alias("t")), "b").select("a", "b", "x", "y", "s", "t")
 
     def run(batches):
-        tried: set[tuple[int, int]] = set()
         for batch in batches:
-            for i in range(batch.num_rows):
-                tried.update(possible(members_of(batch.column(0), i), batch.column(1)[i].as_py(), percent))
-                if len(tried) > 50_000:
-                    yield arrow_pairs(tried)
-                    tried = set()
-        if tried:
-            yield arrow_pairs(tried)
+            keep = []
+            for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                one, two = folded([x, y])
+                keep.append(bool(may_link(one, two, s, t, percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def possible(members: dict, cut: bool, percent: int) -> set[tuple[int, int]]:
-    """survey() of one chunk of a list; all nodes of a list in several chunks count as having a partner."""
-    maps, nodes, sizes = folded(members["bits"]), members["node"], members["size"].astype(np.int64)
-    first = int(np.lexsort((nodes, members["role"]))[0])
-    out = set()
-    for i in [first, *(j for j in range(len(nodes)) if j != first)]:
-        near = may_link(maps, maps[i], sizes, sizes[i], percent) & (nodes != nodes[i])
-        near &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-        a = int(nodes[i])
-        if i == first:
-            out.update((min(a, b), max(a, b)) for b in nodes[near].tolist())
-        elif cut or near.any():
-            out.add((a, a))
-    if cut:
-        out.add((int(nodes[first]), int(nodes[first])))
-    return out
+    return both.mapInArrow(run, "a long, b long")
 
 
 def crossing(found: DataFrame, labels: DataFrame, maps: DataFrame, percent: int, rays_only: bool = False) -> DataFrame:
@@ -305,9 +281,11 @@ def crossing(found: DataFrame, labels: DataFrame, maps: DataFrame, percent: int,
     With rays_only, only pairs of one member of a list's largest class and each node of other classes: at most a row for
     each member, and a centre of its own for each list, so a node that has many lists meets many centres.
     """
-    members = with_bits(found, maps).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = found.select("list", "chunk", F.explode(F.arrays_zip("nodes", "sizes", "roles")).alias("x"))
+    members = members.select("list", "chunk", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size"), F.col("x.roles").alias("role"))
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     several = members.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("list")
-    mapped = members.join(several, "list")
+    mapped = members.join(several, "list").join(maps.select("node", "bits"), "node")
     chunks = mapped.groupBy("list", "chunk").agg(F.collect_list(F.struct("node", "size", "role", "label", "bits")).alias("members"))
     if rays_only:
         blocks = chunks.select(F.col("members").alias("m1"), F.col("list"))
@@ -392,7 +370,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -422,19 +400,18 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
         for _, sets in shingled(batches, size):
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
-    pairs = scratch.keep(survey(found, maps, percent), "survey")
-    alive = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    alive = scratch.keep(maps.join(alive, "node", "left_semi"), "alive")
     # a shuffle at any size: the ids grow with the input, and texts of one id are few
-    chosen = docs.join(alive.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = chosen.mapInArrow(elements, "node long, elements binary").join(alive.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = scratch.keep(sets, "sets")
-    links = scratch.keep(verified(pairs.filter("a <> b"), sets, percent), "spokes")
+    chosen = docs.join(maps.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    # one document for each node, so sets are written where they are made; ids that are repeated may add rows, which
+    # only repeat a link
+    sets = scratch.keep(chosen.mapInArrow(elements, "node long, elements binary").filter("node is not null"), "sets")
+    links = scratch.keep(verified(spokes(found, maps, percent), sets, percent), "spokes")
     for rays_only, name in ((True, "rays"), (False, "crossing")):
         labels = components(links, scratch)
-        more = scratch.keep(verified(crossing(found, labels, alive, percent, rays_only), sets, percent), name)
+        more = scratch.keep(verified(crossing(found, labels, maps, percent, rays_only), sets, percent), name)
         links = links.select("a", "b").union(more.select("a", "b"))
-    scratch.drop(sets, found, maps, alive, pairs)
+    scratch.drop(sets)
+    scratch.drop(found, maps)
     # links of rows that share an id
     repeated = members.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     shared = members.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
