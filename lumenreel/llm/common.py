@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than these (Java and Python regular expressions).
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Words that a Python worker remembers the hash of, before it starts anew.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 30_000
 #: Spread 64-bit values (fixed odd multipliers).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -68,7 +68,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Bound what one Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
