@@ -1,12 +1,14 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards, and counts stay even.
 
-Method. Documents start in shards of counts at most one apart (a numbering by hash). Links are equal texts: each
-group hangs on its centre. A group larger than part of a shard is first cut into chunks by a hash of the id, so that
-a shard can hold one; copies in different chunks can't all be together in any case. In each round every linked
-document looks, by joins, at its chunk's counts in each shard and asks for the shard that has most of them. Moves are
-granted under quotas: as many documents go from shard a to b as from b to a, first those that asked, then documents
-without links, which lose nothing. So the law `rows` (counts at most one apart) holds after each round. The quotas
-are a table of shards x shards; nothing that grows with the input is broadcast or collected.
+Method. Links are equal texts: each group hangs on its centre. A group of more than a small share of a shard is given
+its home before the first round, largest first, in the shard whose room it fills best; it is cut only where no shard has
+room for all of it, and then as few parts as the rooms allow go to the shards with most room. There are at most shards /
+share such groups, so the driver plans them. All other documents start in what room is left (a numbering by hash), so
+counts are at most one apart. In each round every linked document looks, by joins, at its chunk's counts in each shard
+and asks for the shard that has most of them. Moves are granted under quotas: as many documents go from shard a to b as
+from b to a, first those that asked, then documents without links, which lose nothing. So the law `rows` (counts at
+most one apart) holds after each round. The quotas are a table of shards x shards; nothing that grows with the input
+is broadcast or collected.
 
 Sizes are bytes of the text in UTF-8 plus 16. Nulls: a null text has no links and the size 16; null ids are documents
 like any other. Repeated rows are documents of their own. Extra columns are ignored.
@@ -14,29 +16,59 @@ like any other. Repeated rows are documents of their own. Extra columns are igno
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenreel.llm.common import Scratch, numbered
 
-#: A chunk of copies has about this share of a shard's rows at most.
-CHUNK_SHARE = 0.25
+#: Groups of more than this share of a shard's rows get their home from the driver.
+LARGE_SHARE = 0.05
+
+
+def homes(sizes: list[tuple[str, int]], room: list[int]) -> tuple[list[tuple[str, int, int, int]], list[int]]:
+    """(group, begin, end, shard) of each part of each group's numbered rows, and the room that is left."""
+    left = sorted((n, shard) for shard, n in enumerate(room))
+    out = []
+    for same, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        begin = 0
+        while begin < size:
+            # the least room that is enough, else the most there is
+            n, shard = left.pop(min(bisect_left(left, (size - begin, -1)), len(left) - 1))
+            end = min(size, begin + n)
+            out.append((same, begin, end, shard))
+            insort(left, (n - (end - begin), shard))
+            begin = end
+    return out, [n for n, _ in sorted(left, key=lambda x: x[1])]
 
 
 def start(docs: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
     """(row, doc_id, size, text_crc32, chunk, shard): chunk is null where a document has no link."""
+    spark = docs.sparkSession
     body = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     rows = docs.select("doc_id", (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.when(F.col("text").isNotNull(), F.md5(body)).alias("same"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.keep(rows, "rows")
     total = rows.count()
-    groups = rows.filter("same is not null").groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    most = max(1.0, total / shards * CHUNK_SHARE)
-    joined = rows.join(groups, "same", "left").withColumn("parts", F.ceil(F.col("n") / F.lit(most)).cast("long"))
-    part = F.pmod(F.xxhash64("doc_id", "row"), F.col("parts"))
-    linked = joined.withColumn("chunk", F.when(F.col("n").isNotNull(), F.xxhash64("same", part)))
-    placed = numbered(linked.select("row", "doc_id", "size", "text_crc32", "chunk"), [], [F.xxhash64("row"), F.col("row")], "number", 256)
-    # numbers of one hash are neighbours, so spread the remainder, not the quotient
-    return scratch.keep(placed.withColumn("shard", (F.col("number") % shards).cast("int")).drop("number"), "start")
+    groups = scratch.keep(rows.filter("same is not null").groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    large = groups.filter(F.col("n") > total / shards * LARGE_SHARE).collect()  # at most shards / LARGE_SHARE rows
+    parts, room = homes([(r.same, r.n) for r in large], [total // shards + (k < total % shards) for k in range(shards)])
+    plan = F.broadcast(spark.createDataFrame(parts, "same string, begin long, end long, shard int"))
+    out = ["row", "doc_id", "size", "text_crc32", "chunk", "shard"]
+    order = [F.xxhash64("row"), F.col("row")]
+    planned = numbered(rows.join(plan.select("same").distinct(), "same", "left_semi"), ["same"], order, "number", 64)
+    planned = planned.join(plan, "same").filter("number >= begin and number < end").withColumn("chunk", F.xxhash64("same", "begin"))
+    small = groups.join(plan.select("same").distinct(), "same", "left_anti").select("same", F.xxhash64("same").alias("chunk"))
+    others = rows.join(plan.select("same").distinct(), "same", "left_anti").join(small, "same", "left")
+    # the others' numbers are dealt by the room; cells of numbers make that a join on equal keys
+    width, ends = total // shards + 1, [0]
+    for n in room:
+        ends.append(ends[-1] + n)
+    cells = [(cell, a, b, k) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b for cell in range(a // width, (b - 1) // width + 1)]
+    rooms = F.broadcast(spark.createDataFrame(cells, "cell long, begin long, end long, shard int"))
+    dealt = numbered(others.select("row", "doc_id", "size", "text_crc32", "chunk"), [], order, "number", 256)
+    dealt = dealt.withColumn("cell", F.floor(F.col("number") / width)).join(rooms, "cell").filter("number >= begin and number < end")
+    return scratch.keep(planned.select(out).union(dealt.select(out)), "start")
 
 
 def wishes(placed: DataFrame) -> DataFrame:

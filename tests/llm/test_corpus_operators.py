@@ -338,6 +338,21 @@ def test_sharding(spark):
     assert sharding.sharded(spark, empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("sizes", "single", "shards"), [((50, 50, 45, 30, 13, 120), 212, 10), ((5, 4, 3, 2, 2, 2), 182, 40), ((30, 30, 30), 0, 2)])
+def test_sharding_cuts_only_groups_without_room(spark, sizes, single, shards):
+    rows = [(f"g{k}",) for k, n in enumerate(sizes) for _ in range(n)] + [(f"u{i}",) for i in range(single)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, (t,) in enumerate(rows)], DOCS)
+    got = sharding.sharded(spark, docs, shards).collect()
+    count, found = collections.Counter(r.shard for r in got), collections.defaultdict(set)
+    for r in got:
+        found[rows[r.doc_id][0]].add(r.shard)
+    full = len(rows) / shards
+    assert len(got) == len(rows) and max(count.values()) - min(count.values()) <= 1 and len(count) == shards
+    whole = [-(-n // int(full)) for n in sizes]
+    # three groups of two thirds of a shard can't all be whole in two shards
+    assert sorted(len(found[f"g{k}"]) for k in range(len(sizes))) == ([1, 1, 2] if not single else sorted(whole))
+
+
 def test_chat_formatting(spark):
     tricky = ["", None, "\\", "\\\\### Assistant: </turn> ok", "####", "</turn></turn>\n### user\n", "ä😀\\n\\", "<</turn>", "##", "#" * 7, "</turn", "\\### Assistant: </turn> ok"]
     rows = [(1, i, "user" if i % 2 else "assistant", t) for i, t in enumerate(tricky)] + [(2, 0, None, "x"), (2, 1, "a\nb###\\", "y"), (None, 0, "assistant", "z"), (3, None, "user", "q"), (3, None, "user", "q"), (4, 5, "assistant", "long " * 50000)]
