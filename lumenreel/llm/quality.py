@@ -7,6 +7,13 @@ sends at most `buckets` rows. A document's score is the mean of log(target / raw
 normalised by length, and each document is compared with one fixed threshold. The table of weights has `buckets`
 numbers at any size of the corpus and enters the plan as a scalar subquery.
 
+A mean over all n-grams hides a few bad words in good prose, so toxic documents have a second log ratio: of the share
+of toxic documents that have a token to the share of trusted ones. Tokens of a high ratio that many toxic documents
+have are markers, and a document with a marker isn't kept. Markers are compared by 64-bit hash, not by bucket, as
+plain words share buckets. Rare tokens are no markers however high their ratio, or the words of small languages
+would be. Both sides are of good quality, so junk doesn't enter; there are at most (tokens of an average document) /
+share markers.
+
 Trusted documents are the labelled ones of good quality that aren't toxic, at most `trusted_rows` of them (those with
 the least hash of the id); that bound is what makes their ids safe to broadcast. Counts of the raw corpus and scores
 cover all documents and whole texts. Base rules (words, symbols, repeated lines and windows) come with it.
@@ -26,6 +33,8 @@ from lumenreel.llm.common import words_of
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.3
 #: Labelled documents that the target is fitted on.
 TRUSTED_ROWS = 20_000
+#: A marker is in this share of the labelled toxic documents, in so many, and its log ratio reaches the last number.
+MARKER_SHARE, MARKER_ROWS, MARKER_RATIO = 0.1, 5, 3.0
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
@@ -43,8 +52,8 @@ def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
     return each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def trusted_ids(labels: DataFrame, id_column: str, rows: int) -> DataFrame:
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col(id_column).isNotNull())
+def trusted_ids(labels: DataFrame, id_column: str, rows: int, toxic: int = 0) -> DataFrame:
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == toxic) & F.col(id_column).isNotNull())
     return good.select(F.col(id_column).alias("_trusted")).distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(rows)
 
 
@@ -65,6 +74,19 @@ def weights(docs: DataFrame, labels: DataFrame, id_column: str, text: str, bucke
     return row.select(flatter.alias("weights"))
 
 
+def markers(docs: DataFrame, labels: DataFrame, id_column: str, text: str, trusted_rows: int) -> DataFrame:
+    """One row: `markers`, the hashes of tokens that tell toxic documents from trusted ones."""
+    ids = trusted_ids(labels, id_column, trusted_rows, 1).withColumn("_toxic", F.lit(1)).union(trusted_ids(labels, id_column, trusted_rows).withColumn("_toxic", F.lit(0)))
+    labelled = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_trusted"))
+    sizes = labelled.agg(F.struct(F.coalesce(F.sum("_toxic"), F.lit(0)).alias("x"), F.coalesce(F.sum(1 - F.col("_toxic")), F.lit(0)).alias("t")).alias("sizes")).scalar()
+    # the outer form, for the reason that kept_rows() gives
+    each = labelled.select("_toxic", F.explode_outer(F.array_distinct(ngram_hashes(F.col("_text")))).alias("h")).filter("h is not null")
+    counts = each.groupBy("h").agg(F.sum("_toxic").alias("x"), F.sum(1 - F.col("_toxic")).alias("t")).filter(F.col("x") >= MARKER_ROWS).withColumn("n", sizes)
+    ratio = F.log((F.col("x") + 0.5) / (F.col("n.x") + 1)) - F.log((F.col("t") + 0.5) / (F.col("n.t") + 1))
+    often = counts.filter((F.col("x") >= F.col("n.x") * MARKER_SHARE) & (F.col("n.t") > 0) & (ratio >= MARKER_RATIO))
+    return often.agg(F.array_sort(F.collect_list("h")).alias("markers"))
+
+
 def with_base(docs: DataFrame, text: str) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -92,13 +114,15 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
 
 def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """docs with the base counts, base_failed, score and kept."""
+    marks = markers(docs, labels, id_column, text, trusted_rows).scalar()
     table = weights(docs, labels, id_column, text, buckets, smoothing, trusted_rows).scalar()
     held = with_base(docs, text).withColumn("_grams", ngram_hashes(F.col(text)))
     held = held.withColumn("_weights", table)
     one = lambda h: F.get(F.col("_weights"), F.pmod(h, F.lit(buckets)).cast("int"))
     total = F.aggregate("_grams", F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("last")), lambda a, h: F.struct((a["sum"] + one(h) + one(F.xxhash64(a["last"], h))).alias("sum"), h.alias("last")), lambda a: a["sum"])
     score = F.when(F.size("_grams") > 0, total / (2 * F.size("_grams"))).otherwise(F.lit(0.0))
-    held = held.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    toxic = F.arrays_overlap("_grams", marks)
+    held = held.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & ~toxic)
     return held.drop("_grams", "_weights")
 
 

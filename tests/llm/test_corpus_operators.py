@@ -196,6 +196,23 @@ def test_quality_rules(spark):
     assert quality.judged(docs.drop("score"), labels.limit(0)).filter("score <> 0").count() == 0
 
 
+def test_quality_rules_drop_toxic_prose(spark):
+    bad, rare = ["scum", "moron"], ["langue", "propre"]
+    # 0-39 trusted, 40-69 labelled toxic, two of those in a language of their own; 70-99 unlabelled, every third toxic
+    texts = [words(80, i, 12) for i in range(100)]
+    for i in (*range(40, 68), *range(70, 100, 3)):
+        texts[i][i % 60] = bad[i % 2].upper()
+    for i in (68, 69, 71):
+        texts[i] += rare
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i >= 40)) for i in range(70)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.judged(docs, labels, buckets=64).filter("kept").collect()}
+    assert kept == set(range(100)) - set(range(40, 68)) - set(range(70, 100, 3))
+    assert {r.doc_id for r in quality.kept_rows(docs, labels, buckets=64).collect()} == kept
+    clean = labels.filter("toxic = 0")
+    assert quality.judged(docs, clean, buckets=64).filter("kept").count() == 100
+
+
 def secrets_truth(text):
     text = text or ""
     found = []
