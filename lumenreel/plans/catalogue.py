@@ -375,7 +375,7 @@ def skip_decision(t: Tables) -> DataFrame:
 
 
 query("orphan_recover", "SELECT md5(text) AS file_hash, doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY n_chars DESC, doc_id DESC) = 1")(
-    lambda t: lifecycle.newest_orphans(t.documents.filter("doc_id % 2 = 0").select("doc_id", F.md5(F.encode("text", "utf-8")).alias("file_hash"), F.col("n_chars").alias("orphaned_at"), F.lit("orphaned").alias("index_status")), id_column="doc_id").select("file_hash", "doc_id")
+    lambda t: lifecycle.newest_orphans(t.documents.select("doc_id", F.md5(F.encode("text", "utf-8")).alias("file_hash"), F.col("n_chars").alias("orphaned_at"), F.when(F.col("doc_id") % 2 == 0, "orphaned").otherwise("completed").alias("index_status")), id_column="doc_id").select("file_hash", "doc_id")
 )
 query("cleanup_expired", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 DAYS")(
     lambda t: lifecycle.expired(t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "O", "orphaned").otherwise("completed").alias("index_status"), F.col("o_orderdate").alias("orphaned_at")), F.expr("TIMESTAMP_NTZ'1998-01-01 00:00:00'"), 30).select("o_orderkey")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenreel.functions import enrich, paths, text
 from lumenreel.operators import facets, filters, fts, hierarchy, intervals, lifecycle, search, segments, sync, vector
+from lumenreel.plans import catalogue
 from lumenreel.sources import files
 from lumenreel.streaming import events as ev
 
@@ -332,6 +333,15 @@ def test_lifecycle(spark):
     assert {r.file_path: r.action for r in lifecycle.decided(scan, known, hashes).collect()} == {"/x": "refresh", "/z": "index"} and asked == [1]
 
 
+def test_orphan_recover_takes_the_whole_table(spark, tmp_path, monkeypatch):
+    rows = [(0, "a", 5), (1, "a", 9), (2, "a", 7), (3, "b", 1), (4, "c", 1), (6, None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    taken, own = [], lifecycle.newest_orphans
+    monkeypatch.setattr(lifecycle, "newest_orphans", lambda videos, **options: taken.append(videos) or own(videos, **options))
+    assert sorted(r.doc_id for r in catalogue.queries()["orphan_recover"](spark, str(tmp_path)).collect()) == [2, 4]
+    assert {r.doc_id: r.index_status for r in taken[0].collect()} == {i: "completed" if i % 2 else "orphaned" for i, _, _ in rows}
+
+
 def test_events(spark, tmp_path):
     rows = [(1, "/f/x.mp4", "added", "/f"), (2, "/f/y.mp4", "removed", "/f"), (3, "/f/x.mp4", "modified", "/f"), (4, "/g/z.mp4", "added", "/g"), (5, "/g", "rescan", "/g"), (6, "/f/.clip-index/i.mp4", "added", "/f"), (7, "/f/n.txt", "added", "/f")]
     df = spark.createDataFrame(rows, "seq long, path string, kind string, folder string")
