@@ -334,16 +334,26 @@ query("positional_zip", "WITH a AS (SELECT conv_id, turn, row_number() OVER (PAR
 # --- subtitles --------------------------------------------------------------------------------------------------
 
 
-def subtitles(t: Tables) -> DataFrame:
+def subtitles(t: Tables, said: Column) -> DataFrame:
     start = F.col("turn") * F.lit(7.25)
-    return t.conversations.select("conv_id", F.col("turn").alias("idx"), start.alias("start"), (start + 5.5).alias("end"), F.translate(F.substr("text", F.lit(1), F.lit(30)), "\n", " ").alias("text"))
+    return t.conversations.select("conv_id", F.col("turn").alias("idx"), start.alias("start"), (start + 5.5).alias("end"), said.alias("text"))
+
+
+def opening() -> Column:
+    """The start of a text in one line, as the SQL of srt_format has it."""
+    return F.translate(F.substr("text", F.lit(1), F.lit(30)), "\n", " ")
+
+
+def whole() -> Column:
+    """A whole text with its line ends, less blank lines: one would end the subtitle."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"\n\s*\n", "\n"), r"^\s*\n", "")
 
 
 TIME = "printf('%02d:%02d:%02d,%03d', (x // 3600000)::INTEGER, (x // 60000 % 60)::INTEGER, (x // 1000 % 60)::INTEGER, (x % 1000)::INTEGER)"
 SUBS = "(SELECT conv_id, turn, (turn * 7250)::BIGINT AS a, (turn * 7250 + 5500)::BIGINT AS b, replace(substr(text, 1, 30), chr(10), ' ') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"
-query("srt_format", f"SELECT conv_id, string_agg(n || chr(10) || {TIME.replace('x', 'a')} || ' --> ' || {TIME.replace('x', 'b')} || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM {SUBS} GROUP BY conv_id")(lambda t: files.format_srt(subtitles(t), "conv_id"))
+query("srt_format", f"SELECT conv_id, string_agg(n || chr(10) || {TIME.replace('x', 'a')} || ' --> ' || {TIME.replace('x', 'b')} || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM {SUBS} GROUP BY conv_id")(lambda t: files.format_srt(subtitles(t, opening()), "conv_id"))
 query("srt_parse", f"SELECT conv_id, n::INTEGER AS idx, a / 1000.0::DOUBLE AS start, b / 1000.0::DOUBLE AS \"end\", length(trim(text)) > 0 AS spoken FROM {SUBS}")(
-    lambda t: files.parse_srt(files.format_srt(subtitles(t), "conv_id"), "srt", "conv_id").select("conv_id", "idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), (F.length(F.trim("text")) > 0).alias("spoken"))
+    lambda t: files.parse_srt(files.format_srt(subtitles(t, whole()), "conv_id"), "srt", "conv_id").select("conv_id", "idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), (F.length(F.trim("text")) > 0).alias("spoken"))
 )
 
 # --- synchronisation and lifecycle ------------------------------------------------------------------------------

@@ -220,6 +220,16 @@ def test_srt(spark):
     assert text.path_hash("") == format(5381, "016x") and len(text.path_hash("/a/b" * 40)) == 16
 
 
+def test_srt_parse_meets_whole_texts(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "one line of more than thirty characters, to its end"), (1, 1, "assistant", "first line\n  second\nthird"), (2, 0, "user", "short"), (2, 1, "user", "\n\na\n \n\n  b\n\n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    parsed, own = [], files.parse_srt
+    monkeypatch.setattr(files, "parse_srt", lambda *args: parsed.append(own(*args)) or parsed[-1])
+    got = catalogue.queries()["srt_parse"](spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.idx, r.start, r.end, r.spoken) for r in got) == [(1, 1, 0, 5.5, True), (1, 2, 7.25, 12.75, True), (2, 1, 0, 5.5, True), (2, 2, 7.25, 12.75, True)]
+    assert sorted((r.conv_id, r.idx, r.text) for r in parsed[0].collect()) == [*((c, n + 1, t) for c, n, _, t in rows[:3]), (2, 2, "a\n  b")]
+
+
 def test_logs_and_json(spark):
     assert one(spark, files.log_cuts(F.lit("x pts_time:12.5 y\npts_time: 3 z"))) == [3.0, 12.5]
     assert one(spark, files.log_duration(F.lit("Duration: 01:02:03.50, start"))) == 3723.5 and one(spark, files.log_duration(F.lit("none"))) is None
