@@ -1,10 +1,10 @@
-"""Best-fit packing with certified bin counts.
+"""Best-fit packing with lower bounds on the bin counts.
 
 Method. Documents become token ids and pieces of at most one sequence's length; only lengths travel. Each partition
 packs its pieces by best-fit decreasing. Dual-feasible functions over the partition's histogram of lengths give a
-lower bound on its bins: a partition that meets it is certified. Where a gap is left, and for the bins that aren't
-full elsewhere, pieces are exchanged: they meet in fewer partitions and best-fit decreasing runs again, as long as
-that saves sequences and until one partition holds all that is left. Partitions are bounded in rows.
+lower bound on its bins, which is computed and not used: no partition is settled or chosen by it. The pieces in bins
+that aren't full, of all partitions, meet in fewer partitions and best-fit decreasing runs again, as long as that saves
+sequences and until one partition holds all that is left. Partitions are bounded in rows.
 
 Nulls: a null text is an empty document (the end token alone); a null id is packed like any other. Repeated rows
 are packed each for itself. Extra columns are ignored.
