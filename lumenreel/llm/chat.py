@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import shuffle_partitions, small_batches
+from lumenreel.llm.common import shuffle_partitions
 
 OPEN, CLOSE, ESCAPE = b"### ", b"</turn>\n", b"\\"
 #: Control strings that are escaped in texts.
@@ -99,7 +99,7 @@ def assembled(ids: list, turns: list[int], roles: list[str], texts: list[bytes])
 
 def formatted(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, loss) of each conversation in rows of (conv_id, turn, role, text)."""
-    small_batches(spark, 5000)
+
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition(shuffle_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 

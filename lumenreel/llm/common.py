@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Words that a Python worker remembers the hash of, before it starts anew.
 CACHE_WORDS = 30_000
+#: Rows that a Python worker unpacks at a time.
+SLICE_ROWS = 250
 #: Spread 64-bit values (fixed odd multipliers).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -43,12 +46,10 @@ class Scratch:
         return f"{self.root}/{self.count:03d}-{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; the result has the attribute scratch_path."""
+        """Write df and read it back; the result has the attribute scratch_path. Shuffle files go with the write."""
         path = self.path(name)
-        df.write.parquet(path)
-        # shuffle files go when their plans are collected; a long chain of steps must not wait for that
-        gc.collect()
-        self.spark._jvm.System.gc()
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
         return back
@@ -64,13 +65,58 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """The session's setting, for as long as a block runs."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 250) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Partitions for a shuffle by hand: the session's number, or more where df is estimated at more than that many `each` bytes."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = 100_000  # an estimate of an unknown size can be without bound
+    return max(shuffle_partitions(df.sparkSession), min(most, size // each) if size < 1 << 60 else 0)
+
+
+def sliced(batches, rows: int = SLICE_ROWS) -> Iterator:
+    """Arrow batches, which Spark bounds in bytes, in slices of few rows, to bound what Python objects they become."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def own(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def wrapped(df: DataFrame, **columns: Column) -> DataFrame:
+    """`row`, a struct of all of df's columns, and the given columns: no name of df can clash with those of a method."""
+    return df.select(F.struct(*[own(c) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def unwrapped(df: DataFrame, names: list[str], outputs: dict[str, Column], replaced: dict[str, Column] | None = None) -> DataFrame:
+    """The columns `names` of a wrapped row and outputs. A column of the row that has an output's name keeps its values as name_input.
+
+    replaced: columns of the row that get new values, in their place.
+    """
+    taken, out = {n.lower() for n in [*names, *outputs]}, []
+    for n in names:
+        new = n
+        while n.lower() in {o.lower() for o in outputs} and new.lower() in taken:
+            new += "_input"
+        taken.add(new.lower())
+        out.append((replaced or {}).get(n, F.col("row").getField(n)).alias(new))
+    return df.select(*out, *[c.alias(n) for n, c in outputs.items()])
 
 
 def words_of(text: Column) -> Column:
@@ -134,6 +180,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, buc
     Rows of a key fall into buckets by the hash of what orders them; a bucket's rows come after those of lower
     buckets. Only the counts of (key, bucket) are summed up in one place for a key: at most `buckets` rows.
     """
+    buckets = max(buckets, shuffle_partitions(df.sparkSession))
     rows = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,4 +220,6 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         labels = moved
         if not changed:
             scratch.drop(both)
-            return moved.select("node", "label")
+            labels = moved.select("node", "label")
+            labels.scratch_path = moved.scratch_path
+            return labels

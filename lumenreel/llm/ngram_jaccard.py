@@ -12,14 +12,17 @@ partner, in the next one. For each band `allocate` weighs two ways by cost:
   signature for each segment and for each segment less one element meet.
 
 Equal sets share a node id and travel once for each batch. Signatures are packed in numpy by bucket, one binary row
-for each bucket and batch, and grouped by sorting. A list of nodes with a common signature first gives links to one
-centre, which are verified on the sets themselves; then to a member of the list's largest class. Lists whose nodes are
-then in one class are done, and only pairs of different classes are verified after that. No pair of one list is left out: the result is exact. Before
-sets are fetched, a pair's parity bitmaps are compared: each element flips one bit, so the number of different bits
-is at most the number of different elements, and a pair with more than the threshold allows is no link.
+for each bucket and batch, and a task takes up its buckets one after another, sorted by Spark, so it holds one of them at
+a time. A list of nodes with a common signature first gives links to one centre, which are verified on the sets
+themselves; then to a member of the list's largest class. Lists whose nodes are then in one class are done, and in the
+others each node outside of the largest class meets all nodes of the list: in blocks, one for each two chunks of the list,
+which are dealt out by list and chunk. No pair of one list is left out: the result is exact. Before sets are fetched, a
+pair's parity bitmaps are compared: each element flips one bit, so the number of different bits is at most the number of
+different elements, and a pair with more than the threshold allows is no link.
 
 Nulls: a null text is an empty set; a null id gets a null class and links with nothing. Rows that share an id are
-one document with several texts: a link of one of them counts for all. Extra columns are ignored.
+one document with several texts: a link of one of them counts for all. Very long texts are taken whole; an empty table
+gives no rows. Extra columns are ignored by jaccard_classes() and kept by first_of_class(), whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, WordHashes, binary_column, components, mixed, sequence_hashes, shuffle_partitions, small_batches
+from lumenreel.llm.common import Scratch, WordHashes, binary_column, components, mixed, own, partitions_for, sequence_hashes, sliced, unwrapped, wrapped
 
 ENTRY = np.dtype([("sig", "<u8"), ("node", "<i8"), ("size", "<i4"), ("role", "<i4")])
 #: Roles: of its own band, of the band below, and the same two for a segment less one element.
 OWN, BELOW, OWN_LESS, BELOW_LESS = 0, 1, 2, 3
 #: Members of a list that travel in one row.
 CHUNK = 2048
+#: Signatures that a worker gathers before it packs them by bucket, and buckets for each partition of their shuffle.
+FLUSH, BUCKETS = 1 << 19, 4
 
 
 def bands(percent: int, up_to: int) -> list[tuple[int, int]]:
@@ -116,7 +121,7 @@ def signatures(found: np.ndarray, band: int, high: int, percent: int, documents:
 
 def shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches):
         texts = binary_column(batch, "text")
         yield batch.column(0).to_pylist(), [shingle_set(t.lower().split(), hashes, size) for t in texts]
 
@@ -165,29 +170,37 @@ def packed_signatures(docs: DataFrame, size: int, percent: int, buckets: int, co
     ranges = bands(percent, top)
     lows = np.array([low for low, _ in ranges], np.int64)
 
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        entries = np.concatenate(parts)
+        bucket = (entries["sig"] >> np.uint64(40)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        entries, bucket = entries[order], bucket[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blobs = [by_column(e) for e in np.split(entries, starts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+
     def run(batches):
+        parts, held, seen = [], 0, set()
         for _, sets in shingled(batches, size):
-            distinct = {node_of(s): s for s in sets if len(s)}
-            parts = []
-            for node, s in distinct.items():
-                own = int(np.searchsorted(lows, len(s), "right")) - 1
-                for band, roles in ((own, (OWN, OWN_LESS)), (own + 1, (BELOW, BELOW_LESS))):
-                    if band >= len(ranges):
+            for node, s in {node_of(s): s for s in sets if len(s)}.items():
+                if node in seen:
+                    continue
+                seen.add(node)
+                band = int(np.searchsorted(lows, len(s), "right")) - 1
+                for k, roles in ((band, (OWN, OWN_LESS)), (band + 1, (BELOW, BELOW_LESS))):
+                    if k >= len(ranges):
                         continue
-                    for sig, role in zip(signatures(s, band, ranges[band][1], percent, counts.get(band, 0)), roles, strict=True):
+                    for sig, role in zip(signatures(s, k, ranges[k][1], percent, counts.get(k, 0)), roles, strict=True):
                         if len(sig):
                             entry = np.empty(len(sig), ENTRY)
                             entry["sig"], entry["node"], entry["size"], entry["role"] = sig, node, len(s), role
                             parts.append(entry)
-            if not parts:
-                continue
-            entries = np.concatenate(parts)
-            bucket = (entries["sig"] >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            entries, bucket = entries[order], bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            blobs = [by_column(e) for e in np.split(entries, starts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+                            held += len(sig)
+            if held >= FLUSH:
+                yield packed(parts)
+                parts, held, seen = [], 0, set()
+        if parts:
+            yield packed(parts)
 
     return docs.mapInArrow(run, "bucket int, entries binary")
 
@@ -212,40 +225,50 @@ def lists(packed: DataFrame, partitions: int) -> DataFrame:
     """Nodes with a common signature, centre first; long lists in chunks that repeat the centre."""
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
+        bucket, held = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(bucket, []).append(blob)
-        for bucket in list(held):
-            entries = np.concatenate([from_columns(blob) for blob in held.pop(bucket)])
-            entries = entries[np.lexsort((entries["role"], entries["node"], entries["sig"]))]
-            entries = entries[np.r_[True, (np.diff(entries["node"]) != 0) | (entries["sig"][1:] != entries["sig"][:-1]) | (np.diff(entries["role"]) != 0)]]
-            cuts = np.flatnonzero(np.r_[True, entries["sig"][1:] != entries["sig"][:-1], True])
-            rows, seen = [], set()
-            for at in np.flatnonzero(np.diff(cuts) > 1):
-                part = entries[cuts[at] : cuts[at + 1]]
-                if (part["node"] == part["node"][0]).all() or not (part["role"] % 2 == 0).any() or (part["role"] >= 2).all():
-                    continue
-                key = xxhash.xxh3_64_intdigest(part["node"].tobytes() + part["role"].tobytes()) - 2**63
-                if key in seen:
-                    continue
-                seen.add(key)
-                # the centre is a segment of the band's own sets if there is one
-                head = part[np.argmin(part["role"])]
-                rest = part[part["node"] != head["node"]]
-                for chunk in range(0, len(rest), CHUNK):
-                    row = np.concatenate([[head], rest[chunk : chunk + CHUNK]])
-                    rows.append((key, chunk // CHUNK, row["node"].tolist(), row["size"].tolist(), row["role"].tolist()))
-                if len(rows) >= 5000:
-                    yield arrow_lists(rows)
-                    rows = []
-            if rows:
-                yield arrow_lists(rows)
-
-    found = packed.repartition(partitions, "bucket").mapInArrow(run, LISTS)
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != bucket:
+                    yield from lists_of(held)
+                    bucket, held = b, []
+                held.append(from_columns(blob.as_py()))
+        yield from lists_of(held)
+
+    found = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, LISTS)
     return found.dropDuplicates(["list", "chunk"])
 
 
+def lists_of(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The lists of one bucket's entries."""
+    if not held:
+        return
+    entries = np.concatenate(held)
+    held.clear()
+    entries = entries[np.lexsort((entries["role"], entries["node"], entries["sig"]))]
+    entries = entries[np.r_[True, (np.diff(entries["node"]) != 0) | (entries["sig"][1:] != entries["sig"][:-1]) | (np.diff(entries["role"]) != 0)]]
+    cuts = np.flatnonzero(np.r_[True, entries["sig"][1:] != entries["sig"][:-1], True])
+    rows, seen = [], set()
+    for at in np.flatnonzero(np.diff(cuts) > 1):
+        part = entries[cuts[at] : cuts[at + 1]]
+        if (part["node"] == part["node"][0]).all() or not (part["role"] % 2 == 0).any() or (part["role"] >= 2).all():
+            continue
+        key = xxhash.xxh3_64_intdigest(part["node"].tobytes() + part["role"].tobytes()) - 2**63
+        if key in seen:
+            continue
+        seen.add(key)
+        # the centre is a segment of the band's own sets if there is one
+        head = part[np.argmin(part["role"])]
+        rest = part[part["node"] != head["node"]]
+        for chunk in range(0, len(rest), CHUNK):
+            row = np.concatenate([[head], rest[chunk : chunk + CHUNK]])
+            rows.append((key, chunk // CHUNK, row["node"].tolist(), row["size"].tolist(), row["role"].tolist()))
+        if len(rows) >= 5000:
+            yield arrow_lists(rows)
+            rows = []
+    if rows:
+        yield arrow_lists(rows)
+
+
 def arrow_lists(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["list", "chunk", "nodes", "sizes", "roles"])
@@ -275,24 +298,26 @@ def spokes(found: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def crossing(found: DataFrame, labels: DataFrame, maps: DataFrame, percent: int, rays_only: bool = False) -> DataFrame:
-    """Pairs of a list's nodes in different classes that may be links.
+def crossing(found: DataFrame, info: DataFrame, percent: int, rays_only: bool = False) -> DataFrame:
+    """Pairs of a list's nodes in different classes that may be links. info: (node, size, bits, label).
 
-    With rays_only, only pairs of one member of a list's largest class and each node of other classes: at most a row for
+    With rays_only, only pairs of one member of a chunk's largest class and each node of other classes: at most a row for
     each member, and a centre of its own for each list, so a node that has many lists meets many centres.
     """
-    members = found.select("list", "chunk", F.explode(F.arrays_zip("nodes", "sizes", "roles")).alias("x"))
-    members = members.select("list", "chunk", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("size"), F.col("x.roles").alias("role"))
-    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = members.groupBy("list").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("list")
-    mapped = members.join(several, "list").join(maps.select("node", "bits"), "node")
-    chunks = mapped.groupBy("list", "chunk").agg(F.collect_list(F.struct("node", "size", "role", "label", "bits")).alias("members"))
+    each = found.select("list", F.explode("nodes").alias("node")).join(info.select("node", "label"), "node")
+    counts = each.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    # a row for each chunk meets its list here; its members are looked up by node
+    members = found.join(several.select("list", "common"), "list").select("list", "chunk", "common", F.explode(F.arrays_zip("nodes", "roles")).alias("x"))
+    members = members.select("list", "chunk", "common", F.col("x.nodes").alias("node"), F.col("x.roles").alias("role")).join(info, "node")
+    chunks = members.groupBy("list", "chunk").agg(F.first("common").alias("common"), F.collect_list(F.struct("node", "size", "role", "label", "bits")).alias("members"))
     if rays_only:
         blocks = chunks.select(F.col("members").alias("m1"), F.col("list"))
-    left = chunks.select("list", F.col("chunk").alias("c1"), F.col("members").alias("m1"))
-    right = chunks.select("list", F.col("chunk").alias("c2"), F.col("members").alias("m2"))
-    if not rays_only:
-        blocks = left.join(right, "list").filter("c1 <= c2").select("m1", "m2")
+    else:
+        strangers = chunks.select("list", F.filter("members", lambda x: x["label"] != F.col("common")).alias("m1")).filter(F.size("m1") > 0)
+        last = found.groupBy("list").agg(F.max("chunk").alias("last"))
+        strangers = strangers.join(last, "list").select("list", "m1", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"))
+        blocks = strangers.join(chunks.select("list", "chunk", F.col("members").alias("m2")), ["list", "chunk"]).select("m1", "m2")
 
     def run(batches):
         tried: set[tuple[int, int]] = set()
@@ -334,25 +359,22 @@ def rays(members: dict, salt: int, percent: int) -> set[tuple[int, int]]:
     return {(min(a, b), max(a, b)) for b in members["node"][near].tolist()}
 
 
-def across(one: dict, two: dict, percent: int) -> set[tuple[int, int]]:
-    """Pairs of members of two chunks with different labels that may be links.
+def across(strangers: dict, others: dict, percent: int) -> set[tuple[int, int]]:
+    """Pairs of a stranger and one of the others, with different labels, that may be links.
 
-    Most members have one label; pairs are walked through from the members of other labels, so a large class with
-    few strangers costs little.
+    Strangers are outside of the list's largest class, so a large class with few strangers costs little.
     """
-    maps = folded([*one["bits"], *two["bits"]])
-    m1, m2 = maps[: len(one["node"])], maps[len(one["node"]) :]
-    labels, counts = np.unique(np.concatenate([one["label"], two["label"]]), return_counts=True)
-    common = labels[np.argmax(counts)]
+    maps = folded([*strangers["bits"], *others["bits"]])
+    m1, m2 = maps[: len(strangers["node"])], maps[len(strangers["node"]) :]
     out: set[tuple[int, int]] = set()
-    for (x, mx), (y, my) in (((one, m1), (two, m2)), ((two, m2), (one, m1))):
-        for i in np.flatnonzero(x["label"] != common).tolist():
-            near = (y["label"] != x["label"][i]) & ((y["role"] % 2 == 0) | (x["role"][i] % 2 == 0)) & ((y["role"] < 2) | (x["role"][i] < 2))
-            near &= 100 * np.minimum(y["size"], x["size"][i]) >= percent * np.maximum(y["size"], x["size"][i])
-            near = np.flatnonzero(near)
-            near = near[may_link(my[near], mx[i], y["size"][near].astype(np.int64), int(x["size"][i]), percent)]
-            a = int(x["node"][i])
-            out.update((min(a, b), max(a, b)) for b in y["node"][near].tolist())
+    sizes = others["size"].astype(np.int64)
+    for i in range(len(m1)):
+        role, size = strangers["role"][i], int(strangers["size"][i])
+        near = (others["label"] != strangers["label"][i]) & ((others["role"] % 2 == 0) | (role % 2 == 0)) & ((others["role"] < 2) | (role < 2))
+        near = np.flatnonzero(near & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)))
+        near = near[may_link(m2[near], m1[i], sizes[near], size, percent)]
+        a = int(strangers["node"][i])
+        out.update((min(a, b), max(a, b)) for b in others["node"][near].tolist())
     return out
 
 
@@ -373,16 +395,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) of each row of docs.
-
-    Documents are linked when 100 * common shingles >= percent * all shingles of the two; component_id is the smallest
-    id that links reach. Words are runs of other than ASCII white space, with A-Z in lower case; fewer words than
-    `size` are one shingle; no words: no shingle and no link. node is equal for equal sets, null for empty ones.
-    """
-    small_batches(spark)
-    scratch, partitions = Scratch(spark), shuffle_partitions(spark)
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+def linked(scratch: Scratch, docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_shingles) of each row of docs (doc_id, text), and links (a, b) of nodes that connect each class."""
+    partitions = partitions_for(docs)
     members = scratch.keep(membership(docs, size), "members")
     top = members.agg(F.max("n_shingles")).first()[0] or 0
     ranges = bands(percent, max(top, 1))
@@ -391,10 +406,12 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
     per_band = members.filter("n_shingles > 0").groupBy((F.size(F.filter(low, lambda x: x <= F.col("n_shingles"))) - 1).alias("band")).count()
     # rounded to a power of two, so that few distinct allocations arise
     counts = {r["band"]: 1 << int(r["count"]).bit_length() for r in per_band.toLocalIterator()}
-    found = scratch.keep(lists(packed_signatures(docs, size, percent, partitions, counts, top), partitions), "lists")
+    found = scratch.keep(lists(packed_signatures(docs, size, percent, partitions * BUCKETS, counts, top), partitions), "lists")
     nodes = found.select(F.explode("nodes").alias("node")).distinct()
     maps = members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
     maps = scratch.keep(maps.filter("doc_id is not null"), "maps")
+    slim = scratch.keep(members.drop("bits"), "members")
+    scratch.drop(members)
 
     def elements(batches):
         for _, sets in shingled(batches, size):
@@ -408,28 +425,73 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
     links = scratch.keep(verified(spokes(found, maps, percent), sets, percent), "spokes")
     for rays_only, name in ((True, "rays"), (False, "crossing")):
         labels = components(links, scratch)
-        more = scratch.keep(verified(crossing(found, labels, maps, percent, rays_only), sets, percent), name)
-        links = links.select("a", "b").union(more.select("a", "b"))
-    scratch.drop(sets)
-    scratch.drop(found, maps)
+        info = scratch.keep(maps.join(labels, "node", "left").select("node", "size", "bits", F.coalesce("label", "node").alias("label")), "info")
+        pairs = scratch.keep(crossing(found, info, percent, rays_only), f"{name}-pairs")
+        more = scratch.keep(verified(pairs, sets, percent), name)
+        both = scratch.keep(links.select("a", "b").union(more.select("a", "b")), "so-far")
+        scratch.drop(labels, info, pairs, more, links)
+        links = both
+    scratch.drop(sets, found, maps)
+    return slim, links
+
+
+def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) of each row of docs.
+
+    Documents are linked when 100 * common shingles >= percent * all shingles of the two; component_id is the smallest
+    id that links reach. Words are runs of other than ASCII white space, with A-Z in lower case; fewer words than
+    `size` are one shingle; no words: no shingle and no link. node is equal for equal sets, null for empty ones.
+    """
+    scratch = Scratch(spark)
+    members, links = linked(scratch, docs.select(own(id_column).cast("long").alias("doc_id"), own(text_column).cast("string").alias("text")), percent, size)
     # links of rows that share an id
     repeated = members.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     shared = members.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
-    labels = components(links.union(shared), scratch).withColumnRenamed("label", "class")
-    classed = members.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    labels = components(links.union(shared), scratch)
+    scratch.drop(links)
+    classed = members.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     least = classed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = classed.join(least, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "node")
 
 
-def first_of_class(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of docs less those that are near copies of one with a smaller id; ties by text leave one row.
+def first_of_class(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs less those that are near copies of another: of each class one row stays.
 
-    Empty texts and null ids stay, as they link with nothing.
+    It is the one of the smallest id; rows without an id come after all others, in the order of a hash of their text, and
+    rows with the same id and set in the order of their columns as JSON. Rows with the same id and other texts are
+    documents of their own. Rows without words are linked with nothing and all stay, repeated ones too.
     """
-    classes = jaccard_classes(spark, docs, percent, size)
-    gone = classes.filter("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    with_id = rest.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(rest.filter("doc_id is null"))
+    scratch = Scratch(spark)
+    text = own(text_column).cast("string")
+    # ids above all others for rows without one, equal for equal texts
+    high = F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62)
+    keyed = wrapped(docs, doc_id=F.coalesce(own(id_column).cast("long"), high), text=text)
+    members, links = linked(scratch, keyed.select("doc_id", "text"), percent, size)
+    labels = components(links, scratch)
+    filled = members.filter("node is not null")
+    best = filled.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("class")).agg(F.min(F.struct("doc_id", "node")).alias("x"))
+    best = scratch.keep(best.select("x.doc_id", "x.node"), "best")
+    several = scratch.keep(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "several")
+    gone = filled.join(best, ["doc_id", "node"], "left_anti").select("doc_id").union(several).distinct()
+    gone = scratch.keep(gone, "gone")
+    scratch.drop(members, labels, links)
+    out = keyed.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select("row")
+    if not several.isEmpty():  # ids of several rows: the rows are told apart by their sets
+        shared = with_node(keyed.join(several.hint("shuffle_hash"), "doc_id", "left_semi"), size)
+        first = shared.join(best, ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.union(first.select("row")).union(shared.filter("node is null").select("row"))
+    return unwrapped(out, docs.columns, {})
+
+
+def with_node(rows: DataFrame, size: int) -> DataFrame:
+    """rows (row, doc_id, text) with `node`."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in sliced(batches):
+            sets = [shingle_set(t.lower().split(), hashes, size) for t in binary_column(batch, "text")]
+            yield batch.append_column("node", pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
+
+    return rows.select("row", "doc_id", "text").mapInArrow(run, rows.select("row", "doc_id", "text").schema.add("node", "long"))

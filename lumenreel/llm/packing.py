@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, small_batches
+from lumenreel.llm.common import Scratch, sliced
 
 #: Pieces that one task packs.
 PART_ROWS = 200_000
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int = 1024, end_id: int =
 
     def run(batches):
         encode = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
@@ -153,7 +153,7 @@ def packed_once(rows: DataFrame, turn: int, parts: int, most: int) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, tokenizer_path: str, most: int = 1024, end_id: int = 2, part_rows: int = PART_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each document."""
-    small_batches(spark)
+
     scratch = Scratch(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     cut_up = scratch.keep(pieces(docs, tokenizer_path, most, end_id), "pieces")

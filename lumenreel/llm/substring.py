@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, WordHashes, binary_column, mixed, sequence_hashes, shuffle_partitions, small_batches
+from lumenreel.llm.common import Scratch, WordHashes, binary_column, mixed, sequence_hashes, shuffle_partitions
 
 #: Bytes of text that are cut into super-k-mers at a time, so that a worker's memory is bounded.
 BATCH_BYTES = 24 << 20
@@ -199,7 +199,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, size: int = 20, inner:
     a smaller id, or earlier in the same one. Windows are judged on the input. Words are runs of other than ASCII
     white space.
     """
-    small_batches(spark)
+
     scratch, partitions = Scratch(spark), shuffle_partitions(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     found = scratch.keep(repeats(docs, size, inner, partitions), "ranges")

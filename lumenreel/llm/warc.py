@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, binary_column, small_batches
+from lumenreel.llm.common import Scratch, binary_column
 
 FRAME_MAGIC, DICTIONARY_MAGIC, EMPTY_MAGIC = 0xFD2FB528, 0x184D2A5D, 0x184D2A50
 #: An empty skippable frame; as text it is the sink's line end.
@@ -151,7 +151,7 @@ def archive_of(found: list[bytes]) -> bytes:
 
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, revisit_from: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write pages (page_id, url, html) to archive files under path. Payloads of fewer bytes than revisit_from aren't shared."""
-    small_batches(spark)
+
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digested = pages.withColumn("sha1", F.unhex(F.sha1(F.encode("html", "utf-8"))))
     shared = digested.filter(F.octet_length("html") >= revisit_from).groupBy(F.col("sha1").alias("same")).agg(F.max("page_id").alias("response"))

@@ -112,11 +112,50 @@ def test_jaccard_long_lists_cross_in_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
 
 
+def first_truth(rows, percent, size):
+    """The rows (id, text) that stay: of each class of linked texts the one of the least id, nulls last."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and sets[j] and 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
+                up[root(i)] = root(j)
+    best, out = {}, []
+    for i, (doc, t) in enumerate(rows):
+        if not sets[i]:
+            out.append((doc, t))
+        elif doc is not None:
+            best[root(i)] = min(best.get(root(i), (doc, t)), (doc, t))
+    out += best.values()
+    nulls = {root(i) for i, (doc, _) in enumerate(rows) if doc is None and sets[i]} - set(best)
+    return sorted(out, key=str), len(nulls)
+
+
 def test_jaccard_empty_and_first_of_class(spark):
     assert ngram_jaccard.jaccard_classes(spark, empty(spark)).count() == 0
-    kept = ngram_jaccard.first_of_class(spark, corpus(spark), 80, 5)
-    ids = [r.doc_id for r in kept.collect()]
-    assert 12 in ids and not {13, 14} & set(ids) and ids.count(3) == 1 and ids.count(None) == 2
+    unlike = [" ".join(words(50, 700 + i)) for i in range(4)]
+    # ids with two texts, with a text that is another's copy, null ids with texts that others have or only they have
+    extra = [(800, unlike[0]), (800, unlike[1]), (801, unlike[1].upper()), (802, unlike[2]), (None, unlike[2]), (None, unlike[3]), (None, unlike[3]), (700, unlike[2]), (802, "another text")]
+    docs = corpus(spark, [(i, t, None, None, None) for i, t in extra]).withColumn("row", F.lit(1)).withColumn("text_hash", F.lit(2))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = ngram_jaccard.first_of_class(spark, docs, 80, 5)
+    assert kept.columns == docs.columns
+    want, nulls = first_truth(rows, 80, 5)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    filled = [r for r in got if r[0] is None and (r[1] or "").strip()]
+    assert sorted((r for r in got if r not in filled), key=str) == want
+    assert filled == [(None, unlike[3])] and nulls == 1
+    assert {(800, unlike[0]), (800, unlike[1]), (700, unlike[2]), (802, "another text")} <= set(got)
+    assert ngram_jaccard.first_of_class(spark, empty(spark)).count() == 0
 
 
 def test_substring_dedup(spark):
