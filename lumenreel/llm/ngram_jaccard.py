@@ -127,9 +127,12 @@ def shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[lis
 
 
 def parities(found: np.ndarray) -> bytes:
-    """A set's parity bitmap: a power of two of bits, at least two for each element."""
+    """A set's parity bitmap: a power of two of bits, at least 64 and one for each element.
+
+    Sets without common elements differ in about half the bits, far more than the threshold allows.
+    """
     bits = 64
-    while bits < 2 * len(found):
+    while bits < len(found):
         bits *= 2
     at = (mixed(found ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
@@ -298,33 +301,29 @@ def spokes(found: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def crossing(found: DataFrame, info: DataFrame, percent: int, rays_only: bool = False) -> DataFrame:
-    """Pairs of a list's nodes in different classes that may be links. info: (node, size, bits, label).
+def open_chunks(found: DataFrame, info: DataFrame) -> DataFrame:
+    """(list, chunk, last, common, members) of the lists with nodes in different classes. info: (node, size, bits, label).
 
-    With rays_only, only pairs of one member of a chunk's largest class and each node of other classes: at most a row for
-    each member, and a centre of its own for each list, so a node that has many lists meets many centres.
+    common is the list's largest class, last its last chunk.
     """
-    each = found.select("list", F.explode("nodes").alias("node")).join(info.select("node", "label"), "node")
-    counts = each.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = counts.groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    each = found.select("list", "chunk", F.explode("nodes").alias("node")).join(info.select("node", "label"), "node")
+    counts = each.groupBy("list", "label").agg(F.count(F.lit(1)).alias("n"), F.max("chunk").alias("chunk"))
+    several = counts.groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.max("chunk").alias("last"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
     # a row for each chunk meets its list here; its members are looked up by node
-    members = found.join(several.select("list", "common"), "list").select("list", "chunk", "common", F.explode(F.arrays_zip("nodes", "roles")).alias("x"))
-    members = members.select("list", "chunk", "common", F.col("x.nodes").alias("node"), F.col("x.roles").alias("role")).join(info, "node")
-    chunks = members.groupBy("list", "chunk").agg(F.first("common").alias("common"), F.collect_list(F.struct("node", "size", "role", "label", "bits")).alias("members"))
-    if rays_only:
-        blocks = chunks.select(F.col("members").alias("m1"), F.col("list"))
-    else:
-        strangers = chunks.select("list", F.filter("members", lambda x: x["label"] != F.col("common")).alias("m1")).filter(F.size("m1") > 0)
-        last = found.groupBy("list").agg(F.max("chunk").alias("last"))
-        strangers = strangers.join(last, "list").select("list", "m1", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"))
-        blocks = strangers.join(chunks.select("list", "chunk", F.col("members").alias("m2")), ["list", "chunk"]).select("m1", "m2")
+    members = found.join(several, "list").select("list", "chunk", "last", "common", F.explode(F.arrays_zip("nodes", "roles")).alias("x"))
+    members = members.select("list", "chunk", "last", "common", F.col("x.nodes").alias("node"), F.col("x.roles").alias("role")).join(info, "node")
+    # last and common are the list's: as keys they let a filter on them reach the lists
+    return members.groupBy("list", "chunk", "last", "common").agg(F.collect_list(F.struct("node", "size", "role", "label", "bits")).alias("members"))
+
+
+def distinct_pairs(blocks: DataFrame, found) -> DataFrame:
+    """The pairs that `found` makes of each row of blocks (a pa.RecordBatch and a row's number)."""
 
     def run(batches):
         tried: set[tuple[int, int]] = set()
         for batch in batches:
-            one, two = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                tried.update(rays(members_of(one, i), two[i].as_py(), percent) if rays_only else across(members_of(one, i), members_of(two, i), percent))
+                tried.update(found(batch, i))
                 if len(tried) > 50_000:
                     yield arrow_pairs(tried)
                     tried = set()
@@ -334,6 +333,36 @@ def crossing(found: DataFrame, info: DataFrame, percent: int, rays_only: bool =
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
+def ray_pairs(found: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one member of a chunk's largest class and each node of other classes that may be links.
+
+    There is at most a row for each member, and a centre of its own for each list, so a node that has many lists meets many
+    centres.
+    """
+    chunks = open_chunks(found, info).select("members", "list")
+    return distinct_pairs(chunks, lambda batch, i: rays(members_of(batch.column(0), i), batch.column(1)[i].as_py(), percent))
+
+
+def crossing(found: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's nodes in different classes that may be links: each node outside of its largest class with all."""
+    chunks = open_chunks(found, info)
+
+    def within(batch, i: int) -> set[tuple[int, int]]:
+        own, common = members_of(batch.column(0), i), batch.column(1)[i].as_py()
+        return across(own, own, np.flatnonzero(own["label"] != common).tolist(), percent)
+
+    def between(batch, i: int) -> set[tuple[int, int]]:
+        one, two = members_of(batch.column(0), i), members_of(batch.column(1), i)
+        return across(one, two, range(len(one["node"])), percent)
+
+    short = distinct_pairs(chunks.filter("last = 0").select("members", "common"), within)
+    long = chunks.filter("last > 0")
+    strangers = long.select("list", "last", F.filter("members", lambda x: x["label"] != F.col("common")).alias("m1")).filter(F.size("m1") > 0)
+    strangers = strangers.select("list", "m1", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"))
+    blocks = strangers.join(long.select("list", "chunk", F.col("members").alias("m2")), ["list", "chunk"]).select("m1", "m2")
+    return short.union(distinct_pairs(blocks, between)).distinct()
+
+
 def arrow_pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -359,22 +388,19 @@ def rays(members: dict, salt: int, percent: int) -> set[tuple[int, int]]:
     return {(min(a, b), max(a, b)) for b in members["node"][near].tolist()}
 
 
-def across(strangers: dict, others: dict, percent: int) -> set[tuple[int, int]]:
-    """Pairs of a stranger and one of the others, with different labels, that may be links.
-
-    Strangers are outside of the list's largest class, so a large class with few strangers costs little.
-    """
-    maps = folded([*strangers["bits"], *others["bits"]])
-    m1, m2 = maps[: len(strangers["node"])], maps[len(strangers["node"]) :]
+def across(one: dict, two: dict, chosen, percent: int) -> set[tuple[int, int]]:
+    """Pairs of the chosen members of one and any of two, with different labels, that may be links."""
+    maps = folded([*one["bits"], *two["bits"]])
+    m1, m2 = maps[: len(one["node"])], maps[len(one["node"]) :]
     out: set[tuple[int, int]] = set()
-    sizes = others["size"].astype(np.int64)
-    for i in range(len(m1)):
-        role, size = strangers["role"][i], int(strangers["size"][i])
-        near = (others["label"] != strangers["label"][i]) & ((others["role"] % 2 == 0) | (role % 2 == 0)) & ((others["role"] < 2) | (role < 2))
+    sizes = two["size"].astype(np.int64)
+    for i in chosen:
+        role, size = one["role"][i], int(one["size"][i])
+        near = (two["label"] != one["label"][i]) & ((two["role"] % 2 == 0) | (role % 2 == 0)) & ((two["role"] < 2) | (role < 2))
         near = np.flatnonzero(near & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)))
         near = near[may_link(m2[near], m1[i], sizes[near], size, percent)]
-        a = int(strangers["node"][i])
-        out.update((min(a, b), max(a, b)) for b in others["node"][near].tolist())
+        a = int(one["node"][i])
+        out.update((min(a, b), max(a, b)) for b in two["node"][near].tolist())
     return out
 
 
@@ -423,10 +449,10 @@ def linked(scratch: Scratch, docs: DataFrame, percent: int, size: int) -> tuple[
     # only repeat a link
     sets = scratch.keep(chosen.mapInArrow(elements, "node long, elements binary").filter("node is not null"), "sets")
     links = scratch.keep(verified(spokes(found, maps, percent), sets, percent), "spokes")
-    for rays_only, name in ((True, "rays"), (False, "crossing")):
+    for candidates, name in ((ray_pairs, "rays"), (crossing, "crossing")):
         labels = components(links, scratch)
         info = scratch.keep(maps.join(labels, "node", "left").select("node", "size", "bits", F.coalesce("label", "node").alias("label")), "info")
-        pairs = scratch.keep(crossing(found, info, percent, rays_only), f"{name}-pairs")
+        pairs = scratch.keep(candidates(found, info, percent), f"{name}-pairs")
         more = scratch.keep(verified(pairs, sets, percent), name)
         both = scratch.keep(links.select("a", "b").union(more.select("a", "b")), "so-far")
         scratch.drop(labels, info, pairs, more, links)
