@@ -6,8 +6,12 @@ all occurrences of a window meet there; a window's words are compared themselves
 equal strings travel once, with their earliest place, and the later places are marked at once, so a passage that
 many documents share arrives at its bucket once for each batch.
 
-Nulls: a null text has no words. Rows with a null id are kept whole and take no part. Rows that share an id are one
-document: what is marked in one is removed from each. Extra columns are ignored.
+Where a window starts is told by the document's id and the place in its text; what is marked is told by the id and the
+text's hash. So rows that share an id are one document, in which the same place of two texts is neither earlier nor later,
+and each row loses only its own words.
+
+Nulls: a null text has no words. Rows with a null id are kept whole and take no part. Equal rows are judged alike. Very
+long texts are taken whole; an empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, WordHashes, binary_column, mixed, sequence_hashes, shuffle_partitions
+from lumenreel.llm.common import Scratch, WordHashes, binary_column, mixed, own, partitions_for, sequence_hashes, sliced
 
 #: Bytes of text that are cut into super-k-mers at a time, so that a worker's memory is bounded.
 BATCH_BYTES = 24 << 20
-HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("length", "<i4")])
+HEAD = np.dtype([("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("length", "<i4")])
+#: Buckets for each partition of their shuffle.
+BUCKETS = 8
 
 
 def super_kmers(hashes: np.ndarray, size: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,20 +51,19 @@ def super_kmers(hashes: np.ndarray, size: int, inner: int) -> tuple[np.ndarray,
 
 
 def chunks(batches):
-    """Ids and texts, of a bounded number of bytes at a time."""
-    ids, texts, held = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
+    """Ids, hashes and texts, of a bounded number of bytes at a time."""
+    rows, held = [], 0
+    for batch in sliced(batches):
+        for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_column(batch, "text"), strict=True):
             if i is None or not t:
                 continue
-            ids.append(i)
-            texts.append(t)
+            rows.append((i, h, t))
             held += len(t)
             if held >= BATCH_BYTES:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
 
 
 def packed(docs: DataFrame, size: int, inner: int, buckets: int) -> DataFrame:
@@ -66,10 +71,12 @@ def packed(docs: DataFrame, size: int, inner: int, buckets: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for ids, texts in chunks(batches):
-            earliest: dict[bytes, tuple[int, int, int, int]] = {}
-            marks: list[tuple[int, int, int]] = []
-            for doc, text in zip(ids, texts, strict=True):
+        for group in chunks(batches):
+            # the earliest of equal strings, by its place; others at the same place, of texts that share an id, travel too
+            earliest: dict[bytes, tuple[int, int, int, int, int]] = {}
+            beside: set[tuple[bytes, tuple[int, int, int, int, int]]] = set()
+            marks: list[tuple[int, int, int, int]] = []
+            for doc, h, text in group:
                 words = text.split()
                 if len(words) < size:
                     continue
@@ -80,45 +87,60 @@ def packed(docs: DataFrame, size: int, inner: int, buckets: int) -> DataFrame:
                 to_byte = (ends[starts + counts + size - 2] - 1).tolist()
                 bucket = (mixed(least) % np.uint64(buckets)).tolist()
                 for s, n, b, f, t in zip(starts.tolist(), counts.tolist(), bucket, from_byte, to_byte, strict=True):
-                    key = joined[f:t]
-                    was = earliest.get(key)
-                    if was is None:
-                        earliest[key] = (doc, s, n, b)
-                    elif (was[0], was[1]) < (doc, s):
-                        marks.append((doc, s, n))
-                    elif (was[0], was[1]) > (doc, s):
-                        marks.append(was[:3])
-                        earliest[key] = (doc, s, n, b)
-            by_bucket: dict[int, list[bytes]] = {}
-            for key, at in earliest.items():
-                by_bucket.setdefault(at[3], []).append(key)
+                    key, at = joined[f:t], (doc, s, h, n, b)
+                    was = earliest.setdefault(key, at)
+                    if was is at or was == at:
+                        continue
+                    if was[:2] == at[:2]:
+                        beside.add((key, at))
+                    elif was[:2] < at[:2]:
+                        marks.append((doc, h, s, n))
+                    else:
+                        marks.append((was[0], was[2], was[1], was[3]))
+                        earliest[key] = at
+            by_bucket: dict[int, list[tuple[bytes, tuple]]] = {}
+            for key, at in (*earliest.items(), *beside):
+                by_bucket.setdefault(at[4], []).append((key, at))
             rows = []
-            for b, keys in by_bucket.items():
-                heads = np.array([(earliest[k][0], earliest[k][1], len(k)) for k in keys], HEAD)
-                # sorted strings share prefixes, which compress
-                rows.append((b, zstandard.ZstdCompressor(1).compress(heads.tobytes()), zstandard.ZstdCompressor(1).compress(b"".join(keys))))
-            del earliest, by_bucket
+            for b, found in by_bucket.items():
+                heads = np.array([(at[0], at[2], at[1], len(k)) for k, at in found], HEAD)
+                rows.append((b, zstandard.ZstdCompressor(1).compress(by_column(heads)), zstandard.ZstdCompressor(1).compress(b"".join(k for k, _ in found))))
+            del earliest, beside, by_bucket
             if marks:
-                rows.append((-1, np.array(marks, HEAD).tobytes(), b""))
+                rows.append((-1, by_column(np.array(marks, HEAD)), b""))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "heads", "strings"])
 
     return docs.mapInArrow(run, "bucket int, heads binary, strings binary")
 
 
+def by_column(heads: np.ndarray) -> bytes:
+    """Heads with each field by itself, which compresses."""
+    return b"".join(heads[f].tobytes() for f in HEAD.names)
+
+
+def from_columns(blob: bytes) -> np.ndarray:
+    out, at = np.empty(len(blob) // HEAD.itemsize, HEAD), 0
+    for f in HEAD.names:
+        out[f] = np.frombuffer(blob, HEAD[f], len(out), at)
+        at += HEAD[f].itemsize * len(out)
+    return out
+
+
 def repeated_in(entries: list[tuple[bytes, bytes]], size: int) -> np.ndarray:
-    """Of one bucket's super-k-mers, the windows that start earlier elsewhere: runs of (doc, start, windows)."""
+    """Of one bucket's super-k-mers, the windows that start earlier elsewhere: runs of (doc, text, start, windows)."""
     ids: dict[bytes, int] = {}
-    docs, firsts, lengths, flat = [], [], [], []
+    docs, texts, firsts, lengths, flat = [], [], [], [], []
     for heads, strings in entries:
-        heads = np.frombuffer(zstandard.ZstdDecompressor().decompress(heads), HEAD)
+        heads = from_columns(zstandard.ZstdDecompressor().decompress(heads))
         strings = zstandard.ZstdDecompressor().decompress(strings)
         at = 0
-        for doc, start, length in heads.tolist():
+        for doc, text, start, length in heads.tolist():
             words = strings[at : at + length].split(b" ")
             at += length
             flat.append(np.fromiter([ids.setdefault(w, len(ids)) for w in words], np.int32, len(words)))
             docs.append(doc)
+            texts.append(text)
             firsts.append(start)
             lengths.append(len(words))
     words = np.concatenate(flat)
@@ -130,6 +152,7 @@ def repeated_in(entries: list[tuple[bytes, bytes]], size: int) -> np.ndarray:
     within = np.arange(windows.sum()) - np.repeat(before, windows)
     place = np.repeat(offsets, windows) + within
     doc = np.repeat(np.array(docs, np.int64), windows)
+    text = np.repeat(np.array(texts, np.int64), windows)
     start = np.repeat(np.array(firsts, np.int64), windows) + within
     value = sequence_hashes(mixed(words.astype(np.uint64) + np.uint64(1)), size)[place]
     order = np.argsort(value)
@@ -156,9 +179,9 @@ def repeated_in(entries: list[tuple[bytes, bytes]], size: int) -> np.ndarray:
     if not later.any():
         return np.empty(0, HEAD)
     found = np.zeros(int(later.sum()), HEAD)
-    found["doc"], found["start"] = doc[order[later]], start[order[later]]
-    found.sort(order=["doc", "start"])
-    fresh = np.r_[True, (found["doc"][1:] != found["doc"][:-1]) | (found["start"][1:] > found["start"][:-1] + 1)]
+    found["doc"], found["text"], found["start"] = doc[order[later]], text[order[later]], start[order[later]]
+    found = np.unique(found)
+    fresh = np.r_[True, (found["doc"][1:] != found["doc"][:-1]) | (found["text"][1:] != found["text"][:-1]) | (found["start"][1:] > found["start"][:-1] + 1)]
     runs = found[fresh].copy()
     at = np.flatnonzero(fresh)
     last = np.r_[at[1:] - 1, len(found) - 1]
@@ -166,30 +189,36 @@ def repeated_in(entries: list[tuple[bytes, bytes]], size: int) -> np.ndarray:
     return runs
 
 
-RANGES = "doc_id long, start int, windows int"
+RANGES = "doc_id long, text_hash long, start int, windows int"
 
 
 def arrow_ranges(runs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(runs[k]) for k in ("doc", "start", "length")], ["doc_id", "start", "windows"])
+    return pa.RecordBatch.from_arrays([pa.array(runs[k]) for k in ("doc", "text", "start", "length")], ["doc_id", "text_hash", "start", "windows"])
 
 
 def repeats(docs: DataFrame, size: int, inner: int, partitions: int) -> DataFrame:
     """Runs of windows whose words also start earlier."""
 
     def run(batches):
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        at, held = None, []
         for batch in batches:
-            for bucket, heads, strings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, heads, strings in zip(*batch.columns, strict=True):
+                bucket, heads = bucket.as_py(), heads.as_py()
                 if bucket < 0:
-                    yield arrow_ranges(np.frombuffer(heads, HEAD))
-                else:
-                    held.setdefault(bucket, []).append((heads, strings))
-        for bucket in list(held):
-            yield arrow_ranges(repeated_in(held.pop(bucket), size))
-
-    found = packed(docs, size, inner, partitions * 8)
+                    yield arrow_ranges(from_columns(heads))
+                    continue
+                if bucket != at and held:
+                    yield arrow_ranges(repeated_in(held, size))
+                    held = []
+                at = bucket
+                held.append((heads, strings.as_py()))
+        if held:
+            yield arrow_ranges(repeated_in(held, size))
+
+    found = packed(docs, size, inner, partitions * BUCKETS)
     spread = F.when(F.col("bucket") < 0, F.xxhash64("heads")).otherwise(F.col("bucket").cast("long"))
-    return found.repartition(partitions, spread).mapInArrow(run, RANGES)
+    # a task takes up its buckets one after another, so it holds one of them at a time
+    return found.repartition(partitions, spread).sortWithinPartitions("bucket").mapInArrow(run, RANGES)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, size: int = 20, inner: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -199,15 +228,15 @@ def without_repeats(spark: SparkSession, docs: DataFrame, size: int = 20, inner:
     a smaller id, or earlier in the same one. Windows are judged on the input. Words are runs of other than ASCII
     white space.
     """
-
-    scratch, partitions = Scratch(spark), shuffle_partitions(spark)
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    found = scratch.keep(repeats(docs, size, inner, partitions), "ranges")
-    # a document has at most one range for each bucket's run of its windows, so this is bounded by its length
-    marked = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "windows")).alias("ranges"))
+    scratch = Scratch(spark)
+    text = own(text_column).cast("string")
+    docs = docs.select(own(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    found = scratch.keep(repeats(docs, size, inner, partitions_for(docs)), "ranges")
+    # a text has at most one range for each bucket's run of its windows, so this is bounded by its length
+    marked = found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "windows")).alias("ranges"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             total, removed, texts = [], [], []
             for text, ranges in zip(binary_column(batch, "text"), batch.column(batch.schema.get_field_index("ranges")).to_pylist(), strict=True):
                 words = text.split()
@@ -220,9 +249,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, size: int = 20, inner:
                 total.append(len(words))
                 removed.append(int(covered.sum()))
                 texts.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c] if ranges else words).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
-    return docs.join(marked, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return docs.join(marked, ["doc_id", "text_hash"], "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
 
 
 def brute_force(rows: list[tuple], size: int = 20) -> list[tuple]:
