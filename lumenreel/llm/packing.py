@@ -1,13 +1,16 @@
-"""Best-fit packing with lower bounds on the bin counts.
+"""Best-fit packing, certified by lower bounds on the bin counts.
 
 Method. Documents become token ids and pieces of at most one sequence's length; only lengths travel. Each partition
-packs its pieces by best-fit decreasing. Dual-feasible functions over the partition's histogram of lengths give a
-lower bound on its bins, which is computed and not used: no partition is settled or chosen by it. The pieces in bins
-that aren't full, of all partitions, meet in fewer partitions and best-fit decreasing runs again, as long as that saves
-sequences and until one partition holds all that is left. Partitions are bounded in rows.
+packs its pieces by best-fit decreasing, and dual-feasible functions over its histogram of lengths give a lower bound on
+its bins. A partition that meets its bound is certified: no packing of its pieces takes fewer sequences, so they are
+settled, all but the emptiest one. Partitions with a gap give up their sequences that aren't full. What is given up is
+dealt out anew, so partitions exchange documents, and packed again by best-fit decreasing, as long as that saves sequences,
+more than one partition takes part and the sequences are more than the bound of all pieces together, which certifies the
+whole. Partitions are bounded in rows. certificate() tells the bound of any table of pieces.
 
 Nulls: a null text is an empty document (the end token alone); a null id is packed like any other. Repeated rows
-are packed each for itself. Extra columns are ignored.
+are packed each for itself. Very long texts are cut into pieces; an empty table gives no rows. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, sliced
+from lumenreel.llm.common import Scratch, own, sliced
 
 #: Pieces that one task packs.
 PART_ROWS = 200_000
@@ -36,35 +39,52 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def is_plain(made: dict) -> bool:
+    """Whether a tokenizer file is of the kind that byte_letters(), PATTERN and ranked merges describe in full."""
+    cut_up, model = made.get("pre_tokenizer") or {}, made["model"]
+    plain = cut_up.get("type") == "ByteLevel" and cut_up.get("use_regex", True) and not cut_up.get("add_prefix_space")
+    special = all(not t[k] for t in made["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    other = [made.get("normalizer"), made.get("truncation"), *[model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]]
+    # each merge makes the next id, so ids rank pairs as the list of merges does
+    ids = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model.get("merges", [])]
+    return bool(plain and special and not any(other) and model.get("type", "BPE") == "BPE" and None not in ids and ids == sorted(ids))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from text to ids for a byte-level BPE file.
 
-    The file's vocabulary runs in a faster engine that gives the same ids; a text that engine refuses goes to the
-    file's own library.
+    A file of the plain byte-level kind has its vocabulary run in a faster engine that gives the same ids; texts that
+    engine refuses, and all other files, go to the file's own library.
     """
-    import tiktoken
+
+    @lru_cache(maxsize=1)
+    def library():
+        """The file's own library, which takes much memory, only when it is needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    def slow(text: str) -> np.ndarray:
+        return np.asarray(library().encode(text, add_special_tokens=False).ids, "<u4")
 
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
+    if not is_plain(made):
+        return slow
+    import tiktoken
+
     special = {t["content"]: t["id"] for t in made["added_tokens"]}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in k): v for k, v in made["model"]["vocab"].items() if k not in special}
     fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     del made, ranks
 
-    @lru_cache(maxsize=1)
-    def own():
-        """The file's own library, which takes much memory, only when it is needed."""
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(path)
-
     def encode(text: str) -> np.ndarray:
         try:
             return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), "<u4")
-        except Exception:  # noqa: BLE001  the engine's pattern gives up on some very long runs, with errors of its own
-            return np.asarray(own().encode(text, add_special_tokens=False).ids, "<u4")
+        except ValueError:  # the engine's pattern gives up on some very long runs of blanks
+            return slow(text)
 
     return encode
 
@@ -116,9 +136,12 @@ def best_fit_decreasing(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return where, offset, count
 
 
-def lower_bound(lengths: np.ndarray, most: int) -> int:
-    """The most bins that a family of dual-feasible functions proves are needed."""
-    count = np.bincount(lengths, minlength=most + 1)[: most + 1].astype(np.int64)
+def lower_bound(count: np.ndarray) -> int:
+    """The most bins that a family of dual-feasible functions proves are needed, of count[n] pieces of each length n.
+
+    The last length is the most that a bin holds.
+    """
+    count, most = count.astype(np.int64), len(count) - 1
     x = np.arange(most + 1)
     best = -(-int((count * x).sum()) // most)
     for a in range(1, most // 2 + 1):  # what is over most - a fills a bin, what is under a counts nothing
@@ -131,20 +154,30 @@ def lower_bound(lengths: np.ndarray, most: int) -> int:
     return best
 
 
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, full boolean, part int, bins long, bound long"
+def certificate(rows: DataFrame, most: int) -> int:
+    """The lower bound on the sequences of all pieces of a table with `length`, from a histogram of at most `most` rows."""
+    count = np.zeros(most + 1, np.int64)
+    for r in rows.groupBy("length").count().toLocalIterator():
+        count[r["length"]] = r["count"]
+    return lower_bound(count)
+
+
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, part int, bins long, bound long"
 
 
 def packed_once(rows: DataFrame, turn: int, parts: int, most: int) -> DataFrame:
-    """One round: each of `parts` groups of rows packed by itself."""
+    """One round: each of `parts` groups of rows packed by itself. open: given up to the exchange."""
 
     def run(key, pdf):
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         lengths = pdf["length"].to_numpy()
         where, offset, bins = best_fit_decreasing(lengths, most)
         used = np.bincount(where, weights=lengths, minlength=bins)
+        bound = lower_bound(np.bincount(lengths, minlength=most + 1))
+        given = used < most if bins > bound else (np.arange(bins) == np.argmin(used)) & (used < most)
         pdf["sequence_id"] = (turn << 52) + (int(key[0]) << 24) + where
-        pdf["offset"], pdf["full"] = offset, used[where] == most
-        pdf["bins"], pdf["bound"] = bins, lower_bound(lengths, most)
+        pdf["offset"], pdf["open"] = offset, given[where]
+        pdf["bins"], pdf["bound"] = bins, bound
         return pdf[[c.split()[0] for c in PLACED.split(", ")]]
 
     part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)).cast("int")
@@ -153,31 +186,31 @@ def packed_once(rows: DataFrame, turn: int, parts: int, most: int) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, tokenizer_path: str, most: int = 1024, end_id: int = 2, part_rows: int = PART_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each document."""
-
     scratch = Scratch(spark)
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    docs = docs.select(own(id_column).cast("long").alias("doc_id"), own(text_column).cast("string").alias("text"))
     cut_up = scratch.keep(pieces(docs, tokenizer_path, most, end_id), "pieces")
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     # a piece of full length is a sequence of its own; its number is below 0, where no other is
     alone = cut_up.filter(F.col("length") == most).withColumn("offset", F.lit(0).cast("long"))
     alone = alone.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).select(out)
     settled, pool, turn = [alone], cut_up.filter(F.col("length") < most), 0
-    rows, before = pool.count(), None
+    least = certificate(pool, most)
+    rows, before, closed = pool.count(), None, 0
     while rows:
         parts = -(-rows // part_rows)
         placed = scratch.keep(packed_once(pool.select("doc_id", "piece", "start", "length", "ids_crc32"), turn, parts, most), f"round{turn}")
-        per_part = placed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
-        bins = per_part.agg(F.sum("bins")).first()[0]
+        bins = placed.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0]
         if before is not None and bins >= before.bins:
             settled.append(before.pool.select(out))
             break
-        open_rows = placed.filter("not full")
-        settled.append(placed.filter("full").select(out))
-        counts = open_rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("sequence_id").alias("bins")).first()
-        if parts == 1 or not counts["rows"]:
-            settled.append(open_rows.select(out))
+        given = placed.filter("open")
+        counts = given.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("sequence_id").alias("bins")).first()
+        if parts == 1 or not counts["rows"] or closed + bins == least:
+            settled.append(placed.select(out))
             break
-        before, pool, rows, turn = Open(open_rows, counts["bins"]), open_rows, counts["rows"], turn + 1
+        settled.append(placed.filter("not open").select(out))
+        closed += bins - counts["bins"]
+        before, pool, rows, turn = Open(given, counts["bins"]), given, counts["rows"], turn + 1
     result = settled[0]
     for more in settled[1:]:
         result = result.unionByName(more)
@@ -185,7 +218,7 @@ def packed(spark: SparkSession, docs: DataFrame, tokenizer_path: str, most: int
 
 
 class Open:
-    """What a round left in sequences that aren't full."""
+    """The sequences that a round gave up."""
 
     def __init__(self, pool: DataFrame, bins: int):
         self.pool, self.bins = pool, bins
