@@ -3,7 +3,9 @@
 Method, in DataFrame functions only. A text's tokens (runs of letters and digits, and runs of other characters that
 aren't blank, in lower case) and pairs of tokens are hashed into `buckets`. Two multinomials over the buckets are
 counted: of all documents (raw) and of the trusted ones (target), with partial counts before the shuffle, so a task
-sends at most `buckets` rows. A document's score is the mean of log(target / raw) over its n-grams, that is
+sends at most `buckets` rows. The target is smoothed towards the raw distribution, by `prior` n-grams of it, so that a
+bucket without target counts weighs log(prior / (target n-grams + prior)) and a small target isn't taken for another
+distribution: with a target like the corpus every weight is near 0 at any size of the two. A document's score is the mean of log(target / raw) over its n-grams, that is
 normalised by length, and each document is compared with one fixed threshold. The table of weights has `buckets`
 numbers at any size of the corpus and enters the plan as a scalar subquery.
 
@@ -19,7 +21,9 @@ the least hash of the id); that bound is what makes their ids safe to broadcast.
 cover all documents and whole texts. Base rules (words, symbols, repeated lines and windows) come with it.
 
 Nulls: a null text has no words and fails the base rules; a null id or label is never trusted. Repeated rows are
-documents of their own. Without trusted documents the ratio is flat and every score is 0. Extra columns are kept.
+documents of their own. Very long texts are taken whole; an empty table gives no rows. Without trusted documents the ratio
+is flat and every score is 0. Extra columns are kept; one that has the name of an output keeps its values under that name
+with _input.
 """
 
 from __future__ import annotations
@@ -27,10 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import words_of
+from lumenreel.llm.common import own, unwrapped, words_of, wrapped
 
-#: Buckets of hashed n-grams, the added count of each, and the mean log ratio that a document must reach.
-BUCKETS, SMOOTHING, THRESHOLD = 1 << 14, 1.0, -0.3
+#: Buckets of hashed n-grams, n-grams of the raw distribution that the target is smoothed by, and the mean log ratio that
+#: a document must reach.
+BUCKETS, PRIOR, THRESHOLD = 1 << 14, 16384.0, -0.3
+#: Columns that judged() adds.
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 #: Labelled documents that the target is fitted on.
 TRUSTED_ROWS = 20_000
 #: A marker is in this share of the labelled toxic documents, in so many, and its log ratio reaches the last number.
@@ -53,42 +60,42 @@ def bucket_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame, id_column: str, rows: int, toxic: int = 0) -> DataFrame:
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == toxic) & F.col(id_column).isNotNull())
-    return good.select(F.col(id_column).alias("_trusted")).distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(rows)
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == toxic) & own(id_column).isNotNull())
+    return good.select(own(id_column).alias("trusted")).distinct().orderBy(F.xxhash64("trusted"), "trusted").limit(rows)
 
 
-def weights(docs: DataFrame, labels: DataFrame, id_column: str, text: str, buckets: int, smoothing: float, trusted_rows: int) -> DataFrame:
-    """One row: `weights`, log(target / raw) of each bucket in order."""
-    trusted = docs.join(F.broadcast(trusted_ids(labels, id_column, trusted_rows)), F.col(id_column) == F.col("_trusted"), "left_semi")
-    raw = bucket_counts(docs, text, buckets).select("bucket", F.col("n").alias("r"), F.lit(0).cast("long").alias("t"))
-    target = bucket_counts(trusted, text, buckets).select("bucket", F.lit(0).cast("long").alias("r"), F.col("n").alias("t"))
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float) -> DataFrame:
+    """One row: `weights`, log(target / raw) of each bucket in order. docs: (id, text); trusted: (trusted)."""
+    chosen = docs.join(F.broadcast(trusted), F.col("id") == F.col("trusted"), "left_semi")
+    raw = bucket_counts(docs, "text", buckets).select("bucket", F.col("n").alias("r"), F.lit(0).cast("long").alias("t"))
+    target = bucket_counts(chosen, "text", buckets).select("bucket", F.lit(0).cast("long").alias("r"), F.col("n").alias("t"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("t"))
     counts = raw.union(target).union(every).groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
     row = counts.agg(F.array_sort(F.collect_list(F.struct("bucket", "r", "t"))).alias("all"), F.sum("r").alias("raw"), F.sum("t").alias("target"))
-    flat = smoothing * buckets
 
     def weight(x: Column) -> Column:
-        return F.log((x["t"] + smoothing) / (F.col("target") + flat)) - F.log((x["r"] + smoothing) / (F.col("raw") + flat))
+        share = x["r"] / F.col("raw")
+        return F.log((x["t"] + prior * share) / (F.col("target") + prior)) - F.log(share)
 
-    flatter = F.transform("all", lambda x: F.when(F.col("target") > 0, weight(x)).otherwise(F.lit(0.0)))
-    return row.select(flatter.alias("weights"))
+    # no document has an n-gram in a bucket without raw counts
+    return row.select(F.transform("all", lambda x: F.when((F.col("target") > 0) & (x["r"] > 0), weight(x)).otherwise(F.lit(0.0))).alias("weights"))
 
 
-def markers(docs: DataFrame, labels: DataFrame, id_column: str, text: str, trusted_rows: int) -> DataFrame:
+def markers(docs: DataFrame, toxic: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: `markers`, the hashes of tokens that tell toxic documents from trusted ones."""
-    ids = trusted_ids(labels, id_column, trusted_rows, 1).withColumn("_toxic", F.lit(1)).union(trusted_ids(labels, id_column, trusted_rows).withColumn("_toxic", F.lit(0)))
-    labelled = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_trusted"))
-    sizes = labelled.agg(F.struct(F.coalesce(F.sum("_toxic"), F.lit(0)).alias("x"), F.coalesce(F.sum(1 - F.col("_toxic")), F.lit(0)).alias("t")).alias("sizes")).scalar()
+    ids = toxic.withColumn("toxic", F.lit(1)).union(trusted.withColumn("toxic", F.lit(0)))
+    labelled = docs.join(F.broadcast(ids), F.col("id") == F.col("trusted"))
+    sizes = labelled.agg(F.struct(F.coalesce(F.sum("toxic"), F.lit(0)).alias("x"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("t")).alias("sizes")).scalar()
     # the outer form, for the reason that kept_rows() gives
-    each = labelled.select("_toxic", F.explode_outer(F.array_distinct(ngram_hashes(F.col("_text")))).alias("h")).filter("h is not null")
-    counts = each.groupBy("h").agg(F.sum("_toxic").alias("x"), F.sum(1 - F.col("_toxic")).alias("t")).filter(F.col("x") >= MARKER_ROWS).withColumn("n", sizes)
+    each = labelled.select("toxic", F.explode_outer(F.array_distinct(ngram_hashes(F.col("text")))).alias("h")).filter("h is not null")
+    counts = each.groupBy("h").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("t")).filter(F.col("x") >= MARKER_ROWS).withColumn("n", sizes)
     ratio = F.log((F.col("x") + 0.5) / (F.col("n.x") + 1)) - F.log((F.col("t") + 0.5) / (F.col("n.t") + 1))
     often = counts.filter((F.col("x") >= F.col("n.x") * MARKER_SHARE) & (F.col("n.t") > 0) & (ratio >= MARKER_RATIO))
     return often.agg(F.array_sort(F.collect_list("h")).alias("markers"))
 
 
-def with_base(docs: DataFrame, text: str) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs, of columns without clashing names, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     body = F.coalesce(F.col(text), F.lit(""))
     held = docs.withColumn("_words", words_of(F.col(text)))
     held = held.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -112,12 +119,13 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
     return held.drop("_words", "_hashes", "_windows", "_several", "_ordered", "_places", "_lines")
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """docs with the base counts, base_failed, score and kept."""
-    marks = markers(docs, labels, id_column, text, trusted_rows).scalar()
-    table = weights(docs, labels, id_column, text, buckets, smoothing, trusted_rows).scalar()
-    held = with_base(docs, text).withColumn("_grams", ngram_hashes(F.col(text)))
-    held = held.withColumn("_weights", table)
+def verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+    """(row, id, text) with the base counts, base_failed, score and kept; row has the columns of docs."""
+    held = wrapped(docs, id=own(id_column), text=own(text).cast("string"))
+    trusted = trusted_ids(labels, id_column, trusted_rows)
+    marks = markers(held.select("id", "text"), trusted_ids(labels, id_column, trusted_rows, 1), trusted).scalar()
+    table = weights(held.select("id", "text"), trusted, buckets, prior).scalar()
+    held = with_base(held).withColumn("_grams", ngram_hashes(F.col("text"))).withColumn("_weights", table)
     one = lambda h: F.get(F.col("_weights"), F.pmod(h, F.lit(buckets)).cast("int"))
     total = F.aggregate("_grams", F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("last")), lambda a, h: F.struct((a["sum"] + one(h) + one(F.xxhash64(a["last"], h))).alias("sum"), h.alias("last")), lambda a: a["sum"])
     score = F.when(F.size("_grams") > 0, total / (2 * F.size("_grams"))).otherwise(F.lit(0.0))
@@ -126,11 +134,16 @@ def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
     return held.drop("_grams", "_weights")
 
 
+def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs with the base counts, base_failed, score and kept. For options see verdicts()."""
+    return unwrapped(verdicts(docs, labels, **options), docs.columns, {c: F.col(c) for c in [*BASE, "score", "kept"]})
+
+
 def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that judged() keeps.
+    """The rows of docs whose verdict is to keep them, with their own columns.
 
     A plain filter on the verdict would be pushed below the steps that make it, each with the arrays before it made anew
     for every place; the outer form of explode() keeps the steps apart.
     """
-    row = F.when(F.col("kept"), F.array(F.struct(*docs.columns)))
-    return judged(docs, labels, **options).select(F.explode_outer(row).alias("_row")).filter("_row is not null").select("_row.*")
+    only = F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")
+    return unwrapped(verdicts(docs, labels, **options).select(only).filter("row is not null"), docs.columns, {})
