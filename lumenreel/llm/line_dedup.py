@@ -1,14 +1,19 @@
 """Line dedup by site-relative frequency: lines that more than a share of a host's pages have are dropped from them.
 
 Method, in DataFrame functions only. Each page's distinct lines are exploded as (host, hash of the line) and counted
-with a partial count before the shuffle; a line is boilerplate if its count exceeds `ratio` of the host's pages and
-reaches `min_pages`. Copies of a page on one host count as one page, else the lines of a much copied page would
-pass for boilerplate and all of it would go. A host's boilerplate has at most (lines of an average page) / ratio members, as each takes up
-that share of the pages' lines, so it is held as one array for each host and joined to the pages by host; no join has
-a row for each line. Lines are compared by a 64-bit hash within one host.
+with a partial count before the shuffle; the count is divided by the host's page total, and a line is boilerplate if it is
+on at least `min_pages` pages and on more than `ratio` of all. A host's boilerplate has at most (lines of an average page)
+/ ratio members, as each takes up that share of the pages' lines, so it is held as one array for each host and joined
+to the pages by host; no join has a row for each line. Lines are compared by a 64-bit hash within one host.
+
+With `copies` off, pages of a host with equal texts count as one, in a line's count and in the host's total. That is for
+tables that still hold copies of documents: a page that more than `ratio` of a host's pages repeat would otherwise pass
+for boilerplate as a whole and vanish, the last copy too.
 
 Blank lines stay. Nulls: a null text stays null and counts as a page without lines; a null host is a host of its own.
-Repeated rows are copies of a page. A page whose lines all go has an empty text. Extra columns are kept.
+Repeated rows are pages of their own with `copies` on, else copies of a page. A page whose lines all go has an empty text.
+Very long texts are taken whole; an empty table gives no rows. Extra columns are kept; one that has the name of an output
+(n_lines, n_removed) keeps its values under that name with _input.
 """
 
 from __future__ import annotations
@@ -16,8 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of the columns that are added in between.
-HASHES, GONE, HOST = "_line_hashes", "_line_gone", "_line_host"
+from lumenreel.llm.common import own, unwrapped, wrapped
+
+#: The share of a host's pages above which a line is boilerplate, and the fewest pages it must be on: what only two pages
+#: share tells nothing about a site.
+RATIO, MIN_PAGES = 0.07, 3
 
 
 def lines(text: Column) -> Column:
@@ -30,44 +38,47 @@ def line_hash(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """(host, hashes) of each host with boilerplate."""
+def boilerplate(pages: DataFrame, ratio: float, min_pages: int, copies: bool) -> DataFrame:
+    """(site, often) of each host with boilerplate, from pages (host, text)."""
     total = F.count(F.lit(1))
-    one = pages.select(F.col(host).alias(HOST), F.md5(F.encode(F.col(text), "utf-8")).alias("_page"), F.array_distinct(F.transform(lines(F.col(text)), line_hash)).alias("_lines"))
-    one = one.dropDuplicates([HOST, "_page"])
-    hosts = one.groupBy(HOST).agg(total.alias("pages"))
-    found = one.select(HOST, F.explode_outer("_lines").alias("line"))
-    counts = found.filter("line is not null").groupBy(HOST, "line").agg(total.alias("n")).filter(F.col("n") >= min_pages)
-    counts = counts.withColumnRenamed(HOST, "_h")
-    often = counts.join(hosts, F.col("_h").eqNullSafe(F.col(HOST))).filter(F.col("n") > F.col("pages") * F.lit(ratio))
-    return often.groupBy(HOST).agg(F.collect_list("line").alias(HASHES))
+    one = pages.select("host", F.md5(F.encode(F.col("text"), "utf-8")).alias("page"), F.array_distinct(F.transform(lines(F.col("text")), line_hash)).alias("lines"))
+    if not copies:
+        one = one.dropDuplicates(["host", "page"])
+    hosts = one.groupBy("host").agg(total.alias("pages"))
+    found = one.select("host", F.explode_outer("lines").alias("line"))
+    counts = found.filter("line is not null").groupBy("host", "line").agg(total.alias("n")).filter(F.col("n") >= min_pages)
+    counts = counts.withColumnRenamed("host", "site")
+    often = counts.join(hosts, F.col("site").eqNullSafe(F.col("host"))).filter(F.col("n") > F.col("pages") * F.lit(ratio))
+    return often.groupBy("site").agg(F.collect_list("line").alias("often"))
 
 
-def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.07, min_pages: int = 5) -> DataFrame:
+def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """pages with `text` less its boilerplate lines, and n_lines and n_removed (blank lines don't count)."""
-    often = boilerplate(pages, host, text, ratio, min_pages)
-    both = pages.join(often, F.col(host).eqNullSafe(F.col(HOST)), "left").withColumn(HASHES, F.coalesce(HASHES, F.array().cast("array<long>")))
-    stays = F.filter(lines(F.col(text)), lambda x: ~F.coalesce(F.array_contains(F.col(HASHES), line_hash(x)), F.lit(False)))
-    filled = F.size(F.filter(F.coalesce(lines(F.col(text)), F.array().cast("array<string>")), lambda x: line_hash(x).isNotNull()))
-    out = both.withColumn("n_lines", filled.cast("long"))
+    held = wrapped(pages, host=own(host), text=own(text).cast("string"))
+    often = boilerplate(held.select("host", "text"), ratio, min_pages, copies)
+    both = held.join(often, F.col("host").eqNullSafe(F.col("site")), "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
+    stays = F.filter(lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("often"), line_hash(x)), F.lit(False)))
+
+    def filled(body: Column) -> Column:
+        return F.size(F.filter(F.coalesce(lines(body), F.array().cast("array<string>")), lambda x: line_hash(x).isNotNull())).cast("long")
+
     # most pages have none of their host's lines: look before rebuilding
-    hit = F.arrays_overlap(F.transform(lines(F.col(text)), line_hash), F.col(HASHES))
-    kept = F.when(F.coalesce((F.size(HASHES) > 0) & hit, F.lit(False)), F.array_join(stays, "\n")).otherwise(F.col(text))
-    out = out.withColumn("_line_kept", kept)
-    left = F.size(F.filter(F.coalesce(lines(F.col("_line_kept")), F.array().cast("array<string>")), lambda x: line_hash(x).isNotNull()))
-    out = out.withColumn("n_removed", (F.col("n_lines") - left).cast("long")).withColumn(text, F.col("_line_kept"))
-    return out.drop("_line_kept", HASHES, HOST)
+    hit = F.arrays_overlap(F.transform(lines(F.col("text")), line_hash), F.col("often"))
+    kept = F.when(F.coalesce((F.size("often") > 0) & hit, F.lit(False)), F.array_join(stays, "\n")).otherwise(F.col("text"))
+    out = both.withColumn("n_lines", filled(F.col("text"))).withColumn("kept", kept)
+    out = out.withColumn("n_removed", F.col("n_lines") - filled(F.col("kept")))
+    return unwrapped(out, pages.columns, {"n_lines": F.col("n_lines"), "n_removed": F.col("n_removed")}, {text: F.col("kept")})
 
 
 ORACLE_SQL = r"""
 WITH pages AS (SELECT row_number() OVER () AS page, doc_id, source, text FROM documents),
-hosts AS (SELECT source, count(DISTINCT coalesce(md5(text), '')) AS pages FROM pages GROUP BY source),
+hosts AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
 lines AS (
-  SELECT page, source, md5(text) AS copy, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM pages),
+  SELECT page, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM pages),
 bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS b FROM lines),
 often AS (
-  SELECT c.source, c.b FROM (SELECT source, b, count(DISTINCT copy) AS n FROM bare WHERE b <> '' GROUP BY source, b) c
-  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n >= 5 AND c.n > h.pages * 0.07::DOUBLE),
+  SELECT c.source, c.b FROM (SELECT source, b, count(DISTINCT page) AS n FROM bare WHERE b <> '' GROUP BY source, b) c
+  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source WHERE c.n >= 3 AND c.n > h.pages * 0.07::DOUBLE),
 marked AS (SELECT bare.*, often.b IS NOT NULL AS gone FROM bare LEFT JOIN often ON bare.source IS NOT DISTINCT FROM often.source AND bare.b = often.b),
 kept AS (
   SELECT page, count(*) FILTER (WHERE b <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lumenreel.llm import chat, decontam, line_dedup, ngram_jaccard, packing, quality, secrets, sharding, substring, warc
@@ -169,19 +170,56 @@ def test_substring_dedup(spark):
 
 @pytest.mark.parametrize("size", [4, 7])
 def test_substring_dedup_small_windows(spark, size):
-    rows = [(i % 40, " ".join(words(30, i, 4)), None, None, None) for i in range(40)]
+    # ids from 0 to 39, of which some have two or three texts
+    rows = [(i % 40, " ".join(words(30, i, 4)), None, None, None) for i in range(70)]
+    rows += [(50, " ".join(words(60, 1, 9)), None, None, None), (50, " ".join(words(60, 2, 9)), None, None, None), (50, " ".join(words(60, 3000, 10**6)), None, None, None), (50, " ".join(words(60, 2, 9)), None, None, None)]
     got = substring.without_repeats(spark, spark.createDataFrame(rows, DOCS), size, 2).withColumn("sha", F.sha2("text", 256)).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.sha) for r in got) == sorted(substring.brute_force([(r[0], r[1]) for r in rows], size))
-
-
-def test_line_dedup(spark):
+    assert [r.n_removed for r in got if r.text == rows[72][1]] == [0]
+
+
+def line_truth(rows, ratio, least, copies):
+    """(id, text, lines, removed) of rows (id, host, text), by counting pages."""
+    bare = lambda x: x.strip(" \t\r\x0b\x0c")
+    pages, have = collections.Counter(), collections.Counter()
+    seen = set()
+    for _, host, text in rows:
+        if not copies and (host, text) in seen:
+            continue
+        seen.add((host, text))
+        pages[host] += 1
+        have.update((host, x) for x in {bare(x) for x in (text or "").split("\n")} if x)
+    out = []
+    for i, host, text in rows:
+        parts = [] if text is None else text.split("\n")
+        gone = [bool(bare(x)) and have[host, bare(x)] >= least and have[host, bare(x)] > pages[host] * ratio for x in parts]
+        out.append((i, None if text is None else "\n".join(x for x, g in zip(parts, gone, strict=True) if not g), sum(bool(bare(x)) for x in parts), sum(gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("copies", [True, False])
+@pytest.mark.parametrize(("ratio", "least"), [(0.3, 3), (0.07, 2)])
+def test_line_dedup(spark, copies, ratio, least):
     rows = [(i, f"top {i}\nall rights reserved \n\nbody {i}\nall rights reserved", "en", "a", None) for i in range(20)]
-    rows += [(100 + i, "all rights reserved", "en", "b", None) for i in range(3)] + [(200, None, None, None, None), (201, "", None, None, None)]
+    rows += [(100 + i, "all rights reserved", "en", "b", None) for i in range(2)] + [(200, None, None, None, None), (201, "", None, None, None)]
     rows += [(300 + i, f"footer\n{i}", None, None, None) for i in range(5)] + [(400 + i, "copied\npage", "en", "c", None) for i in range(9)] + [(500 + i, f"own {i}", "en", "c", None) for i in range(9)]
-    got = {r.doc_id: r for r in line_dedup.without_boilerplate(spark.createDataFrame(rows, DOCS), ratio=0.3).collect()}
-    assert got[4].text == "top 4\n\nbody 4" and (got[4].n_lines, got[4].n_removed) == (4, 2)
-    assert got[101].text == "all rights reserved" and got[200].text is None and got[201].text == "" and got[302].text == "2" and got[404].text == "copied\npage"
-    assert len(got) == len(rows) and line_dedup.without_boilerplate(empty(spark)).count() == 0
+    rows += [(600 + i, f"foot\n{i}" if i < 3 else f"{i}", "en", "d", None) for i in range(9)] + [rows[3], (3, "top 3", "en", "a", None), (None, "top 3\nx", "en", "a", None), (700, "a\n" * 5000, "en", "e", None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for clash in ("n_lines", "N_removed", "host", "site", "often", "kept", "_line_host", "_line_hashes", "row"):
+        docs = docs.withColumn(clash, F.lit(7))
+    found = line_dedup.without_boilerplate(docs, ratio=ratio, min_pages=least, copies=copies)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in found.select("doc_id", "text", "n_lines", "n_removed").collect()), key=str) == line_truth([(r[0], r[3], r[1]) for r in rows], ratio, least, copies)
+    assert {"n_lines_input", "N_removed_input", "_line_host", "often", "row"} <= set(found.columns) and found.agg(F.min("n_lines_input"), F.max("often")).first() == (7, 7)
+    assert line_dedup.without_boilerplate(empty(spark)).count() == 0
+
+
+def test_line_dedup_counts_pages_of_the_host(spark):
+    # a third of the host's pages are one page: with copies it is boilerplate, without it stays; the footer goes in both
+    rows = [(i, "copied\npage\nfooter", "en", "c", None) for i in range(10)] + [(100 + i, f"own {i}\nfooter", "en", "c", None) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    on = {r.doc_id: r.text for r in line_dedup.without_boilerplate(docs).collect()}
+    off = {r.doc_id: r.text for r in line_dedup.without_boilerplate(docs, copies=False).collect()}
+    assert on[0] == "" and off[0] == "copied\npage" and on[100] == off[100] == "own 0"
 
 
 def base_truth(text):
@@ -196,21 +234,21 @@ def base_truth(text):
 
 
 def tokens_of(text):
-    import regex
-
     return regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", (text or "").lower())
 
 
 def test_quality_rules(spark):
     rows = [(i, " ".join(words(60, i)), None, "s", None) for i in range(30)] + [(100 + i, " | ".join(words(60, 50 + i)), None, "s", None) for i in range(10)]
-    rows += [(200, None, None, None, None), (201, "", None, None, None), (202, "ä ö\nä ö\n\n ä ö", None, None, None), (203, "a b c d e f " * 9, None, None, None), (None, "é " * 12, None, None, None), (0, rows[0][1], None, None, None)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit(1))
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100, 0, 0), (101, 1, 1), (None, 1, 0), (25, None, None)], "doc_id long, quality int, toxic int")
-    got = quality.judged(docs.drop("score"), labels, buckets=64).collect()
-    assert len(got) == len(rows)
+    rows += [(200, None, None, None, None), (201, "", None, None, None), (202, "ä ö\nä ö\n\n ä ö", None, None, None), (203, "a b c d e f " * 9, None, None, None), (None, "é " * 12, None, None, None), (0, rows[0][1], None, None, None), (204, "long text " * 30000, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for clash in ("score", "kept", "N_words", "trusted", "id", "row", "toxic", "_words", "_lines", "_weights", "_trusted"):
+        docs = docs.withColumn(clash, F.lit(3))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100, 0, 0), (101, 1, 1), (None, 1, 0), (25, None, None)], "doc_id long, quality int, toxic int").withColumn("trusted", F.lit(0)).withColumn("text", F.lit("x"))
+    found = quality.judged(docs, labels, buckets=64, prior=50.0)
+    got = found.select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept").collect()
+    assert len(got) == len(rows) and found.agg(F.max("score_input"), F.max("kept_input"), F.max("N_words_input"), F.max("_words"), F.max("trusted")).first() == (3, 3, 3, 3, 3)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_truth(r.text)
-    assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 30) and not any(r.kept for r in got if r.doc_id is not None and r.doc_id >= 100)
     # the score itself, with the engine's hash taken as given
     seen = {t for r in rows for t in tokens_of(r[1])}
     pairs = {(a, b) for r in rows for a, b in zip([None, *tokens_of(r[1])], tokens_of(r[1]), strict=False)}
@@ -226,13 +264,25 @@ def test_quality_rules(spark):
     for r in rows:
         raw.update(grams(r[1]))
         target.update(grams(r[1]) if r[0] is not None and r[0] < 20 else [])
-    n, m = sum(raw.values()) + 64, sum(target.values()) + 64
+    n, m = sum(raw.values()), sum(target.values())
     for r in got:
-        g = grams(r.text)
-        want = sum(np.log((target[x] + 1) / m) - np.log((raw[x] + 1) / n) for x in g) / len(g) if g else 0
+        g = collections.Counter(grams(r.text))
+        want = sum(k * np.log((target[x] + 50 * raw[x] / n) / (m + 50) / (raw[x] / n)) for x, k in g.items()) / max(1, sum(g.values()))
         assert r.score == pytest.approx(want, abs=1e-9)
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+    kept = quality.kept_rows(docs, labels, buckets=64, prior=50.0)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted(r.text for r in got if r.kept)
     assert quality.judged(empty(spark), labels).count() == 0
-    assert quality.judged(docs.drop("score"), labels.limit(0)).filter("score <> 0").count() == 0
+    assert quality.judged(docs, labels.limit(0)).filter("score <> 0").count() == 0
+
+
+@pytest.mark.parametrize("trusted", [1, 3, 20])
+def test_quality_ratio_has_no_bias_by_size(spark, trusted):
+    # documents of one distribution, however few of them are trusted, score near 0 and are kept
+    docs = spark.createDataFrame([(i, " ".join(words(200, i, 40)), "en", "s", None) for i in range(20)], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(trusted)], "doc_id long, quality int, toxic int")
+    got = quality.judged(docs, labels).collect()
+    assert all(r.kept and abs(r.score) < 0.1 for r in got)
 
 
 def test_quality_rules_drop_toxic_prose(spark):
@@ -306,7 +356,7 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(bins) <= packing.lower_bound(np.array([r.length for r in got]), 256) + 1
+    assert len(bins) <= packing.lower_bound(np.bincount([r.length for r in got], minlength=257)) + 1
     assert packing.packed(spark, empty(spark), tokenizer_path()).count() == 0
 
 
@@ -315,8 +365,60 @@ def test_lower_bound_and_best_fit():
     for _ in range(30):
         lengths = np.sort(r.integers(1, 65, r.integers(1, 80)))[::-1].copy()
         where, offset, bins = packing.best_fit_decreasing(lengths, 64)
-        assert packing.lower_bound(lengths, 64) <= bins and np.bincount(where, weights=lengths).max() <= 64
-    assert packing.lower_bound(np.array([33] * 5), 64) == 5 and packing.lower_bound(np.array([22] * 6), 64) == 3
+        assert packing.lower_bound(np.bincount(lengths, minlength=65)) <= bins and np.bincount(where, weights=lengths).max() <= 64
+    bound = lambda lengths: packing.lower_bound(np.bincount(lengths, minlength=65))
+    assert bound([33] * 5) == 5 and bound([22] * 6) == 3
+
+
+def pieces_of(spark, lengths):
+    return spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def test_certified_partitions_settle_and_others_give_up_what_is_not_full(spark):
+    # in one partition: three halves and a bit need three sequences, which the bound proves; all but the emptiest are settled
+    rows = packing.packed_once(pieces_of(spark, [40, 40, 40, 24]), 0, 1, 64).collect()
+    assert {(r.bins, r.bound) for r in rows} == {(3, 3)} and sorted(r.length for r in rows if r.open) == [40]
+    # best fit decreasing takes five here and the bound is four: what isn't full is given up
+    lengths = [38, 35, 35, 33, 27, 20, 16, 16, 14, 10, 7]
+    rows = packing.packed_once(pieces_of(spark, lengths), 0, 1, 64).collect()
+    bins, bound = rows[0].bins, rows[0].bound
+    assert (bins, bound) == (5, 4)
+    used = collections.Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert {r.sequence_id for r in rows if r.open} == {k for k, n in used.items() if n < 64} and packing.certificate(pieces_of(spark, lengths), 64) == 4
+
+
+def test_packing_stops_at_the_bound(spark, monkeypatch):
+    rounds, own = [], packing.packed_once
+    monkeypatch.setattr(packing, "packed_once", lambda rows, turn, parts, most: rounds.append(parts) or own(rows, turn, parts, most))
+    docs = spark.createDataFrame([(i, "a" * (i % 7)) for i in range(400)], "doc_id long, text string")
+    got = packing.packed(spark, docs, tokenizer_path(), 64, 2, part_rows=100).collect()
+    least = packing.lower_bound(np.bincount([r.length for r in got], minlength=65))
+    assert rounds[0] == 4 and least <= len({r.sequence_id for r in got}) <= least + 1
+    # a bound that nothing reaches keeps the exchange going until it saves no more
+    monkeypatch.setattr(packing, "lower_bound", lambda count: 0)
+    before, rounds[:] = len(rounds), []
+    again = packing.packed(spark, docs, tokenizer_path(), 64, 2, part_rows=100).collect()
+    assert len(rounds) >= before and least <= len({r.sequence_id for r in again}) <= least + 1
+    # one that is reached at once ends it: certified partitions that together need no more than all pieces do
+    monkeypatch.undo()
+    monkeypatch.setattr(packing, "packed_once", lambda rows, turn, parts, most: rounds.append(parts) or own(rows, turn, parts, most))
+    rounds[:] = []
+    full = spark.createDataFrame([(i, " a" * 31) for i in range(400)], "doc_id long, text string")
+    assert packing.packed(spark, full, tokenizer_path(), 64, 2, part_rows=100).select("sequence_id").distinct().count() >= 200 and len(rounds) <= 2
+
+
+def test_only_plain_files_run_in_the_faster_engine(tmp_path):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        made = json.load(f)
+    assert packing.is_plain(made)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": made["model"] | {"ignore_merges": True}}, {"model": made["model"] | {"merges": made["model"]["merges"][::-1]}}):
+        assert not packing.is_plain(made | change)
+    text = " " * 200_000 + "x"
+    from tokenizers import Tokenizer
+
+    assert packing.encoder(tokenizer_path())(text).tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
 
 
 def test_sequences_hold_the_ids(spark):
@@ -360,17 +462,71 @@ def test_warc_rejects_damage():
             list(warc.records(bad))
 
 
+def contained_truth(docs, items, share=0.8, size=5):
+    """(doc, item): (shared, all) of each pair of texts by comparing the sets of shingles, as text."""
+    plain = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+    grams = lambda w, n: {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out = {}
+    for item, text in items:
+        w = plain(text)
+        if item is None or not w:
+            continue
+        n = min(len(w), size)
+        want = grams(w, n)
+        for doc, body in docs:
+            shared = len(want & grams(plain(body), n))
+            if doc is not None and shared >= np.ceil(len(want) * share):
+                out[doc, item] = max(out.get((doc, item), (0, 0)), (shared, len(want)))
+    return sorted((*k, *v) for k, v in out.items())
+
+
 def test_decontamination(spark):
     item, short = words(30, 1000), ["q1", "q2", "q3"]
     long = words(20000, 5, 10**6)
-    docs = [(0, " ".join([*long, *item, *long[:50]])), (1, " ".join(w.upper() + "," for w in item)), (2, " ".join(item[:20])), (3, "q1 q2  Q3!"), (4, "x q1 q2 q3"), (5, None), (6, ""), (None, " ".join(item)), (1, "again"), (7, " ".join([*item[:10], "zz", *item[10:]]))]
-    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in docs], DOCS).withColumn("item_id", F.lit(5)).withColumn("hash", F.lit(5))
-    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, None), (4, "!!"), (None, " ".join(item)), (5, " ".join(item)), (5, " ".join(item))], "item_id long, text string")
+    rows = [(0, " ".join([*long, *item, *long[:50]])), (1, " ".join(w.upper() + "," for w in item)), (2, " ".join(item[:20])), (3, "q1 q2  Q3!"), (4, "x q1 q2 q3"), (5, None), (6, ""), (None, " ".join(item)), (1, "again"), (7, " ".join([*item[:10], "zz", *item[10:]])), (8, "q1 q2"), (2, "no item here"), (9, "q1 q3 q2 q2")]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)
+    for clash in ("item_id", "hash", "key", "row", "need", "_found", "_words"):
+        docs = docs.withColumn(clash, F.lit(5))
+    tests = [(1, " ".join(item)), (2, " ".join(short)), (3, None), (4, "!!"), (None, " ".join(item)), (5, " ".join(item)), (5, " ".join(item)), (6, "again")]
+    items = spark.createDataFrame(tests, "item_id long, text string")
+    want = contained_truth(rows, tests)
+    assert {(0, 1, 26, 26), (7, 5, 22, 26), (3, 2, 1, 1), (4, 2, 1, 1), (1, 6, 1, 1)} <= set(want) and not any(d in (2, 8, 9) for d, *_ in want)
     for most in (10**6, 0):
-        got = sorted((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.contained(spark, docs, items, broadcast_rows=most).collect())
-        assert got == [(0, 1, 26, 26), (0, 5, 26, 26), (1, 1, 26, 26), (1, 5, 26, 26), (3, 2, 1, 1), (7, 1, 22, 26), (7, 5, 22, 26)]
-    assert sorted(str(r.doc_id) for r in decontam.without_items(spark, docs, items).collect()) == ["2", "4", "5", "6", "None"]
+        assert sorted(tuple(r) for r in decontam.contained(spark, docs, items, broadcast_rows=most).collect()) == want
+    # without an item's text: also where the id is null, or another row with the id holds it
+    left = decontam.without_items(spark, docs, items)
+    gone = {t for d, t in rows if contained_truth([(1, t)], tests)}
+    assert left.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, (r for r in rows if r[1] not in gone)))
+    assert (None, " ".join(item)) in [r for r in rows if r[1] in gone] and len(gone) == 6
     assert decontam.contained(spark, docs, items.limit(0)).count() == 0 and decontam.contained(spark, empty(spark), items).count() == 0
+    assert decontam.without_items(spark, docs, items.limit(0)).count() == len(rows)
+
+
+def test_decontamination_of_random_items(spark):
+    r = random.Random(8)
+    tests = [(i, " ".join(words(r.randrange(1, 60), 5000 + i, 300))) for i in range(60)]
+    rows = []
+    for i in range(150):
+        body = words(r.randrange(0, 300), 9000 + i, 300)
+        for _ in range(r.randrange(0, 3)):
+            part = r.choice(tests)[1].split()
+            cut = r.randrange(0, max(1, len(part) // 4))
+            at = r.randrange(len(body) + 1)
+            body[at:at] = part[cut:]
+        rows.append((i, " ".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.contained(spark, docs, spark.createDataFrame(tests, "item_id long, text string"))
+    assert sorted(tuple(x) for x in got.collect()) == contained_truth(rows, tests)
+
+
+def test_decontamination_partitions_bound_what_documents_show(spark):
+    values = F.array(*[F.lit(x).cast("long") for x in (-50, -20, 0, 30, 90)])
+    show = lambda classes: spark.range(1).select(decontam.shown(values, classes).alias("x")).first().x
+    # too small a document for the second partition shows nothing on its account
+    assert show([(3, -20), (6, 100)]) == [-50, -20] and show([(3, -20), (5, 40)]) == [-50, -20, 0, 30] and show([(6, 100)]) == [] and show([]) == []
+    tests = spark.createDataFrame([(1, " ".join(words(8, 1))), (2, " ".join(words(100, 2)))], "item_id long, text string")
+    by = {r.item_id: r for r in decontam.sketches(tests, 0.8, 5).collect()}
+    assert by[1].size_class != by[2].size_class and by[1].need == 4 and len(by[1].sketch) == 1 and by[2].need == 77 and len(by[2].sketch) == 20
 
 
 def test_sharding(spark):
