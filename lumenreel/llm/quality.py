@@ -10,10 +10,10 @@ normalised by length, and each document is compared with one fixed threshold. Th
 numbers at any size of the corpus and enters the plan as a scalar subquery.
 
 A mean over all n-grams hides a few bad words in good prose, so toxic documents have a second log ratio: of the share
-of toxic documents that have a token to the share of trusted ones. Tokens of a high ratio that many toxic documents
-have are markers, and a document with a marker isn't kept. Markers are compared by 64-bit hash, not by bucket, as
-plain words share buckets. Rare tokens are no markers however high their ratio, or the words of small languages
-would be. Both sides are of good quality, so junk doesn't enter; there are at most (tokens of an average document) /
+of toxic documents that have a token to the share of trusted ones. Tokens of a high ratio that enough toxic documents
+have are markers. A document with two of them isn't kept, nor one with a single marker that many toxic documents have: one
+marker of a small language alone may be chance. Markers are compared by 64-bit hash, not by bucket, as plain words share
+buckets. Both sides are of good quality, so junk doesn't enter; there are at most (tokens of an average document) /
 share markers.
 
 Trusted documents are the labelled ones of good quality that aren't toxic, at most `trusted_rows` of them (those with
@@ -40,8 +40,9 @@ BUCKETS, PRIOR, THRESHOLD = 1 << 14, 16384.0, -0.3
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 #: Labelled documents that the target is fitted on.
 TRUSTED_ROWS = 20_000
-#: A marker is in this share of the labelled toxic documents, in so many, and its log ratio reaches the last number.
-MARKER_SHARE, MARKER_ROWS, MARKER_RATIO = 0.1, 5, 3.0
+#: A marker is in this share of the labelled toxic documents, in so many, and its log ratio reaches the next number; one that
+#: the last share of them has is enough by itself.
+MARKER_SHARE, MARKER_ROWS, MARKER_RATIO, STRONG_SHARE = 0.02, 5, 3.0, 0.1
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 
@@ -82,7 +83,7 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int, prior: float) ->
 
 
 def markers(docs: DataFrame, toxic: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row: `markers`, the hashes of tokens that tell toxic documents from trusted ones."""
+    """One row: `markers`, the hashes of tokens that tell toxic documents from trusted ones, and the `strong` among them."""
     ids = toxic.withColumn("toxic", F.lit(1)).union(trusted.withColumn("toxic", F.lit(0)))
     labelled = docs.join(F.broadcast(ids), F.col("id") == F.col("trusted"))
     sizes = labelled.agg(F.struct(F.coalesce(F.sum("toxic"), F.lit(0)).alias("x"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("t")).alias("sizes")).scalar()
@@ -91,7 +92,8 @@ def markers(docs: DataFrame, toxic: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = each.groupBy("h").agg(F.sum("toxic").alias("x"), F.sum(1 - F.col("toxic")).alias("t")).filter(F.col("x") >= MARKER_ROWS).withColumn("n", sizes)
     ratio = F.log((F.col("x") + 0.5) / (F.col("n.x") + 1)) - F.log((F.col("t") + 0.5) / (F.col("n.t") + 1))
     often = counts.filter((F.col("x") >= F.col("n.x") * MARKER_SHARE) & (F.col("n.t") > 0) & (ratio >= MARKER_RATIO))
-    return often.agg(F.array_sort(F.collect_list("h")).alias("markers"))
+    strong = F.when(F.col("x") >= F.col("n.x") * STRONG_SHARE, F.col("h"))
+    return often.agg(F.struct(F.array_sort(F.collect_list("h")).alias("every"), F.array_sort(F.collect_list(strong)).alias("strong")).alias("markers"))
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -125,13 +127,14 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     trusted = trusted_ids(labels, id_column, trusted_rows)
     marks = markers(held.select("id", "text"), trusted_ids(labels, id_column, trusted_rows, 1), trusted).scalar()
     table = weights(held.select("id", "text"), trusted, buckets, prior).scalar()
-    held = with_base(held).withColumn("_grams", ngram_hashes(F.col("text"))).withColumn("_weights", table)
+    held = with_base(held).withColumn("_grams", ngram_hashes(F.col("text"))).withColumn("_weights", table).withColumn("_marks", marks)
     one = lambda h: F.get(F.col("_weights"), F.pmod(h, F.lit(buckets)).cast("int"))
     total = F.aggregate("_grams", F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("last")), lambda a, h: F.struct((a["sum"] + one(h) + one(F.xxhash64(a["last"], h))).alias("sum"), h.alias("last")), lambda a: a["sum"])
     score = F.when(F.size("_grams") > 0, total / (2 * F.size("_grams"))).otherwise(F.lit(0.0))
-    toxic = F.arrays_overlap("_grams", marks)
+    held = held.withColumn("_found", F.array_intersect("_grams", F.col("_marks.every")))
+    toxic = (F.size("_found") >= 2) | F.arrays_overlap("_found", F.col("_marks.strong"))
     held = held.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & ~toxic)
-    return held.drop("_grams", "_weights")
+    return held.drop("_grams", "_weights", "_marks", "_found")
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

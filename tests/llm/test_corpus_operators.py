@@ -286,20 +286,26 @@ def test_quality_ratio_has_no_bias_by_size(spark, trusted):
 
 
 def test_quality_rules_drop_toxic_prose(spark):
-    bad, rare = ["scum", "moron"], ["langue", "propre"]
-    # 0-39 trusted, 40-69 labelled toxic, two of those in a language of their own; 70-99 unlabelled, every third toxic
-    texts = [words(80, i, 12) for i in range(100)]
-    for i in (*range(40, 68), *range(70, 100, 3)):
+    bad, rare, weak = ["scum", "moron"], ["langue", "propre"], ["sot", "vil", "bas"]
+    # 0-99 and 230-329 trusted, 100-199 labelled toxic, among them two in a language of their own and six with words that few have;
+    # 200-229 unlabelled, every third toxic
+    texts = [words(80, i, 12) for i in range(330)]
+    for i in (*range(100, 192), *range(200, 230, 3)):
         texts[i][i % 60] = bad[i % 2].upper()
-    for i in (68, 69, 71):
+    for i in (198, 199, 201):
         texts[i] += rare
+    for i in range(192, 198):
+        texts[i] += weak
+    texts[202] += weak[:1]
+    texts[204] += weak[:2]
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", None) for i, t in enumerate(texts)], DOCS)
-    labels = spark.createDataFrame([(i, 1, int(i >= 40)) for i in range(70)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, int(100 <= i < 200)) for i in (*range(200), *range(230, 330))], "doc_id long, quality int, toxic int")
     kept = {r.doc_id for r in quality.judged(docs, labels, buckets=64).filter("kept").collect()}
-    assert kept == set(range(100)) - set(range(40, 68)) - set(range(70, 100, 3))
+    # one weak marker isn't enough, two are; words of only two toxic documents are none
+    assert kept == set(range(330)) - set(range(100, 198)) - set(range(200, 230, 3)) - {204}
     assert {r.doc_id for r in quality.kept_rows(docs, labels, buckets=64).collect()} == kept
     clean = labels.filter("toxic = 0")
-    assert quality.judged(docs, clean, buckets=64).filter("kept").count() == 100
+    assert quality.judged(docs, clean, buckets=64).filter("kept").count() == 330
 
 
 def secrets_truth(text):
