@@ -10,7 +10,9 @@ buffer, which becomes the output column as it is. The loss mask is a list of spa
 assistant's texts.
 
 Rows of a conversation are ordered by turn, then role and text; nulls first. Null text or role: empty. A null
-conv_id is a conversation like any other. Extra columns are ignored; an empty table gives no rows.
+conv_id is a conversation like any other; repeated rows are turns of their own. Very long texts are taken whole, but a
+conversation is one output row, so one of 2 GB or more raises OverflowError. Extra columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import shuffle_partitions
+from lumenreel.llm.common import partitions_for, sliced
 
 OPEN, CLOSE, ESCAPE = b"### ", b"</turn>\n", b"\\"
 #: Control strings that are escaped in texts.
@@ -69,6 +71,8 @@ def assembled(ids: list, turns: list[int], roles: list[str], texts: list[bytes])
     heads = np.fromiter((len(kinds[r]) for r in roles), np.int64, len(roles))
     body = sizes + np.diff(before)
     segment = np.r_[0, np.cumsum(heads + body + len(CLOSE))]
+    if segment[-1] >= 2**31:
+        raise OverflowError(f"conversation {ids[0]} has {segment[-1]} bytes; a string holds less than 2 GB")
     out = np.empty(segment[-1], np.uint8)
     role = np.array([list(kinds).index(r) for r in roles]) if len(kinds) < 64 else None
     for k, head in enumerate(kinds.values()) if role is not None else ():
@@ -101,11 +105,11 @@ def formatted(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, loss) of each conversation in rows of (conv_id, turn, role, text)."""
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartition(shuffle_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    rows = rows.repartition(partitions_for(rows), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches):
         ids, counts, roles, texts, held = [], [], [], [], 0
-        for batch in batches:
+        for batch in sliced(batches, 5000):
             body = batch.column(2).cast(pa.binary()).to_pylist()
             for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), body, strict=True):
                 if not ids or ids[-1] != conv:
@@ -144,7 +148,7 @@ def digests(spoken: DataFrame) -> DataFrame:
     """What is read back from formatted conversations: digests of the turns and of the text under the loss mask."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for conv, count, text, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 read = turns_of(text)

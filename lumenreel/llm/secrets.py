@@ -15,8 +15,9 @@ test is aware of length. Discoveries are then controlled by Benjamini-Hochberg w
 candidates by class and bin of the probability, a table of fixed size, give each class its limit. Every candidate of
 all documents counts. The kind of these spans is `random`.
 
-Nulls: a null text is empty. Null and repeated ids are rows of their own. Extra columns are ignored; an empty table
-gives no rows.
+Nulls: a null text is empty. Null and repeated ids are rows of their own. Very long texts are taken whole: matches are
+placed in blocks, so the work grows with their number. Extra columns are ignored, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch
+from lumenreel.llm.common import Scratch, own
 
 #: Kind, pattern, the group whose length counts, and its least length (fixed values).
 BASE = (
@@ -44,27 +45,42 @@ ENCODINGS = (
     (r"^[0-9A-Z]+$", LOWER.upper() + DIGITS, 0.066),
     (r"", LOWER.upper() + LOWER + DIGITS + "+/", 0.06),
 )
+#: Matches that one fold places.
+BLOCK = 256
 #: Bins of the probability, a class and unit of -log p.
 BINS, BIN = 256, 0.125
 
 
 def places(text: Column, pattern: str, group: int = 0) -> Column:
-    """(start, end, part) of each match of a pattern, in code points; part: the group's text."""
+    """(start, end, part) of each match of a pattern, in code points; part: the group's text.
+
+    Matches are placed by adding up the lengths of gaps and matches, in blocks whose lengths are added up first: a fold that
+    appends to an array copies it each time, so it must not run over all matches of a text.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), parts.alias("part"))
     none = F.array().cast("array<struct<start:int,end:int,part:string>>")
     # the last gap has no match after it
-    folded = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["whole"]), F.lit(0))).alias("at"),
-            F.when(x["whole"].isNotNull(), F.array_append(a["found"], F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["whole"])).alias("end"), x["part"].alias("part")))).otherwise(a["found"]).alias("found"),
-        ),
-        lambda a: a["found"],
-    )
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    reach = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["whole"]), F.lit(0))
+
+    def placed(block: Column, at: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + F.length(x["gap"])
+            span = F.struct(start.alias("start"), (start + F.length(x["whole"])).alias("end"), x["part"].alias("part"))
+            return F.struct((a["at"] + reach(x)).alias("at"), F.when(x["whole"].isNotNull(), F.array_append(a["found"], span)).otherwise(a["found"]).alias("found"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), step, lambda a: a["found"])
+
+    def in_blocks(z: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int"))
+        lengths = F.transform(numbers, lambda b: F.aggregate(F.slice(z, b * BLOCK + 1, BLOCK), F.lit(0), lambda n, x: n + reach(x)))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+        return F.flatten(F.zip_with(numbers, starts, lambda b, at: F.when(b.isNotNull(), placed(F.slice(z, b * BLOCK + 1, BLOCK), at)).otherwise(none)))
+
+    # as a lambda's variable the matches are found once, however often they are used
+    found = F.get(F.transform(F.array(zipped), lambda z: F.when(F.size(z) <= BLOCK, placed(z, F.lit(0))).otherwise(in_blocks(z))), 0)
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def base_spans(text: Column, order: int) -> Column:
@@ -134,7 +150,7 @@ def limits(found: DataFrame, rate: float) -> DataFrame:
 def scanned(spark: SparkSession, docs: DataFrame, rate: float = 0.05, fails: float = 3.3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row; spans are kind:start:end in code points."""
     scratch = Scratch(spark)
-    held = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_t"))
+    held = docs.select(own(id_column).alias("doc_id"), F.coalesce(own(text_column).cast("string"), F.lit("")).alias("_t"))
     kinds = [base_spans(F.col("_t"), order) for order in range(len(BASE))]
     held = held.select("doc_id", *kinds, places(F.col("_t"), CANDIDATE).alias("candidates"))
     held = scratch.keep(held.withColumn("row", F.monotonically_increasing_id()), "found")

@@ -8,10 +8,11 @@ counts are at most one apart. In each round every linked document looks, by join
 and asks for the shard that has most of them. Moves are granted under quotas: as many documents go from shard a to b as
 from b to a, first those that asked, then documents without links, which lose nothing. So the law `rows` (counts at
 most one apart) holds after each round. The quotas are a table of shards x shards; nothing that grows with the input
-is broadcast or collected.
+is broadcast or collected. Rounds end when none moves a document; cut_edges() tells what links are still cut.
 
 Sizes are bytes of the text in UTF-8 plus 16. Nulls: a null text has no links and the size 16; null ids are documents
-like any other. Repeated rows are documents of their own. Extra columns are ignored.
+like any other. Repeated rows are documents of their own. Very long texts are taken whole; an empty table gives no rows.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, numbered
+from lumenreel.llm.common import Scratch, numbered, own
 
 #: Groups of more than this share of a shard's rows get their home from the driver.
 LARGE_SHARE = 0.05
@@ -44,7 +45,7 @@ def homes(sizes: list[tuple[str, int]], room: list[int]) -> tuple[list[tuple[str
 
 
 def start(docs: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
-    """(row, doc_id, size, text_crc32, chunk, shard): chunk is null where a document has no link."""
+    """(row, doc_id, size, text_crc32, chunk, kin, shard): chunk and kin, the group, are null where a document has no link."""
     spark = docs.sparkSession
     body = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     rows = docs.select("doc_id", (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.when(F.col("text").isNotNull(), F.md5(body)).alias("same"), F.monotonically_increasing_id().alias("row"))
@@ -54,19 +55,23 @@ def start(docs: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
     large = groups.filter(F.col("n") > total / shards * LARGE_SHARE).collect()  # at most shards / LARGE_SHARE rows
     parts, room = homes([(r.same, r.n) for r in large], [total // shards + (k < total % shards) for k in range(shards)])
     plan = F.broadcast(spark.createDataFrame(parts, "same string, begin long, end long, shard int"))
-    out = ["row", "doc_id", "size", "text_crc32", "chunk", "shard"]
+    out = ["row", "doc_id", "size", "text_crc32", "chunk", "kin", "shard"]
+    cut = F.broadcast(plan.select("same").distinct())  # at most shards / LARGE_SHARE rows
     order = [F.xxhash64("row"), F.col("row")]
-    planned = numbered(rows.join(plan.select("same").distinct(), "same", "left_semi"), ["same"], order, "number", 64)
-    planned = planned.join(plan, "same").filter("number >= begin and number < end").withColumn("chunk", F.xxhash64("same", "begin"))
-    small = groups.join(plan.select("same").distinct(), "same", "left_anti").select("same", F.xxhash64("same").alias("chunk"))
-    others = rows.join(plan.select("same").distinct(), "same", "left_anti").join(small, "same", "left")
+    planned = numbered(rows.join(cut, "same", "left_semi"), ["same"], order, "number", 64)
+    planned = planned.join(plan, "same").filter("number >= begin and number < end").withColumn("chunk", F.xxhash64("same", "begin")).withColumn("kin", F.xxhash64("same"))
+    small = groups.join(cut, "same", "left_anti").select("same", F.xxhash64("same").alias("chunk"))
+    # groups that are left are small, and what has no text needs no group, so no key of this join has many rows
+    others = rows.join(cut, "same", "left_anti")
+    none = others.filter("same is null").withColumn("chunk", F.lit(None).cast("long"))
+    others = others.filter("same is not null").join(small, "same", "left").unionByName(none).withColumn("kin", F.col("chunk"))
     # the others' numbers are dealt by the room; cells of numbers make that a join on equal keys
     width, ends = total // shards + 1, [0]
     for n in room:
         ends.append(ends[-1] + n)
     cells = [(cell, a, b, k) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b for cell in range(a // width, (b - 1) // width + 1)]
     rooms = F.broadcast(spark.createDataFrame(cells, "cell long, begin long, end long, shard int"))
-    dealt = numbered(others.select("row", "doc_id", "size", "text_crc32", "chunk"), [], order, "number", 256)
+    dealt = numbered(others.select("row", "doc_id", "size", "text_crc32", "chunk", "kin"), [], order, "number", 256)
     dealt = dealt.withColumn("cell", F.floor(F.col("number") / width)).join(rooms, "cell").filter("number >= begin and number < end")
     return scratch.keep(planned.select(out).union(dealt.select(out)), "start")
 
@@ -111,16 +116,28 @@ def round_of(placed: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame,
     return after, moved
 
 
-def sharded(spark: SparkSession, docs: DataFrame, shards: int = 40, rounds: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each document; law is `rows`."""
+def placed_rows(spark: SparkSession, docs: DataFrame, shards: int = 40, rounds: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(row, doc_id, size, text_crc32, chunk, kin, shard) after the last round: the first that moves nothing, if `rounds` are enough."""
     scratch = Scratch(spark)
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    placed = start(docs, scratch, shards)
+    placed = start(docs.select(own(id_column).cast("long").alias("doc_id"), own(text_column).cast("string").alias("text")), scratch, shards)
     for turn in range(rounds):
         after, moved = round_of(placed, scratch, turn)
         scratch.drop(placed)
         placed = after
         if not moved:
             break
+    return placed
+
+
+def cut_edges(placed: DataFrame) -> DataFrame:
+    """One row (links, cut): links of documents to their group's centre, and those that lead to another shard."""
+    n = F.count(F.lit(1))
+    sizes = placed.filter("kin is not null").groupBy("kin", "shard").agg(n.alias("n")).groupBy("kin").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    return sizes.agg(F.coalesce(F.sum(F.col("all") - 1), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("all") - F.col("most")), F.lit(0)).alias("cut"))
+
+
+def sharded(spark: SparkSession, docs: DataFrame, shards: int = 40, **options) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of each document; law is `rows`. For options see placed_rows()."""
+    placed = placed_rows(spark, docs, shards, **options)
     slots = numbered(placed, ["shard"], [F.xxhash64("row"), F.col("row")], "slot", 64)
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
