@@ -385,15 +385,20 @@ def test_sources(spark, tmp_path):
     assert [(r.scene, len(r.frames)) for r in files.frame_groups(frames).collect()] == [(1, 2), (2, 1)]
 
 
-def test_entry_without_the_corpus_subpackage(monkeypatch):
-    import importlib.util
+@pytest.mark.parametrize("missing", ["lumenreel.llm", "corpus_pipeline", "zstandard"])
+def test_entry_without_the_corpus_subpackage(monkeypatch, missing):
+    import importlib
+    import sys
 
     import __spark_entry__ as e
 
-    find = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("lumenreel.llm", "corpus_pipeline")) else find(name, *a))
+    # None in sys.modules makes an import fail, as a module that isn't there does
+    for name in [n for n in sys.modules if n.startswith(("lumenreel.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
     names = e.queries()
-    assert "hybrid_search" in names and not any(n.startswith("op") or n == "pipeline" for n in names) and set(e.oracle_sql()) <= set(names)
+    assert "hybrid_search" in names and "pipeline" not in names and set(e.oracle_sql()) <= set(names)
+    assert (missing == "corpus_pipeline" and importlib.util.find_spec("lumenreel.llm") is not None) or not any(n.startswith("op") and n[2].isdigit() for n in names)
 
 
 def test_registry_and_options(spark):
