@@ -8,18 +8,25 @@ files from Spark's binary source, loads the dictionary from the leading frame, w
 and decodes one frame for each record; versions, header fields, lengths and digests are checked, and a record that
 fails raises BadRecord.
 
+The reader takes other archives of the kind too: without a dictionary, with one that is compressed itself, with records of
+any type and with the standard's fields only. In a block of type application/http the payload is what follows the HTTP
+header. Digests are checked where they are SHA-1 and the bytes they speak of are in the record: of the block, and of the
+payload unless it has a transfer encoding.
+
 Payloads that are equal are stored once: the record of the largest id is the response, the others are revisits that
 refer to it and carry its digest and length.
 
 Nulls: a null payload is empty; a null url is an empty field; a record with a null id is a revisit if a response with
-an id has its payload, else a response. Repeated rows with the largest id are each a response. Extra columns are
-ignored; an empty table gives no archive and no rows.
+an id has its payload, else a response. Repeated rows with the largest id are each a response. Very long payloads are
+records of their own size, but Spark reads a file as one value, so neither a record nor a foreign archive may have 2 GB or
+more; the writer ends its files far below that. Extra columns are ignored; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from urllib.parse import quote, unquote
 
@@ -28,12 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, binary_column
+from lumenreel.llm.common import Scratch, binary_column, sliced
 
 FRAME_MAGIC, DICTIONARY_MAGIC, EMPTY_MAGIC = 0xFD2FB528, 0x184D2A5D, 0x184D2A50
 #: An empty skippable frame; as text it is the sink's line end.
 EMPTY_FRAME = struct.pack("<II", EMPTY_MAGIC, 0)
-VERSION = b"WARC/1.1"
+VERSION, VERSIONS = b"WARC/1.1", (b"WARC/1.0", b"WARC/1.1")
+#: Types of the standard, and those whose records must say what they refer to (fixed values).
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 #: Payload bytes after which a file ends, bytes of its dictionary, and first records that the dictionary is fitted on.
 FILE_BYTES, DICTIONARY_BYTES, FIT_RECORDS = 16 << 20, 16 << 10, 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,38 +67,93 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, re
     return b"\r\n".join([VERSION, *(f"{k}: {v}".encode() for k, v in fields), b"", block, b"", b""])
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """Named fields, by name in lower case; a line that starts with a blank continues the one before."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head.split(b"\r\n"):
+        text = line.decode("utf-8", "surrogateescape")
+        if text[:1] in (" ", "\t") and name:
+            fields[name] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
+        name = name.lower()
+        if not colon or not name or (name in fields and name != "warc-concurrent-to"):
+            raise BadRecord(f"bad header field {name!r}")
+        fields[name] = value.strip()
+    return fields
+
+
+def number_of(fields: dict[str, str], name: str) -> int:
+    if not fields[name].isdecimal():
+        raise BadRecord(f"{name} isn't a number")
+    return int(fields[name])
+
+
+def page_number(uri: str | None) -> int | None:
+    """The page id of a record id that the writer made; null for others."""
+    found = (uri or "").removeprefix("<").removesuffix(">")
+    rest = found.removeprefix(NAME)
+    return int(rest) if rest != found and rest.removeprefix("-").isdecimal() else None
+
+
+def sha1_of(fields: dict[str, str], name: str) -> str | None:
+    """A field's SHA-1 in bare upper-case base 32, given in that or in hexadecimal; null for other digests."""
+    kind, colon, value = fields.get(name, "").partition(":")
+    if kind.lower() != "sha1" or not colon:
+        return None
+    try:
+        return digest_text(bytes.fromhex(value)) if len(value) == 40 else value.upper()
+    except ValueError:
+        raise BadRecord(f"bad digest in {name}") from None
+
+
+def checked(data: bytes, digest: str | None, what: str) -> str:
+    own = digest_text(hashlib.sha1(data).digest())
+    if digest not in (None, own):
+        raise BadRecord(f"the {what}'s digest is wrong")
+    return own
+
+
 def parsed(data: bytes) -> dict:
     """A record's fields and payload, checked."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not gap or lines[0] != VERSION:
-        raise BadRecord("no WARC/1.1 header")
-    fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.decode().partition(":")
-        if not colon or name.lower() in fields:
-            raise BadRecord(f"bad header field {name!r}")
-        fields[name.lower()] = value.strip()
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest", "x-payload-length"):
+    version, _, head = head.partition(b"\r\n")
+    if not gap or version not in VERSIONS:
+        raise BadRecord("no WARC header")
+    fields = fields_of(head)
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise BadRecord(f"no field {name}")
-    length, kind = int(fields["content-length"]), fields["warc-type"]
-    if length < 0 or len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
+    length, kind = number_of(fields, "content-length"), fields["warc-type"].lower()
+    if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise BadRecord("the block's length isn't Content-Length")
-    block, size = rest[:length], int(fields["x-payload-length"])
-    if kind not in ("response", "revisit") or (kind == "revisit") != ("warc-refers-to" in fields):
+    if kind not in TYPES:
         raise BadRecord(f"bad record type {kind!r}")
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response" and (size != length or digest_text(hashlib.sha1(block).digest()) != digest):
-        raise BadRecord("the payload's length or digest is wrong")
-    if kind == "revisit" and length:
-        raise BadRecord("a revisit has a block")
-
-    def number(name: str) -> int | None:
-        found = fields.get(name, "").removeprefix(f"<{NAME}").removesuffix(">")
-        return int(found) if found else None
-
-    return {"page_id": number("warc-record-id"), "url": unquote(fields.get("warc-target-uri", "")), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": number("warc-refers-to"), "payload": block}
+    block = payload = rest[:length]
+    checked(block, sha1_of(fields, "warc-block-digest"), "block")
+    whole = True
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        whole = not re.search(rb"(?im)^(transfer|content)-encoding:\s*(?!identity)\S", http)
+    claimed = sha1_of(fields, "warc-payload-digest")
+    if kind == "revisit":
+        # the payload is elsewhere: what the record says of it is all there is
+        size, digest = number_of(fields, "x-payload-length") if "x-payload-length" in fields else None, claimed
+    else:
+        size, digest = len(payload), checked(payload, claimed if whole else None, "payload")
+        if "x-payload-length" in fields and number_of(fields, "x-payload-length") != size:
+            raise BadRecord("the payload's length is wrong")
+    return {
+        "page_id": page_number(fields["warc-record-id"]),
+        "url": unquote(fields.get("warc-target-uri", "")),
+        "record_type": kind,
+        "payload_bytes": size,
+        "payload_digest": digest,
+        "refers_to": page_number(fields.get("warc-refers-to")),
+        "payload": payload,
+        "record_id": fields["warc-record-id"].removeprefix("<").removesuffix(">"),
+    }
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -110,9 +174,19 @@ def frame_end(data: memoryview, at: int) -> int:
     return p
 
 
+def dictionary_of(raw: bytes) -> zstandard.ZstdDecompressor:
+    """A decoder with the dictionary of a leading frame, which may be compressed itself."""
+    try:
+        if raw[:4] == struct.pack("<I", FRAME_MAGIC):
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    except zstandard.ZstdError as e:
+        raise BadRecord(f"the dictionary can't be read: {e}") from None
+
+
 def records(archive: bytes):
     """The records of an archive file."""
-    data, at, decoder = memoryview(archive), 0, None
+    data, at, decoder = memoryview(archive), 0, zstandard.ZstdDecompressor()
     while at < len(data):
         if at + 8 > len(data):
             raise BadRecord("a frame is cut off")
@@ -123,13 +197,17 @@ def records(archive: bytes):
             if magic == DICTIONARY_MAGIC:
                 if at:
                     raise BadRecord("the dictionary isn't the leading frame")
-                decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(data[8 : 8 + size])))
+                decoder = dictionary_of(bytes(data[8 : 8 + size]))
             at += 8 + size
             continue
-        if magic != FRAME_MAGIC or decoder is None:
-            raise BadRecord("no dictionary" if decoder is None else "not a frame")
+        if magic != FRAME_MAGIC:
+            raise BadRecord("not a frame")
         end = frame_end(data, at)
-        yield parsed(decoder.decompressobj().decompress(data[at:end]))
+        try:
+            record = decoder.decompressobj().decompress(data[at:end])
+        except zstandard.ZstdError as e:
+            raise BadRecord(f"a frame can't be decoded: {e}") from None
+        yield parsed(record)
         at = end
 
 
@@ -163,7 +241,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, revisit_fro
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             payloads = binary_column(batch, "html")
             for page_id, url, payload, sha1, refers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), payloads, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 held.append(record(page_id, url, payload, sha1, refers, date))
@@ -178,10 +256,21 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, revisit_fro
     files.write.option("lineSep", EMPTY_FRAME.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of each record."""
-    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * with_payload
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+READ = {"page_id": "long", "url": "string", "record_type": "string", "payload_bytes": "long", "payload_digest": "string", "refers_to": "long", "record_id": "string", "payload": "binary"}
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, pattern: str = "part-*") -> DataFrame:
+    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, record_id[, payload]) of each record.
+
+    page_id and refers_to are null where a record's id isn't one that the writer made; of a revisit without the writer's
+    own field payload_bytes is null. pattern: names of the files.
+    """
+    names = [n for n in READ if with_payload or n != "payload"]
+    schema = ", ".join(f"{n} {READ[n]}" for n in names)
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, types[READ[n]]) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
     def run(batches):
         for batch in batches:
@@ -189,15 +278,15 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                 rows, size = [], 0
                 for found in records(archive.as_py()):
                     rows.append([found[n] for n in names])
-                    size += found["payload_bytes"] * with_payload + 200
+                    size += len(found["payload"]) * with_payload + 200
                     if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
+                        yield batch_of(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
+                    yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * with_payload)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
+    return files.mapInArrow(run, schema)
 
 
 def archived(spark: SparkSession, pages: DataFrame, path: str | None = None, with_payload: bool = False) -> DataFrame:

@@ -463,11 +463,50 @@ def test_warc_rejects_damage():
     good = warc.record(1, "u", b"hello", sha1, None, "d")
     archive = warc.archive_of([good] * 20)
     assert [r["payload"] for r in warc.records(archive)] == [b"hello"] * 20
-    for bad in (archive[:-3], archive[8:], archive + b"\0" * 9, warc.archive_of([good.replace(b"hello", b"jello")]), warc.archive_of([good.replace(b"WARC/1.1", b"WARC/0.9")]), warc.archive_of([good[:-1]]), warc.archive_of([good.replace(b"WARC-Date: d\r\n", b"")])):
-        with pytest.raises(Exception):  # noqa: B017, PT011  a frame's own error or BadRecord
+    swapped = [good.replace(a, b) for a, b in ((b"hello", b"jello"), (b"WARC/1.1", b"WARC/0.9"), (b"WARC-Date: d\r\n", b""), (b"Content-Length: 5", b"Content-Length: 6"), (b"Content-Length: 5", b"Content-Length: x"), (b"X-Payload-Length: 5", b"X-Payload-Length: 4"), (b"WARC-Type: response", b"WARC-Type: other"), (b"WARC-Date: d", b"WARC-Date: d\r\nWARC-Date: d"), (b"WARC-Date: d", b"WARC-Date: d\r\nno colon"))]
+    for bad in (archive[:-3], archive + b"\0" * 9, archive[:60] + b"\xff" + archive[61:], *map(lambda x: warc.archive_of([x]), [good[:-1], *swapped])):
+        with pytest.raises(warc.BadRecord):
             list(warc.records(bad))
 
 
+def test_warc_reads_other_archives(spark, tmp_path):
+    import struct
+
+    import zstandard
+
+    def made(kind, block, *more):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1-2>", "WARC-Date: 2024-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    found = [
+        made("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        made("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        made("response", http, "WARC-Target-URI: http://h/a%20b", "Content-Type: application/http;", "  msgtype=response", f"WARC-Payload-Digest: {sha(body)}", f"WARC-Block-Digest: sha1:{hashlib.sha1(http).hexdigest()}"),
+        made("response", http.replace(b"\r\n\r\n", b"\r\nTransfer-Encoding: chunked\r\n\r\n"), "Content-Type: application/http", f"WARC-Payload-Digest: {sha(b'something else')}"),
+        made("metadata", b"", "WARC-Payload-Digest: md5:00"),
+        made("revisit", b"", "WARC-Refers-To: <urn:uuid:9>", f"WARC-Payload-Digest: {sha(body)}"),
+    ]
+    dictionary = zstandard.ZstdCompressionDict(b"WARC/1.0 WARC-Type: response" * 20)
+    raw = dictionary.as_bytes()
+    with_it, without = zstandard.ZstdCompressor(dict_data=dictionary), zstandard.ZstdCompressor()
+    lead = lambda data: struct.pack("<II", warc.DICTIONARY_MAGIC, len(data)) + data
+    archives = [b"".join(map(without.compress, found)), lead(raw) + b"".join(map(with_it.compress, found)), lead(without.compress(raw)) + b"".join(map(with_it.compress, found))]
+    (tmp_path / "a").mkdir()
+    for i, archive in enumerate(archives):
+        got = list(warc.records(archive))
+        assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "metadata", "revisit"]
+        assert got[2]["payload"] == body and got[2]["url"] == "http://h/a b" and got[2]["page_id"] is None and got[2]["record_id"] == "urn:uuid:1-2"
+        assert (got[5]["payload_bytes"], got[5]["payload_digest"], got[5]["refers_to"]) == (None, sha(body)[5:], None)
+        (tmp_path / "a" / f"{i}.warc.zst").write_bytes(archive)
+    rows = warc.read_archives(spark, str(tmp_path / "a"), pattern="*.warc.zst").collect()
+    assert len(rows) == 18 and sum(bytes(r.payload) == body for r in rows) == 6
+    with pytest.raises(warc.BadRecord):
+        list(warc.records(without.compress(made("response", http, "Content-Type: application/http", f"WARC-Payload-Digest: {sha(b'x')}"))))
+
+
 def contained_truth(docs, items, share=0.8, size=5):
     """(doc, item): (shared, all) of each pair of texts by comparing the sets of shingles, as text."""
     plain = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
