@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.functions.text import compose_text, plain_query_tokens, timecode, unicode_tokens
+from lumenreel.functions.text import compose_text, timecode
 from lumenreel.operators import embedding, facets, search, segments
 from lumenreel.sources import files, mock
 
@@ -46,7 +46,7 @@ def found(spark: SparkSession, root: str, query: str, mode: str, k: int) -> Data
     vectors = clips.filter(F.col("embedding_model") == provider.name).select("clip_id", "embedding")
     if vector is not None and vectors.isEmpty():
         vector, mode = None, "fts"
-    hits = search.hybrid_search(searchable(clips), vectors, query, vector, mode, k, tokens=unicode_tokens, query_tokens=plain_query_tokens)
+    hits = search.hybrid_search(searchable(clips), vectors, query, vector, mode, k)
     names = videos.select("video_id", "file_name", "source_folder")
     out = search.hydrated(hits, clips.select("clip_id", "video_id", "start_time", "end_time", "scene"), names)
     order = [F.desc("score"), "clip_id"] if vector is not None else ["rank", "clip_id"]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,14 +26,27 @@ def ascii_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def _fold(text: str | None) -> str:
-    return "" if text is None else "".join(x for x in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(x) != "Mn")
+@lru_cache(maxsize=1)
+def plain_letters() -> dict[str, str]:
+    """Latin letters with one mark, in lower case, to the letters without it."""
+    out = {}
+    for code in range(0xC0, 0x2000):
+        letter = chr(code)
+        parts = unicodedata.normalize("NFD", letter)
+        if letter == letter.lower() and len(parts) == 2 and unicodedata.category(parts[1]) == "Mn" and parts[0].isascii() and parts[0].isalpha():
+            out[letter] = parts[0]
+    return out
 
 
-@F.pandas_udf(T.StringType())
-def folded(text: pd.Series) -> pd.Series:
-    """Lower case without diacritics: the one step for which there is no built-in function."""
-    return text.map(_fold)
+#: Marks that stand after a letter as characters of their own.
+MARKS = "[\u0300-\u036f]"
+
+
+def folded(c: Column) -> Column:
+    """Lower case, and Latin letters without their diacritics. Null: empty."""
+    letters = plain_letters()
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.regexp_replace(F.translate(low, "".join(letters), "".join(letters.values())), MARKS, "")
 
 
 def unicode_tokens(c: Column) -> Column:
@@ -42,8 +56,9 @@ def unicode_tokens(c: Column) -> Column:
 
 def plain_query_tokens(value: str) -> list[str]:
     """unicode_tokens() of a query, on the driver: runs of letters, numbers and private-use characters."""
+    letters = plain_letters()
     out, run = [], ""
-    for c in _fold(value) + " ":
+    for c in re.sub(MARKS, "", "".join(letters.get(x, x) for x in value.lower())) + " ":
         if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co":
             run += c
         elif run:
@@ -149,6 +164,21 @@ def spoken(text: Column) -> Column:
     return F.when(bare.rlike(r"[\p{L}\p{Nd}]"), bare).otherwise(F.lit(""))
 
 
+def utc_text(ts: Column) -> Column:
+    """A time as `yyyy-MM-dd HH:mm:ss` in the session's time zone, which is to be UTC."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def utc_time(text: Column) -> Column:
+    """The time that utc_text() wrote; null of anything else."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def is_key(text: Column, least: int = 10) -> Column:
+    """Whether a text has the shape of a service's key: so many characters without surrounding blanks."""
+    return F.char_length(trim(F.coalesce(text, F.lit("")))) >= least
+
+
 def path_hash(path: str) -> str:
     """A string's djb2 hash in 64 bits, as hexadecimal digits."""
     return format(reduce(lambda h, b: (h * 33 + b) & (2**64 - 1), path.encode(), 5381), "016x")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -26,15 +27,24 @@ class HashingProvider:
 
     def __init__(self, dimensions: int = 64):
         self.name, self.dimensions = f"hashing-{dimensions}", dimensions
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def place(self, word: str) -> tuple[int, int]:
+        """The dimension and the sign of a word, from the first 8 digits of its MD5."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= 100_000:
+                self.known.clear()
+            h = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+            self.known[word] = found = (h % self.dimensions, 1 if h >> 31 else -1)
+        return found
 
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
-        import xxhash
-
         out = np.zeros((len(texts), self.dimensions))
         for row, text in zip(out, texts, strict=True):
             for word in text.lower().split():
-                h = xxhash.xxh3_64_intdigest(word)
-                row[h % self.dimensions] += 1 if h >> 63 else -1
+                at, sign = self.place(word)
+                row[at] += sign
         lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, lengths, out=out, where=lengths > 0).tolist()
 

@@ -22,6 +22,31 @@ def prefix_filter(rows: DataFrame, prefix: str | None, column: str = "file_path"
     return rows.filter(F.startswith(F.col(column), F.lit(prefix + "/")) if strict else F.col(column).ilike(prefix + "/%"))
 
 
+def lookup(rows: DataFrame, column: str, value) -> DataFrame:
+    """At most one row: one that has the value."""
+    return rows.filter(F.col(column) == F.lit(value)).limit(1)
+
+
+def with_status(rows: DataFrame, *statuses: str, column: str = "index_status", other: bool = False) -> DataFrame:
+    """Rows of these statuses, or of any other."""
+    found = F.col(column).isin(*statuses)
+    return rows.filter(~found if other else found)
+
+
+def ordered(rows: DataFrame, *order, limit: int | None = None) -> DataFrame:
+    """Rows in order, or the first of them."""
+    found = rows.orderBy(*order)
+    return found if limit is None else found.limit(limit)
+
+
+def union_ids(*parts: DataFrame, id_column: str = "clip_id") -> DataFrame:
+    """Each id that is in any part, once."""
+    out = parts[0].select(id_column)
+    for part in parts[1:]:
+        out = out.union(part.select(id_column))
+    return out.distinct()
+
+
 @dataclass(frozen=True)
 class ResultFilter:
     """What a result must fulfil; empty parts don't constrain. Applied after the best K unless asked otherwise."""

@@ -1,8 +1,9 @@
-"""Full-text search: a query language, BM25, and an inverted index.
+"""Full-text search: a query language, BM25, and what a stored index needs.
 
-A query is parsed into a tree of phrases under AND, OR and NOT. Over a table, each phrase's occurrences are one
-column expression on the token arrays, so one pass without a shuffle gives statistics and scores, and only the best
-rows meet in one place. Over an index, only the phrases' postings are read.
+A query is parsed into a tree of units (phrases, and groups of phrases near each other) under AND, OR and NOT. Over a
+table, texts become token arrays once for each pass, behind a step that the optimiser doesn't copy; a phrase's occurrences
+are an expression on them, so two passes without a shuffle give statistics and scores, and only the best rows meet in one
+place. Over an index, only the phrases' postings are read.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.functions.text import ascii_tokens
+from lumenreel.functions.text import plain_query_tokens, unicode_tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Tokens that may lie between the phrases of a NEAR group that doesn't say (a fixed value of the query language).
+NEAR_TOKENS = 10
 
 
 class FtsSyntaxError(ValueError):
@@ -25,11 +28,21 @@ class FtsSyntaxError(ValueError):
 
 @dataclass(frozen=True)
 class Phrase:
-    """Tokens in a row; the last may be a prefix; in all columns or one."""
+    """Tokens in a row; the last may be a prefix; in all columns or some; perhaps only where a column begins."""
 
     terms: tuple[str, ...]
     prefix: bool = False
-    column: str | None = None
+    columns: tuple[str, ...] | None = None
+    first: bool = False
+
+
+@dataclass(frozen=True)
+class Near:
+    """Phrases in one column with at most so many tokens between the first's end and the last's begin."""
+
+    phrases: tuple[Phrase, ...]
+    tokens: int
+    columns: tuple[str, ...] | None = None
 
 
 @dataclass(frozen=True)
@@ -37,11 +50,12 @@ class Node:
     """AND, OR or NOT of two sides."""
 
     op: str
-    left: Node | Phrase
-    right: Node | Phrase
+    left: Node | Phrase | Near
+    right: Node | Phrase | Near
 
 
-TOKEN = re.compile(r'\s*(?:("(?:[^"]|"")*")|([()*:])|([^\s()*:"]+))')
+TOKEN = re.compile(r'\s*(?:("(?:[^"]|"")*")|([()*:^+{},-])|([^\s()*:"^+{},-]+))')
+KEYWORDS = ("AND", "OR", "NOT")
 
 
 class Parser:
@@ -66,7 +80,7 @@ class Parser:
         self.at += 1
         return self.parts[self.at - 1]
 
-    def parse(self) -> Node | Phrase | None:
+    def parse(self) -> Node | Phrase | Near | None:
         if not self.parts:
             return None
         tree = self.either()
@@ -74,7 +88,7 @@ class Parser:
             raise FtsSyntaxError(f"unexpected {self.peek()[1]!r}")
         return tree
 
-    def chain(self, op: str, below: Callable) -> Node | Phrase:
+    def chain(self, op: str, below: Callable) -> Node | Phrase | Near:
         tree = below()
         while self.peek() == ("word", op):
             self.take()
@@ -90,86 +104,202 @@ class Parser:
     def without(self):
         return self.chain("NOT", self.implied)
 
+    def starts_unit(self) -> bool:
+        kind, value = self.peek()
+        return (kind in ("string", "word") and value not in KEYWORDS) or (kind, value) in (("mark", "^"), ("mark", "{"), ("mark", "-"))
+
     def implied(self):
         if self.peek() == ("mark", "("):
-            return self.group()
-        tree = self.phrase()
-        while (self.peek()[0] in ("string", "word") and self.peek()[1] not in ("AND", "OR", "NOT")) or self.peek() == ("mark", "("):
+            return self.group(None)
+        tree = self.unit()
+        while self.starts_unit() or self.peek() == ("mark", "("):
             if self.peek() == ("mark", "("):
                 raise FtsSyntaxError("AND is needed before (")
-            tree = Node("AND", tree, self.phrase())
+            tree = Node("AND", tree, self.unit())
         return tree
 
-    def group(self):
+    def group(self, columns):
         self.take()
         tree = self.either()
-        if self.peek() != ("mark", ")"):
-            raise FtsSyntaxError(") is missing")
+        self.expect(")")
+        return within(tree, columns)
+
+    def expect(self, mark: str) -> None:
+        if self.peek() != ("mark", mark):
+            raise FtsSyntaxError(f"{mark} is missing")
         self.take()
-        return tree
 
-    def phrase(self) -> Phrase:
+    def named(self) -> tuple[str, ...] | None:
+        """The columns before a colon, if there are any: a name, a set in braces, or either after - for all others."""
+        at, other = self.at, False
+        if self.peek() == ("mark", "-"):
+            self.take()
+            other = True
         kind, value = self.peek()
-        if kind not in ("string", "word") or value in ("AND", "OR", "NOT"):
-            raise FtsSyntaxError(f"a term is missing before {value!r}")
+        if (kind, value) == ("mark", "{"):
+            self.take()
+            names = []
+            while self.peek()[0] in ("string", "word"):
+                names.append(self.take()[1].strip('"'))
+            self.expect("}")
+        elif kind in ("string", "word"):
+            names = [self.take()[1].strip('"')]
+        else:
+            names = []
+        if not names or self.peek() != ("mark", ":"):
+            if other or (kind, value) == ("mark", "{"):
+                raise FtsSyntaxError("a column is missing before :")
+            self.at = at
+            return None
         self.take()
-        column = None
-        if self.peek() == ("mark", ":"):
-            if value.strip('"') not in self.columns:
-                raise FtsSyntaxError(f"no such column: {value}")
+        known = {c.lower(): c for c in self.columns}
+        for n in names:
+            if n.lower() not in known:
+                raise FtsSyntaxError(f"no such column: {n}")
+        chosen = [known[n.lower()] for n in names]
+        return tuple(c for c in self.columns if (c in chosen) != other)
+
+    def unit(self):
+        columns = self.named()
+        if columns is not None and self.peek() == ("mark", "("):
+            return self.group(columns)
+        after = self.parts[self.at + 1] if self.at + 1 < len(self.parts) else ("end", "")
+        if self.peek() == ("word", "NEAR") and after == ("mark", "("):
+            return self.near(columns)
+        return self.phrase(columns)
+
+    def near(self, columns):
+        self.take()
+        self.take()
+        found, tokens = [], NEAR_TOKENS
+        while self.starts_unit():
+            found.append(self.phrase(None))
+        if self.peek() == ("mark", ","):
             self.take()
-            column = value.strip('"')
-            kind, value = self.peek()
-            if kind not in ("string", "word"):
-                raise FtsSyntaxError("a term is missing after :")
+            kind, value = self.take() if self.at < len(self.parts) else ("end", "")
+            if kind != "word" or not value.isdecimal():
+                raise FtsSyntaxError("a number is missing after ,")
+            tokens = int(value)
+        self.expect(")")
+        found = [p for p in found if p.terms]
+        if len(found) == 1:
+            return within(found[0], columns)
+        return Near(tuple(found), tokens, columns) if found else Phrase((), columns=columns)
+
+    def phrase(self, columns) -> Phrase:
+        first = self.peek() == ("mark", "^")
+        if first:
             self.take()
-        if kind == "word" and not all(c.isalnum() or c == "_" or ord(c) > 127 for c in value):
-            raise FtsSyntaxError(f"bad term {value!r}")
+        terms = list(self.words())
+        while self.peek() == ("mark", "+"):
+            self.take()
+            terms += self.words()
         prefix = self.peek() == ("mark", "*")
         if prefix:
             self.take()
-        return Phrase(tuple(self.tokens(value.strip('"') if kind == "string" else value)), prefix, column)
+        return Phrase(tuple(terms), prefix, columns, first)
+
+    def words(self) -> list[str]:
+        kind, value = self.peek()
+        if kind not in ("string", "word") or value in KEYWORDS:
+            raise FtsSyntaxError(f"a term is missing before {value!r}")
+        self.take()
+        if kind == "word" and not all(c.isalnum() or c == "_" or ord(c) > 127 for c in value):
+            raise FtsSyntaxError(f"bad term {value!r}")
+        return self.tokens(value[1:-1].replace('""', '"') if kind == "string" else value)
 
 
-def plain_tokens(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+def within(tree, columns: tuple[str, ...] | None):
+    """A tree whose units are looked for in these columns only."""
+    if columns is None:
+        return tree
+    if isinstance(tree, Node):
+        return Node(tree.op, within(tree.left, columns), within(tree.right, columns))
+    both = columns if tree.columns is None else tuple(c for c in tree.columns if c in columns)
+    return Near(tree.phrases, tree.tokens, both) if isinstance(tree, Near) else Phrase(tree.terms, tree.prefix, both, tree.first)
 
 
-def parse(text: str, columns: tuple[str, ...] = (), tokens: Callable[[str], list[str]] = plain_tokens) -> Node | Phrase | None:
+def parse(text: str, columns: tuple[str, ...] = (), tokens: Callable[[str], list[str]] = plain_query_tokens) -> Node | Phrase | Near | None:
     """The tree of a query; None of a blank one."""
     return Parser(text, columns, tokens).parse()
 
 
-def phrases(tree: Node | Phrase | None) -> list[Phrase]:
-    if tree is None or isinstance(tree, Phrase):
+def units(tree: Node | Phrase | Near | None) -> list[Phrase | Near]:
+    if not isinstance(tree, Node):
         return [] if tree is None else [tree]
-    return list(dict.fromkeys(phrases(tree.left) + phrases(tree.right)))
+    return list(dict.fromkeys(units(tree.left) + units(tree.right)))
+
+
+def scored(tree) -> list[Phrase]:
+    """The phrases that a score is made of."""
+    return list(dict.fromkeys(p for u in units(tree) for p in (near_phrases(u) if isinstance(u, Near) else [u])))
+
+
+def near_phrases(near: Near) -> list[Phrase]:
+    return [within(p, near.columns) for p in near.phrases]
+
+
+def fits(x: Column, phrase: Phrase, k: int) -> Column:
+    last = k == len(phrase.terms) - 1
+    return F.startswith(x, F.lit(phrase.terms[k])) if last and phrase.prefix else x == F.lit(phrase.terms[k])
+
+
+def begins(tokens: Column, phrase: Phrase) -> Callable[[Column, Column], Column]:
+    """Whether a phrase begins at a token and its place."""
+
+    def here(x: Column, i: Column) -> Column:
+        out = fits(x, phrase, 0)
+        for k in range(1, len(phrase.terms)):
+            out = out & F.coalesce(fits(F.get(tokens, i + k), phrase, k), F.lit(False))
+        return out & (i == 0) if phrase.first else out
+
+    return here
 
 
 def occurrences(tokens: Column, phrase: Phrase) -> Column:
     """How often a phrase is in an array of tokens."""
     if not phrase.terms:
         return F.lit(0)
-    last = len(phrase.terms) - 1
+    if len(phrase.terms) == 1 and not phrase.first:
+        return F.size(F.filter(tokens, lambda x: fits(x, phrase, 0)))
+    return F.size(F.filter(tokens, begins(tokens, phrase)))
 
-    def fits(x: Column, k: int) -> Column:
-        return F.startswith(x, F.lit(phrase.terms[k])) if k == last and phrase.prefix else x == F.lit(phrase.terms[k])
 
-    if last == 0:
-        return F.size(F.filter(tokens, lambda x: fits(x, 0)))
+def places(tokens: Column, phrase: Phrase) -> Column:
+    """Where a phrase begins, in order."""
+    here = begins(tokens, phrase)
+    at = F.transform(tokens, lambda x, i: F.when(here(x, i), i))
+    return F.filter(at, lambda x: x.isNotNull())
 
-    def here(x: Column, i: Column) -> Column:
-        out = fits(x, 0)
-        for k in range(1, last + 1):
-            out = out & F.coalesce(fits(F.get(tokens, i + k), k), F.lit(False))
+
+def close_places(found: list[Column], phrases: tuple[Phrase, ...], tokens: int) -> list[Column]:
+    """Of each phrase the places that lie with one of each other phrase in a stretch that is short enough.
+
+    A stretch ends at a place m of some phrase, and each phrase has a place in it from m - tokens - its length on.
+    """
+    def reaches(q: Column, m: Column, p: Phrase) -> Column:
+        return (q <= m) & (q >= m - tokens - len(p.terms))
+
+    def has_one(f: Column, p: Phrase, m: Column) -> Column:
+        return F.exists(f, lambda q: reaches(q, m, p))
+
+    def whole(m: Column) -> Column:
+        out = F.lit(True)
+        for f, p in zip(found, phrases, strict=True):
+            out = out & has_one(f, p, m)
         return out
 
-    return F.size(F.filter(tokens, here))
+    ends = F.filter(F.concat(*found), whole)
 
+    def close(f: Column, p: Phrase) -> Column:
+        return F.filter(f, lambda q: F.exists(ends, lambda m: reaches(q, m, p)))
 
-def combined(tree: Node | Phrase, score: dict[Phrase, Column]) -> Column:
-    """A tree's score from those of its phrases; null: no match."""
-    if isinstance(tree, Phrase):
+    return [close(f, p) for f, p in zip(found, phrases, strict=True)]
+
+
+def combined(tree: Node | Phrase | Near, score: dict) -> Column:
+    """A tree's score from those of its units; null: no match."""
+    if not isinstance(tree, Node):
         return score[tree]
     a, b = combined(tree.left, score), combined(tree.right, score)
     if tree.op == "AND":
@@ -177,13 +307,48 @@ def combined(tree: Node | Phrase, score: dict[Phrase, Column]) -> Column:
     return F.when(b.isNull(), a) if tree.op == "NOT" else F.coalesce(a + b, a, b)
 
 
-def bm25(f: Column, n: Column, rows: Column, length: Column, mean: Column) -> Column:
+def weight_of(n: Column, rows: Column) -> Column:
+    """The weight of a phrase that n of so many rows have."""
     raw = F.log((rows - n + 0.5) / (n + 0.5))
-    idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
-    return F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)))
+    return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
+
 
+def weighted(f: Column, weight: Column, length: Column, mean: Column) -> Column:
+    """A phrase's share of a BM25 score; null where it doesn't occur."""
+    return F.when(f > 0, weight * f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean)))
 
-def ranked(docs: DataFrame, query: str, id_column: str, columns: tuple[str, ...], tokens: Callable[[Column], Column] = ascii_tokens, query_tokens: Callable[[str], list[str]] = plain_tokens, on_error: str = "raise") -> DataFrame:
+
+def barrier(df: DataFrame, *columns: Column) -> DataFrame:
+    """df's rows as these columns, made once: the optimiser copies nothing through an outer explode."""
+    return df.select(F.explode_outer(F.array(F.struct(*columns))).alias("_x")).select("_x.*")
+
+
+def counted_units(held: DataFrame, parts: list, columns: tuple[str, ...], kept: list[str]) -> DataFrame:
+    """`kept` columns, and of the n-th unit _f{n} (a phrase) or _f{n}_{k} (the k-th phrase of a NEAR group)."""
+    counts, length = [], sum((F.size(f"_t_{c}") for c in columns), F.lit(0)).alias("_dl")
+    for i, unit in enumerate(parts):
+        where = columns if unit.columns is None else unit.columns
+        if isinstance(unit, Phrase):
+            counts.append(sum((occurrences(F.col(f"_t_{c}"), unit) for c in where), F.lit(0)).alias(f"_f{i}"))
+            continue
+        close = [close_places([places(F.col(f"_t_{c}"), p) for p in unit.phrases], unit.phrases, unit.tokens) for c in where]
+        for k in range(len(unit.phrases)):
+            counts.append(sum((F.size(x[k]) for x in close), F.lit(0)).alias(f"_f{i}_{k}"))
+    return barrier(held, *[F.col(k) for k in kept], length, *counts)
+
+
+def total_score(tree, parts: list, idf: dict[Phrase, Column], length: Column, mean: Column) -> Column:
+    """A tree's score from the columns of counted_units() and the phrases' weights."""
+    scores = {}
+    for i, unit in enumerate(parts):
+        if isinstance(unit, Phrase):
+            scores[unit] = weighted(F.col(f"_f{i}"), idf[unit], length, mean)
+        else:
+            scores[unit] = sum((weighted(F.col(f"_f{i}_{k}"), idf[p], length, mean) for k, p in enumerate(near_phrases(unit))), F.lit(0.0))
+    return combined(tree, scores)
+
+
+def ranked(docs: DataFrame, query: str, id_column: str, columns: tuple[str, ...], tokens: Callable[[Column], Column] = unicode_tokens, query_tokens: Callable[[str], list[str]] = plain_query_tokens, on_error: str = "raise") -> DataFrame:
     """(id, rank) of the rows that match; rank is the negative BM25 score. A blank query matches nothing."""
     empty = docs.select(id_column, F.lit(0.0).alias("rank")).limit(0)
     try:
@@ -192,24 +357,19 @@ def ranked(docs: DataFrame, query: str, id_column: str, columns: tuple[str, ...]
         if on_error == "empty":
             return empty
         raise
-    units = phrases(tree)
-    if not units:
+    parts, phrases = units(tree), scored(tree)
+    if not parts:
         return empty
-    held = docs.select(id_column, *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
-    counts = []
-    for i, unit in enumerate(units):
-        where = [unit.column] if unit.column else columns
-        counts.append(sum((occurrences(F.col(f"_t_{c}"), unit) for c in where), F.lit(0)).alias(f"_f{i}"))
-    length = sum((F.size(f"_t_{c}") for c in columns), F.lit(0)).alias("_dl")
-    counted = held.select(id_column, length, *counts)
-    matched = [F.count_if(F.col(f"_f{i}") > 0).cast("double").alias(f"_n{i}") for i in range(len(units))]
+    held = barrier(docs, F.col(id_column), *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
+    # of a phrase in a NEAR group the weight comes from all rows that have the phrase
+    alone = [p for p in phrases if p not in parts]
+    counted = counted_units(held, [*parts, *alone], columns, [id_column])
+    at = {p: f"_f{[*parts, *alone].index(p)}" for p in phrases}
+    matched = [F.count_if(F.col(at[p]) > 0).cast("double").alias(f"_n{i}") for i, p in enumerate(phrases)]
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_rows"), F.avg("_dl").alias("_mean"), *matched)
-    some = F.lit(False)
-    for i in range(len(units)):
-        some = some | (F.col(f"_f{i}") > 0)
-    both = counted.filter(some).join(F.broadcast(stats))  # the statistics are one row
-    scores = {u: bm25(F.col(f"_f{i}"), F.col(f"_n{i}"), F.col("_rows"), F.col("_dl"), F.col("_mean")) for i, u in enumerate(units)}
-    return both.select(id_column, (-combined(tree, scores)).alias("rank")).filter("rank is not null")
+    both = counted.join(F.broadcast(stats))  # the statistics are one row
+    idf = {p: weight_of(F.col(f"_n{i}"), F.col("_rows")) for i, p in enumerate(phrases)}
+    return both.select(id_column, (-total_score(tree, parts, idf, F.col("_dl"), F.col("_mean"))).alias("rank")).filter("rank is not null")
 
 
 def search(docs: DataFrame, query: str, id_column: str, columns: tuple[str, ...], limit: int = 50, **options) -> DataFrame:
@@ -217,50 +377,76 @@ def search(docs: DataFrame, query: str, id_column: str, columns: tuple[str, ...]
     return ranked(docs, query, id_column, columns, **options).orderBy("rank", id_column).limit(limit)
 
 
-def postings(docs: DataFrame, id_column: str, columns: tuple[str, ...], tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
-    """The inverted index: (term, id, col, positions, dl). Write it bucketed or sorted by term for repeated queries."""
-    held = docs.select(id_column, *[tokens(F.col(c)).alias(c) for c in columns])
-    held = held.withColumn("dl", sum((F.size(c) for c in columns), F.lit(0)))
-    parts = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("tokens")) for c in columns])
-    each = held.select(id_column, "dl", F.explode(parts).alias("p")).select(id_column, "dl", "p.col", F.posexplode("p.tokens").alias("position", "term"))
-    return each.groupBy("term", id_column, "col").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
+def token_rows(docs: DataFrame, id_column: str, columns: tuple[str, ...], tokens: Callable[[Column], Column], more: tuple[str, ...] = ()) -> DataFrame:
+    """docs' id and `more` with dl, the number of tokens, and the arrays of tokens by column name."""
+    held = barrier(docs, F.col(id_column), *[F.col(c) for c in more], *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
+    return held.withColumn("dl", sum((F.size(f"_t_{c}") for c in columns), F.lit(0)))
+
+
+def postings(docs: DataFrame, id_column: str, columns: tuple[str, ...], tokens: Callable[[Column], Column] = unicode_tokens, more: tuple[str, ...] = ()) -> DataFrame:
+    """The inverted index: (term, id, more..., col, positions, dl). No shuffle: a text's tokens are grouped within its row.
+
+    Places are sorted by token, so a term's places are neighbours: a term begins where the token before is another, and its
+    places are the slice up to where the next term begins.
+    """
+    held = token_rows(docs, id_column, columns, tokens, more)
+    parts = F.array(*[F.struct(F.lit(c).alias("col"), F.array_sort(F.transform(F.col(f"_t_{c}"), lambda t, i: F.struct(t.alias("t"), i.alias("i")))).alias("s")) for c in columns])
+    each = held.select(id_column, *more, "dl", F.explode_outer(parts).alias("p")).select(id_column, *more, "dl", "p.col", F.col("p.s").alias("s"))
+    starts = F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (F.get(F.col("s"), i - 1)["t"] != x["t"]), i)), lambda i: i.isNotNull())
+    each = barrier(each, F.col(id_column), *[F.col(c) for c in more], F.col("dl"), F.col("col"), F.col("s"), starts.alias("b"))
+    terms = F.transform("b", lambda at, k: F.struct(F.get(F.col("s"), at)["t"].alias("term"), F.transform(F.slice("s", at + 1, F.coalesce(F.get(F.col("b"), k + 1), F.size("s")) - at), lambda x: x["i"]).alias("positions")))
+    return each.select(id_column, *more, "dl", "col", F.explode(terms).alias("x")).select("x.term", id_column, *more, "col", "x.positions", "dl")
 
 
-def doc_stats(docs: DataFrame, columns: tuple[str, ...], tokens: Callable[[Column], Column] = ascii_tokens) -> DataFrame:
+def doc_stats(docs: DataFrame, columns: tuple[str, ...], tokens: Callable[[Column], Column] = unicode_tokens) -> DataFrame:
     """One row: n_docs and mean length."""
     length = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
     return docs.select(length.alias("dl")).agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def index_search(index: DataFrame, stats: DataFrame, query: str, id_column: str, columns: tuple[str, ...], limit: int = 50, query_tokens: Callable[[str], list[str]] = plain_tokens) -> DataFrame:
-    """search() over an index: reads the postings of the query's terms only."""
+def wanted(phrases: list[Phrase]) -> Column:
+    """Which rows of an index hold a term of the phrases."""
+    out = F.lit(False)
+    for p in phrases:
+        for k in range(len(p.terms)):
+            out = out | fits(F.col("term"), p, k)
+    return out
+
+
+def index_search(index: DataFrame, stats: DataFrame, query: str, id_column: str, columns: tuple[str, ...], limit: int = 50, query_tokens: Callable[[str], list[str]] = plain_query_tokens) -> DataFrame:
+    """search() over an index: reads the postings of the query's terms only, and groups them by document once."""
     tree = parse(query.strip(), columns, query_tokens)
-    units = phrases(tree)
-    if not units:
+    parts, phrases = units(tree), scored(tree)
+    if not any(p.terms for p in phrases):
         return index.select(id_column, F.lit(0.0).alias("rank")).limit(0)
-    hits = None
-    for i, unit in enumerate(units):
-        rows = index if unit.column is None else index.filter(F.col("col") == unit.column)
-        last = len(unit.terms) - 1
-        fits = [F.startswith("term", F.lit(t)) if k == last and unit.prefix else F.col("term") == t for k, t in enumerate(unit.terms)]
-        places = [F.flatten(F.collect_list(F.when(fit, F.col("positions")))).alias(f"_p{k}") for k, fit in enumerate(fits)]
-        some = fits[0]
-        for fit in fits[1:]:
-            some = some | fit
-        grouped = rows.filter(some).groupBy(id_column, "col").agg(F.first("dl").alias("_dl"), *places)
-        starts = F.col("_p0")
-        for k in range(1, len(fits)):
-            starts = F.array_intersect(starts, shifted(F.col(f"_p{k}"), k))
-        found = grouped.select(id_column, "_dl", F.size(starts).alias("_f")).groupBy(id_column).agg(F.first("_dl").alias("_dl"), F.sum("_f").alias("_f"))
-        found = found.filter("_f > 0").withColumn("_u", F.lit(i))
-        hits = found if hits is None else hits.unionByName(found)
-    n = hits.groupBy("_u").agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    scored = hits.join(F.broadcast(n), "_u").join(F.broadcast(stats))  # a row for each phrase, and one row
-    scored = scored.withColumn("_s", bm25(F.col("_f"), F.col("_n"), F.col("n_docs"), F.col("_dl"), F.col("avgdl")))
-    wide = scored.groupBy(id_column).agg(*[F.max(F.when(F.col("_u") == i, F.col("_s"))).alias(f"_s{i}") for i in range(len(units))])
-    total = combined(tree, {u: F.col(f"_s{i}") for i, u in enumerate(units)})
-    return wide.select(id_column, (-total).alias("rank")).filter("rank is not null").orderBy("rank", id_column).limit(limit)
-
-
-def shifted(places: Column, by: int) -> Column:
-    return F.transform(places, lambda p: p - by)
+    rows = index.filter(wanted(phrases)).groupBy(id_column).agg(F.first("dl").alias("_dl"), F.collect_list(F.struct("term", "col", "positions")).alias("_w"))
+
+    def term_places(phrase: Phrase, column: str, k: int) -> Column:
+        found = F.filter("_w", lambda w: (w["col"] == column) & fits(w["term"], phrase, k))
+        return F.transform(F.flatten(F.transform(found, lambda w: w["positions"])), lambda x: x - k)
+
+    def at(phrase: Phrase, column: str) -> Column:
+        """Where a phrase begins in a column, from the document's postings."""
+        out = None
+        for k in range(len(phrase.terms)):
+            found = term_places(phrase, column, k)
+            out = found if out is None else F.array_intersect(out, found)
+        if out is None:
+            return F.array().cast("array<int>")
+        return F.filter(out, lambda x: x == 0) if phrase.first else F.array_distinct(out)
+
+    alone = [p for p in phrases if p not in parts]
+    counts = []
+    for i, unit in enumerate([*parts, *alone]):
+        where = columns if unit.columns is None else unit.columns
+        if isinstance(unit, Phrase):
+            counts.append(sum((F.size(at(unit, c)) for c in where), F.lit(0)).alias(f"_f{i}"))
+            continue
+        close = [close_places([at(p, c) for p in unit.phrases], unit.phrases, unit.tokens) for c in where]
+        counts += [sum((F.size(x[k]) for x in close), F.lit(0)).alias(f"_f{i}_{k}") for k in range(len(unit.phrases))]
+    counted = barrier(rows, F.col(id_column), F.col("_dl"), *counts)
+    n = counted.agg(*[F.count_if(F.col(f"_f{[*parts, *alone].index(p)}") > 0).cast("double").alias(f"_n{i}") for i, p in enumerate(phrases)])
+    both = counted.join(F.broadcast(n)).join(F.broadcast(stats))  # one row each
+    idf = {p: weight_of(F.col(f"_n{i}"), F.col("n_docs")) for i, p in enumerate(phrases)}
+    total = total_score(tree, parts, idf, F.col("_dl"), F.col("avgdl"))
+    return both.select(id_column, (-total).alias("rank")).filter("rank is not null").orderBy("rank", id_column).limit(limit)

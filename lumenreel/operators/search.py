@@ -35,8 +35,8 @@ def weight_columns(query: Column, has_embedding: Column) -> tuple[Column, Column
 
 def fused(texts: DataFrame, vectors: DataFrame, weights: tuple[float, float], k: int, id_column: str) -> DataFrame:
     """(id, rank, similarity, score): the best k of two lists of candidates; what one list lacks counts 0."""
-    a = minmax(texts, "rank", "_text", higher_is_better=False)
-    b = minmax(vectors, "similarity", "_vector")
+    a = minmax(texts, "rank", "_text", higher_is_better=False, few=True)
+    b = minmax(vectors, "similarity", "_vector", few=True)
     both = a.join(b, id_column, "full")
     score = weights[0] * F.coalesce("_text", F.lit(0.0)) + weights[1] * F.coalesce("_vector", F.lit(0.0))
     return both.select(id_column, "rank", "similarity", score.alias("score")).orderBy(F.desc("score"), id_column).limit(k)

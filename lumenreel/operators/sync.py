@@ -67,6 +67,12 @@ def sync_folder(folder: str, videos: DataFrame, clips: DataFrame, global_videos:
     return {"videos": new_videos, "clips": new_clips, "meta": upsert_meta(meta, row), "synced_videos": fresh, "synced_clips": rows}
 
 
+def counters(synced: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many videos and clips sync_folder() took in."""
+    n = F.count(F.lit(1))
+    return synced["synced_videos"].agg(n.alias("videos")).join(F.broadcast(synced["synced_clips"].agg(n.alias("clips"))))  # one row each
+
+
 def upsert_meta(meta: DataFrame, new: DataFrame) -> DataFrame:
     """sync_meta with new rows; their null volume columns keep the old values."""
     n = new.select(*[F.col(c).alias(f"_n_{c}") for c in new.columns])

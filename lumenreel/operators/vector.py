@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,8 +64,11 @@ def allowed(vectors: DataFrame, ids: DataFrame, id_column: str = "clip_id") -> D
     return vectors.join(ids.select(id_column), id_column, "left_semi")
 
 
-def upserted(vectors: DataFrame, changes: DataFrame, id_column: str = "clip_id") -> DataFrame:
-    """Vectors with those of changes in place of the old ones."""
+def upserted(vectors: DataFrame, changes: DataFrame, id_column: str = "clip_id", order: str | None = None) -> DataFrame:
+    """Vectors with those of changes in place of the old ones. Of several changes of an id the last by `order` counts, else the
+    one whose vector is greatest, so that the result is one row for each id."""
+    last = Window.partitionBy(id_column).orderBy(*([F.desc(order)] if order else [F.desc(c) for c in changes.columns if c != id_column]))
+    changes = changes.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
     return vectors.join(changes.select(id_column), id_column, "left_anti").unionByName(changes)
 
 
@@ -80,9 +83,16 @@ def centroids(words: DataFrame, key: str, vector_column: str = "embedding") -> D
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias(vector_column))
 
 
-def minmax(rows: DataFrame, column: str, out: str, higher_is_better: bool = True) -> DataFrame:
-    """rows with `out`: column scaled to 0 to 1; all equal, or one row: 0. The extremes are one broadcast row."""
+def minmax(rows: DataFrame, column: str, out: str, higher_is_better: bool = True, few: bool = False) -> DataFrame:
+    """rows with `out`: column scaled to 0 to 1; all equal, or one row: 0. The extremes are one broadcast row.
+
+    `few` says that rows are a list of best hits: they are in one place already, so one window spares a second run.
+    """
     value = F.col(column) if higher_is_better else -F.col(column)
+    if few:
+        all_rows = Window.partitionBy(F.lit(0))
+        held = rows.withColumn("_lo", F.min(value).over(all_rows)).withColumn("_hi", F.max(value).over(all_rows))
+        return held.withColumn(out, F.when(F.col("_hi") > F.col("_lo"), (value - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))).drop("_lo", "_hi")
     extremes = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     scaled = F.when(F.col("_hi") > F.col("_lo"), (value - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(0.0))
     return rows.join(F.broadcast(extremes)).withColumn(out, scaled).drop("_lo", "_hi")

@@ -6,54 +6,19 @@ changes and cuts, conversations for transcripts, orders for rows to synchronise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenreel.functions import enrich, paths, text
 from lumenreel.operators import embedding, facets, filters, fts, hierarchy, intervals, lifecycle, search, segments, sync, vector
-from lumenreel.sources import files
+from lumenreel.plans.base import HOURS, QUERIES, SQL, Tables, hours, query, r6
+from lumenreel.sources import files, text_index
 from lumenreel.streaming import events as ev
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
 #: The query of the text and hybrid searches, and the number of results.
 TERMS, K = "mit OR sur", 20
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of (tables) as a query, with its SQL."""
-
-    def put(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return put
-
-
-class Tables:
-    """The tables of a folder as attributes."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-def hours(ts: str = "ts") -> Column:
-    """Hours since 2024 of a time without zone, in whole microseconds before the division."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', {ts})") / 3.6e9
-
-
-HOURS = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9"
-
 # --- full-text search -------------------------------------------------------------------------------------------
 
 
@@ -68,7 +33,11 @@ g AS (SELECT count(*)::DOUBLE AS nn, avg(dl) AS avgdl, {n} FROM f), s AS (SELECT
 SELECT {id_column}, round(-({total}), 6) AS rank FROM s WHERE ({total}) IS NOT NULL ORDER BY -({total}), {id_column} LIMIT {limit}"""
 
 
-DOC_TOKENS = "SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents"
+def tokens_sql(column: str) -> str:
+    return f"regexp_extract_all(strip_accents(lower(coalesce({column}, ''))), '[\\p{{L}}\\p{{N}}]+')"
+
+
+DOC_TOKENS = f"SELECT doc_id, {tokens_sql('text')} AS w FROM documents"
 
 
 def one_sql(term: str) -> str:
@@ -90,10 +59,22 @@ fts_query("fts_prefix", "ung*", ["len(list_filter(w, lambda x: starts_with(x, 'u
 fts_query("fts_nested", 'mit OR (sur AND "de la") NOT avec', [one_sql("mit"), one_sql("sur"), "len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'de' AND w[i + 1] = 'la'))", one_sql("avec")], "coalesce(s0 + (CASE WHEN s3 IS NULL THEN s1 + s2 END), s0, CASE WHEN s3 IS NULL THEN s1 + s2 END)")
 
 
-@query("fts_column", bm25_sql("SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(coalesce(role, '')), '[a-z0-9]+') AS r, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM conversations", "id", "len(r) + len(w)", [one_sql("mit"), "len(list_filter(r, lambda x: x = 'assistant'))"], "s0 + s1"))
-def fts_column(t: Tables) -> DataFrame:
-    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
-    return fts.search(rows, "text:mit role:assistant", "id", ("role", "text"), K).select("id", r6("rank").alias("rank"))
+fts_query("fts_accents", "à OR FÜR OR étude*", [one_sql("a"), one_sql("fur"), "len(list_filter(w, lambda x: starts_with(x, 'etude')))"], "coalesce(s0, 0) + coalesce(s1, 0) + coalesce(s2, 0) + CASE WHEN s0 IS NULL AND s1 IS NULL AND s2 IS NULL THEN NULL ELSE 0 END")
+fts_query("fts_initial", "^le OR ^der", ["(len(w) > 0 AND w[1] = 'le')::INTEGER", "(len(w) > 0 AND w[1] = 'der')::INTEGER"], "coalesce(s0 + s1, s0, s1)")
+fts_query("fts_plus", "de + la", ["len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'de' AND w[i + 1] = 'la'))"], "s0")
+TURNS = f"SELECT conv_id * 1000 + turn AS id, {tokens_sql('role')} AS r, {tokens_sql('text')} AS w FROM conversations"
+
+
+def turn_query(name: str, text_query: str, counts: list[str], total: str) -> None:
+    @query(name, bm25_sql(TURNS, "id", "len(r) + len(w)", counts, total))
+    def run(t: Tables) -> DataFrame:
+        rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", "text")
+        return fts.search(rows, text_query, "id", ("role", "text"), K).select("id", r6("rank").alias("rank"))
+
+
+turn_query("fts_column", "text:mit role:assistant", [one_sql("mit"), "len(list_filter(r, lambda x: x = 'assistant'))"], "s0 + s1")
+turn_query("fts_column_set", "{role text}: mit", ["len(list_filter(w, lambda x: x = 'mit')) + len(list_filter(r, lambda x: x = 'mit'))"], "s0")
+turn_query("fts_column_other", "- role: (user OR mit)", ["len(list_filter(w, lambda x: x = 'user'))", one_sql("mit")], "coalesce(s0 + s1, s0, s1)")
 
 
 @query("fts_index_search", SQL["fts_nested"])
@@ -103,12 +84,36 @@ def fts_index_search(t: Tables) -> DataFrame:
     return found.select("doc_id", r6("rank").alias("rank"))
 
 
-@query("fts_postings", f"WITH t AS ({DOC_TOKENS}) SELECT term, count(*) AS n_docs, sum(f)::BIGINT AS n_hits FROM (SELECT doc_id, unnest(w) AS term, 1 AS one FROM t) x JOIN (SELECT 1 AS f) y ON true GROUP BY term".replace("count(*) AS n_docs", "count(DISTINCT doc_id) AS n_docs"))
+@query("fts_postings", f"SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_hits FROM (SELECT doc_id, unnest(w) AS term FROM ({DOC_TOKENS})) GROUP BY term")
 def fts_postings(t: Tables) -> DataFrame:
     index = fts.postings(t.documents, "doc_id", ("text",))
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("positions")).alias("n_hits"))
 
 
+def stored_index(t: Tables, name: str) -> text_index.TextIndex:
+    return text_index.TextIndex(t.spark, files.work_folder(t.spark, name), "doc_id", ("text",), "source")
+
+
+@query("fts_stored", SQL["fts_nested"])
+def fts_stored(t: Tables) -> DataFrame:
+    index = stored_index(t, "fts-stored")
+    index.build(t.documents)
+    return index.search('mit OR (sur AND "de la") NOT avec', K).select("doc_id", r6("rank").alias("rank"))
+
+
+@query("fts_maintained", bm25_sql(f"SELECT doc_id, {tokens_sql('text')} AS w FROM documents WHERE source <> 'src4'", "doc_id", "len(w)", [one_sql("mit"), one_sql("sur")], "coalesce(s0 + s1, s0, s1)"))
+def fts_maintained(t: Tables) -> DataFrame:
+    # other texts first, then all the true ones in their place; one folder is forgotten, another indexed anew
+    index = stored_index(t, "fts-maintained")
+    index.build(t.documents.withColumn("text", F.lit("mit sur")))
+    index.upsert(t.documents)
+    index.delete_folder("src4")
+    index.rebuild_folder("src5", t.documents.filter("source = 'src5'"))
+    index.compacted()
+    index.discard()
+    return index.search(TERMS, K).select("doc_id", r6("rank").alias("rank"))
+
+
 @query("fts_blank", "SELECT doc_id, 0.0::DOUBLE AS rank FROM documents WHERE false")
 def fts_blank(t: Tables) -> DataFrame:
     return fts.search(t.documents, "  \n ", "doc_id", ("text",), K)
@@ -156,10 +161,12 @@ def vector_store_load(t: Tables) -> DataFrame:
     return vector.loaded(t.embeddings, 64).select("vec_id", r6("norm").alias("norm"))
 
 
-@query("vector_upsert", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 10 <> 0 UNION ALL SELECT vec_id, list_reverse(embedding) FROM embeddings WHERE vec_id % 10 = 0) WHERE vec_id % 7 <> 0")
+@query("vector_upsert", "WITH n AS (SELECT vec_id + 10 AS vec_id, list_reverse(embedding) AS embedding FROM embeddings), u AS (SELECT vec_id, embedding FROM embeddings ANTI JOIN n USING (vec_id) UNION ALL FROM n) SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM u WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def vector_upsert(t: Tables) -> DataFrame:
-    new = t.embeddings.filter("vec_id % 10 = 0").withColumn("embedding", F.reverse("embedding"))
-    rows = vector.removed(vector.upserted(t.embeddings, new, "vec_id"), t.embeddings.filter("vec_id % 7 = 0"), "vec_id")
+    old = t.embeddings.select("vec_id", "embedding")
+    new = old.select((F.col("vec_id") + 10).alias("vec_id"), F.reverse("embedding").alias("embedding"))
+    gone = t.labels.filter("toxic = 1").select(F.col("doc_id").alias("vec_id"))
+    rows = vector.removed(vector.upserted(old, new.union(new), "vec_id"), gone, "vec_id")
     return rows.select("vec_id", r6(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total"))
 
 
@@ -181,7 +188,7 @@ def hybrid_sql(w_text: float, w_vector: float, where: str = "true") -> str:
 an AS (SELECT doc_id, rank, CASE WHEN max(-rank) OVER () > min(-rank) OVER () THEN (-rank - min(-rank) OVER ()) / (max(-rank) OVER () - min(-rank) OVER ()) ELSE 0 END AS x FROM a),
 bn AS (SELECT doc_id, similarity, CASE WHEN max(similarity) OVER () > min(similarity) OVER () THEN (similarity - min(similarity) OVER ()) / (max(similarity) OVER () - min(similarity) OVER ()) ELSE 0 END AS y FROM b),
 m AS (SELECT coalesce(an.doc_id, bn.doc_id) AS doc_id, rank, similarity, {w_text}::DOUBLE * coalesce(x, 0) + {w_vector}::DOUBLE * coalesce(y, 0) AS score FROM an FULL JOIN bn ON an.doc_id = bn.doc_id)
-SELECT m.doc_id, lang, source, round(rank, 6) AS rank, round(similarity, 6) AS similarity, round(score, 6) AS score FROM m JOIN documents USING (doc_id) ORDER BY m.score DESC, m.doc_id LIMIT {K}"""
+SELECT h.doc_id, lang, source, round(rank, 6) AS rank, round(similarity, 6) AS similarity, round(score, 6) AS score FROM (SELECT * FROM m ORDER BY score DESC, doc_id LIMIT {K}) h JOIN documents USING (doc_id)"""
 
 
 def hybrid(t: Tables, text_query: str, mode: str, where: str | None = None) -> DataFrame:
@@ -192,10 +199,10 @@ def hybrid(t: Tables, text_query: str, mode: str, where: str | None = None) -> D
     return out.select("doc_id", "lang", "source", r6("rank").alias("rank"), r6("similarity").alias("similarity"), r6("score").alias("score"))
 
 
-query("hybrid_search", hybrid_sql(0.4, 0.6).replace("m JOIN documents", "(SELECT * FROM m ORDER BY score DESC, doc_id LIMIT 20) m JOIN documents"))(lambda t: hybrid(t, TERMS, "hybrid"))
-query("hybrid_exact", hybrid_sql(0.9, 0.1).replace("m JOIN documents", "(SELECT * FROM m ORDER BY score DESC, doc_id LIMIT 20) m JOIN documents"))(lambda t: hybrid(t, '"mit" OR sur', "auto"))
-query("hybrid_semantic", hybrid_sql(0.2, 0.8).replace("m JOIN documents", "(SELECT * FROM m ORDER BY score DESC, doc_id LIMIT 20) m JOIN documents"))(lambda t: hybrid(t, "mit  OR  sur", "auto"))
-query("hybrid_filtered", hybrid_sql(0.4, 0.6, "lang <> 'de'").replace("m JOIN documents", "(SELECT * FROM m ORDER BY score DESC, doc_id LIMIT 20) m JOIN documents"))(lambda t: hybrid(t, TERMS, "hybrid", "lang <> 'de'"))
+query("hybrid_search", hybrid_sql(0.4, 0.6))(lambda t: hybrid(t, TERMS, "hybrid"))
+query("hybrid_exact", hybrid_sql(0.9, 0.1))(lambda t: hybrid(t, '"mit" OR sur', "auto"))
+query("hybrid_semantic", hybrid_sql(0.2, 0.8))(lambda t: hybrid(t, "mit  OR  sur", "auto"))
+query("hybrid_filtered", hybrid_sql(0.4, 0.6, "lang <> 'de'"))(lambda t: hybrid(t, TERMS, "hybrid", "lang <> 'de'"))
 
 
 @query("minmax_normalize", "SELECT doc_id, round(CASE WHEN max(n_chars) OVER () > min(n_chars) OVER () THEN (n_chars - min(n_chars) OVER ())::DOUBLE / (max(n_chars) OVER () - min(n_chars) OVER ()) ELSE 0 END, 6) AS x FROM documents")
@@ -230,8 +237,8 @@ query("path_prefix_filter", f"SELECT clip_id, file_path FROM {CLIPS} WHERE start
 query("post_filter", f"SELECT clip_id, rating, color_label, shot_type FROM {CLIPS} WHERE rating >= 3 AND color_label = 'red' AND shot_type IN ('en', 'fr')")(
     lambda t: filters.ResultFilter(3, frozenset({"red"}), frozenset({"en", "fr"})).apply(clips(t)).select("clip_id", "rating", "color_label", "shot_type")
 )
-query("sort_duration", f"SELECT clip_id, end_time FROM {CLIPS} ORDER BY end_time - start_time DESC, clip_id LIMIT 50")(lambda t: filters.sorted_results(clips(t), "duration", False).limit(50).select("clip_id", "end_time"))
-query("sort_rating", f"SELECT clip_id, rating FROM {CLIPS} ORDER BY rating, clip_id LIMIT 50")(lambda t: filters.sorted_results(clips(t), "rating").limit(50).select("clip_id", "rating"))
+query("sort_duration", f"SELECT clip_id, end_time FROM {CLIPS} ORDER BY end_time - start_time DESC, clip_id")(lambda t: filters.sorted_results(clips(t), "duration", False).select("clip_id", "end_time"))
+query("sort_rating", f"SELECT clip_id, rating FROM {CLIPS} ORDER BY rating, clip_id")(lambda t: filters.sorted_results(clips(t), "rating").select("clip_id", "rating"))
 query("facet_topn", f"SELECT shot_type AS value, count(*) AS n FROM {CLIPS} WHERE shot_type <> '' GROUP BY shot_type ORDER BY n DESC, value LIMIT 20")(lambda t: facets.facet(clips(t), "shot_type"))
 query("facets_all", f"SELECT 'shot_type' AS dimension, shot_type AS value, count(*) AS n FROM {CLIPS} WHERE shot_type <> '' GROUP BY 2 UNION ALL SELECT 'mood', mood, count(*) FROM {CLIPS} WHERE mood <> '' GROUP BY 2 UNION ALL SELECT 'rating', rating::VARCHAR, count(*) FROM {CLIPS} WHERE rating > 0 GROUP BY 2 UNION ALL SELECT 'color_label', color_label, count(*) FROM {CLIPS} WHERE color_label IS NOT NULL GROUP BY 2")(lambda t: facets.all_facets(clips(t)))
 query("folder_stats", "SELECT source AS source_folder, count(DISTINCT lang) AS n_videos, count(*) AS n_clips FROM documents GROUP BY source")(lambda t: facets.folder_stats(t.documents.withColumnRenamed("source", "source_folder"), video="lang"))
@@ -334,26 +341,21 @@ query("positional_zip", "WITH a AS (SELECT conv_id, turn, row_number() OVER (PAR
 # --- subtitles --------------------------------------------------------------------------------------------------
 
 
-def subtitles(t: Tables, said: Column) -> DataFrame:
+def subtitles(t: Tables) -> DataFrame:
+    """Whole texts with their line ends, less blank lines and blanks at the end: a blank line would end the subtitle."""
     start = F.col("turn") * F.lit(7.25)
+    said = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"\n\s*\n", "\n")
+    said = F.regexp_replace(F.regexp_replace(said, r"^\s*\n", ""), r"\s+$", "")
     return t.conversations.select("conv_id", F.col("turn").alias("idx"), start.alias("start"), (start + 5.5).alias("end"), said.alias("text"))
 
 
-def opening() -> Column:
-    """The start of a text in one line, as the SQL of srt_format has it."""
-    return F.translate(F.substr("text", F.lit(1), F.lit(30)), "\n", " ")
-
-
-def whole() -> Column:
-    """A whole text with its line ends, less blank lines: one would end the subtitle."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"\n\s*\n", "\n"), r"^\s*\n", "")
-
-
 TIME = "printf('%02d:%02d:%02d,%03d', (x // 3600000)::INTEGER, (x // 60000 % 60)::INTEGER, (x // 1000 % 60)::INTEGER, (x % 1000)::INTEGER)"
-SUBS = "(SELECT conv_id, turn, (turn * 7250)::BIGINT AS a, (turn * 7250 + 5500)::BIGINT AS b, replace(substr(text, 1, 30), chr(10), ' ') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"
-query("srt_format", f"SELECT conv_id, string_agg(n || chr(10) || {TIME.replace('x', 'a')} || ' --> ' || {TIME.replace('x', 'b')} || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM {SUBS} GROUP BY conv_id")(lambda t: files.format_srt(subtitles(t, opening()), "conv_id"))
-query("srt_parse", f"SELECT conv_id, n::INTEGER AS idx, a / 1000.0::DOUBLE AS start, b / 1000.0::DOUBLE AS \"end\", length(trim(text)) > 0 AS spoken FROM {SUBS}")(
-    lambda t: files.parse_srt(files.format_srt(subtitles(t, whole()), "conv_id"), "srt", "conv_id").select("conv_id", "idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), (F.length(F.trim("text")) > 0).alias("spoken"))
+SAID = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n\s*\n', chr(10), 'g'), '^\s*\n', ''), '\s+$', '')"
+SUBS = f"(SELECT conv_id, turn, (turn * 7250)::BIGINT AS a, (turn * 7250 + 5500)::BIGINT AS b, {SAID} AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)"
+query("srt_format", f"SELECT conv_id, string_agg(n || chr(10) || {TIME.replace('x', 'a')} || ' --> ' || {TIME.replace('x', 'b')} || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM {SUBS} GROUP BY conv_id")(lambda t: files.format_srt(subtitles(t), "conv_id"))
+# a subtitle without text isn't a whole block
+query("srt_parse", f"SELECT conv_id, n::INTEGER AS idx, a / 1000.0::DOUBLE AS start, b / 1000.0::DOUBLE AS \"end\", text FROM {SUBS} WHERE text <> ''")(
+    lambda t: files.parse_srt(files.format_srt(subtitles(t), "conv_id"), "srt", "conv_id").select("conv_id", "idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
 )
 
 # --- synchronisation and lifecycle ------------------------------------------------------------------------------
@@ -363,8 +365,8 @@ query("sync_incremental", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orde
 )
 query("sync_page", "SELECT o_orderkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 500")(lambda t: sync.after(t.orders, 500, "o_orderkey", 500).select("o_orderkey"))
 query("sync_cursor", "SELECT greatest(coalesce(max(o_orderkey), 500), 500)::BIGINT AS cursor FROM orders WHERE o_orderkey > 500")(lambda t: sync.new_cursor(sync.after(t.orders, 500, "o_orderkey"), 500, "o_orderkey"))
-query("sync_upsert", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")(
-    lambda t: sync.upsert(t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").alias("price")), t.orders.filter("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("price")), ["o_orderkey"], F.col("price"))
+query("sync_upsert", "WITH n AS (SELECT o_orderkey + 3 AS o_orderkey, max(o_totalprice * 2) AS price FROM orders GROUP BY 1) SELECT o_orderkey, price FROM n UNION ALL SELECT o_orderkey, o_totalprice FROM orders ANTI JOIN n USING (o_orderkey)")(
+    lambda t: sync.upsert(t.orders.select("o_orderkey", F.col("o_totalprice").alias("price")), t.orders.select((F.col("o_orderkey") + 3).alias("o_orderkey"), (F.col("o_totalprice") * 2).alias("price")), ["o_orderkey"], F.col("price"))
 )
 query("sync_exclude", "SELECT page_id, url FROM pages WHERE NOT EXISTS (SELECT 1 FROM pages f WHERE f.page_id % 10 = 0 AND starts_with(pages.url, regexp_extract(f.url, '^(https?://[^/]+/[^/?]+)', 1) || '/') AND regexp_extract(f.url, '^(https?://[^/]+/[^/?]+)', 1) <> '')")(
     lambda t: hierarchy.without_children(t.pages.select("page_id", "url"), t.pages.filter("page_id % 10 = 0").select(F.regexp_extract("url", "^(https?://[^/]+/[^/?]+)", 1).alias("folder")).filter("folder <> ''"), "url")
@@ -415,7 +417,7 @@ PART_TAGS = "list_filter([trim(p_brand), trim(p_type)], lambda x: x <> '')"
 query("compose_text", "SELECT p_partkey, array_to_string(list_filter([p_type, p_name, p_brand], lambda x: x <> ''), '. ') AS text FROM (SELECT p_partkey, p_type, replace(p_name, ' ', ', ') AS p_name, p_brand FROM part)")(
     lambda t: t.part.select("p_partkey", text.compose_text({"scene": F.col("p_type"), "subjects": F.split("p_name", " "), "mood": F.col("p_brand")}).alias("text"))
 )
-query("compose_tags", "SELECT p_partkey, array_to_string(list_concat([p_type], list_filter(list_distinct(string_split(p_name, ' ')), lambda x: x <> p_type)), '|') AS tags FROM part WHERE false UNION ALL SELECT p_partkey, string_agg(w, '|' ORDER BY i) FROM (SELECT p_partkey, w, min(i) AS i FROM (SELECT p_partkey, unnest(list_concat([p_type], string_split(p_name, ' '), [p_brand])) AS w, generate_subscripts(list_concat([p_type], string_split(p_name, ' '), [p_brand]), 1) AS i FROM part) WHERE trim(w) <> '' GROUP BY p_partkey, w) GROUP BY p_partkey")(
+query("compose_tags", "SELECT p_partkey, string_agg(w, '|' ORDER BY i) AS tags FROM (SELECT p_partkey, w, min(i) AS i FROM (SELECT p_partkey, unnest(list_concat([p_type], string_split(p_name, ' '), [p_brand])) AS w, generate_subscripts(list_concat([p_type], string_split(p_name, ' '), [p_brand]), 1) AS i FROM part) WHERE trim(w) <> '' GROUP BY p_partkey, w) GROUP BY p_partkey")(
     lambda t: t.part.select("p_partkey", F.array_join(text.compose_tags({"scene": F.col("p_type"), "subjects": F.split("p_name", " "), "mood": F.col("p_brand")}), "|").alias("tags"))
 )
 
@@ -446,8 +448,12 @@ query("json_salvage", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 query("timecodes", "SELECT event_id, printf('%d:%02d', (event_id // 60)::INTEGER, (event_id % 60)::INTEGER) AS code FROM events")(lambda t: t.events.select("event_id", text.timecode(F.col("event_id")).alias("code")))
 query("locale_names", "SELECT doc_id, CASE lang WHEN 'fr' THEN 'fr_FR' WHEN 'de' THEN 'de_DE' WHEN 'es' THEN 'es_ES' ELSE 'en_US' END AS locale FROM documents")(lambda t: t.documents.select("doc_id", enrich.locale(F.concat(F.upper("lang"), F.lit("-xx"))).alias("locale")))
 query("file_hashes")(lambda t: t.documents.select("doc_id", files.content_hash(F.encode("text", "utf-8")).alias("file_hash")))
-query("path_hashes")(lambda t: t.pages.select("page_id", text.path_hashes("url").alias("hash")))
-query("embed_texts")(lambda t: t.documents.select("doc_id", embedding.embedded(embedding.HashingProvider(64), F.col("text")).alias("embedding")))
+query("path_hashes", "SELECT page_id, format('{:016x}', list_reduce(list_prepend(5381::UHUGEINT, list_transform(string_split(url, ''), lambda c: ord(c)::UHUGEINT)), lambda h, b: (h * 33 + b) % 18446744073709551616::UHUGEINT)::UBIGINT) AS hash FROM pages")(lambda t: t.pages.select("page_id", text.path_hashes("url").alias("hash")))
+WORD_HASHES = "SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM documents)"
+DIMENSIONS = f"SELECT doc_id, h % 64 AS k, sum(CASE WHEN h >> 31 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM ({WORD_HASHES}) GROUP BY ALL"
+query("embed_texts", f"WITH d AS ({DIMENSIONS}), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM d GROUP BY doc_id) SELECT doc_id, k::INTEGER AS place, round((x / l)::FLOAT::DOUBLE, 5) AS x FROM d JOIN l USING (doc_id) WHERE x <> 0")(
+    lambda t: t.documents.select("doc_id", F.posexplode(embedding.embedded(embedding.HashingProvider(64), F.col("text"))).alias("place", "x")).filter("x <> 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("x"))
+)
 
 # --- events -----------------------------------------------------------------------------------------------------
 
@@ -465,6 +471,10 @@ query("sliding_rate", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDE
 query("windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda t: ev.windowed_counts(t.events).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n"))
 
 
+# registered by being imported
+from lumenreel.plans import details, library  # noqa: E402, F401
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

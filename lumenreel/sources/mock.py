@@ -1,4 +1,4 @@
-"""A small library for demonstrations and tests: three videos with seven clips."""
+"""A small invented library for demonstrations and tests: four recordings of a railway trip with nine clips."""
 
 from __future__ import annotations
 
@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenreel.schema import CLIPS, VIDEOS
 
-#: File, seconds, bytes; and of each clip video, start, end, scene, description, tags, transcript.
-FILES = (("beach_sunset.mp4", 180.0, 52_000_000), ("city_night.mp4", 240.0, 78_000_000), ("forest_morning.mp4", 120.0, 35_000_000))
+#: File name, seconds, bytes.
+FILES = (("platform_rain.mov", 41.5, 9_300_000), ("dining_car.mp4", 66.0, 14_100_000), ("viaduct.mkv", 95.25, 21_750_000), ("ferry_harbour.webm", 58.0, 12_400_000))
+#: The number of the file, start, end, scene, description, tags, what is said, rating.
 SHOTS = (
-    (1, 0.0, 5.5, "海滩日落", "金色夕阳下的沙滩，海浪轻拍岸边", "海滩 日落 户外 暖色调 全景", None),
-    (1, 5.5, 12.0, "海滩人像", "A young woman walking along the shoreline at golden hour", "海滩 人像 黄金时刻 中景", "the waves are so peaceful"),
-    (1, 12.0, 18.0, "海浪特写", "碧蓝海水冲刷白色沙滩的慢动作镜头", "海浪 特写 慢动作 自然", None),
-    (2, 0.0, 8.0, "城市夜景", "霓虹灯闪烁的都市街道，车流穿梭", "城市 夜景 霓虹灯 冷色调 全景", "这里是上海最繁华的南京路"),
-    (2, 8.0, 15.0, "街头美食", "小摊贩在夜市中制作煎饼果子，蒸汽升腾", "美食 街头 夜市 暖色调 中景", None),
-    (3, 0.0, 10.0, "森林晨雾", "清晨薄雾笼罩的森林，阳光穿透树叶", "森林 晨雾 自然 绿色 全景", None),
-    (3, 10.0, 18.0, "小溪流水", "Crystal clear stream flowing over mossy rocks in the forest", "小溪 森林 自然 流水 特写", "listen to the sound of nature"),
+    (1, 0.0, 17.0, "station", "Rain drips from the station roof onto an empty platform", "rain platform grey", None, 2),
+    (1, 17.0, 41.5, "departure", "A conductor closes the last door and raises a green disc", "conductor platform door", "Zurückbleiben bitte", 4),
+    (2, 0.0, 22.5, "dining car", "Soup plates tremble on a white tablecloth", "soup table interior", "is this seat taken", 3),
+    (2, 22.5, 66.0, "kitchen", "La cuisinière découpe des poireaux près de la fenêtre", "cuisine légumes interior", None, 0),
+    (3, 0.0, 31.0, "valley", "The train leans into a curve high above a gorge", "viaduct mountain aerial", None, 5),
+    (3, 31.0, 60.0, "tunnel", "Lamps flick past in a long tunnel", "tunnel dark", "hold on tight", 1),
+    (3, 60.0, 95.25, "lake", "Nebel liegt über dem See, ein Boot treibt am Ufer", "lake fog boat", None, 3),
+    (4, 0.0, 25.0, "harbour", "Ferry ropes splash into the harbour water", "ferry harbour rope", "cast off forward", 4),
+    (4, 25.0, 58.0, "deck", "Gulls follow the ferry past a lighthouse", "ferry gulls lighthouse", None, 0),
 )
 
 
 def library(spark: SparkSession, folder: str = "/library") -> tuple[DataFrame, DataFrame]:
     """(videos, clips) of the demonstration library."""
     videos = [{"video_id": i, "source_folder": folder, "source_video_id": i, "file_path": f"{folder}/{name}", "file_name": name, "duration": seconds, "file_size": size} for i, (name, seconds, size) in enumerate(FILES, 1)]
-    clips = [{"clip_id": i, "source_folder": folder, "source_clip_id": i, "video_id": v, "start_time": a, "end_time": b, "scene": scene, "description": text, "tags": tags.split(), "transcript": said, "rating": 0} for i, (v, a, b, scene, text, tags, said) in enumerate(SHOTS, 1)]
+    clips = [{"clip_id": i, "source_folder": folder, "source_clip_id": i, "video_id": v, "start_time": a, "end_time": b, "scene": scene, "description": text, "tags": tags.split(), "transcript": said, "rating": stars} for i, (v, a, b, scene, text, tags, said, stars) in enumerate(SHOTS, 1)]
     full = lambda rows, schema: spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
     return full(videos, VIDEOS), full(clips, CLIPS)

@@ -48,6 +48,23 @@ def sliding_rate(events: DataFrame, key: str, ts: str, seconds: int) -> DataFram
     return events.withColumn("_at", at).withColumn("in_window", F.count(F.lit(1)).over(window)).drop("_at")
 
 
+def daily_count(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """events with `day` and `in_day`: how many of the key there are on that day up to each, itself included."""
+    day = F.to_date(F.col(ts))
+    window = Window.partitionBy(key, "day").orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("day", day).withColumn("in_day", F.count(F.lit(1)).over(window))
+
+
+def health_changes(folders: DataFrame, reachable: DataFrame) -> DataFrame:
+    """(folder_path, is_available) of folders that have vanished or come back since is_available was noted.
+
+    For a check at an interval, call it in each micro-batch of a stream with that trigger.
+    """
+    now = reachable.select("folder_path").distinct().withColumn("_now", F.lit(True))
+    both = folders.join(now, "folder_path", "left").withColumn("_now", F.coalesce("_now", F.lit(False)))
+    return both.filter(F.col("_now") != F.coalesce("is_available", F.lit(False))).select("folder_path", F.col("_now").alias("is_available"))
+
+
 def next_limit(limit: Column, throttled: Column, least: int = 3, most: int = 10) -> Column:
     """The request limit after an answer: down by 2 when throttled, up by 1 else."""
     return F.when(throttled, F.greatest(F.lit(least), limit - 2)).otherwise(F.least(F.lit(most), limit + 1))
