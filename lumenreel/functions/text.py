@@ -28,13 +28,16 @@ def ascii_tokens(c: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def plain_letters() -> dict[str, str]:
-    """Latin letters with one mark, in lower case, to the letters without it."""
+    """Lower-case Latin letters with one mark to the letters without it, and forms of a letter (as at a word's end) to the letter."""
     out = {}
-    for code in range(0xC0, 0x2000):
+    for code in range(0xB5, 0x2000):
         letter = chr(code)
-        parts = unicodedata.normalize("NFD", letter)
-        if letter == letter.lower() and len(parts) == 2 and unicodedata.category(parts[1]) == "Mn" and parts[0].isascii() and parts[0].isalpha():
-            out[letter] = parts[0]
+        plain = letter.casefold() if len(letter.casefold()) == 1 else letter
+        parts = unicodedata.normalize("NFD", plain)
+        if len(parts) == 2 and unicodedata.category(parts[1]) == "Mn" and parts[0].isascii() and parts[0].isalpha():
+            plain = parts[0]
+        if letter == letter.lower() and plain != letter:
+            out[letter] = plain
     return out
 
 
