@@ -9,8 +9,10 @@ of A symbols; then
 * runs of symbols above and below the middle of the alphabet;
 * serial correlation of neighbours.
 
-A candidate that fails one of the tests (z above `fails`) isn't random. The others get the probability that a token of
-that length whose symbols are distributed like written text shows an X so small; short tokens can't show much, so the
+A candidate that fails one of the tests (z above `fails`: 3.3 turns away one random token in a thousand by each test) isn't
+random. The others get the probability that a token of
+that length whose symbols are distributed like written text shows an X so small, from the mean and the variance of the
+number of equal pairs among independent symbols of written frequencies; short tokens can't show much, so the
 test is aware of length. Discoveries are then controlled by Benjamini-Hochberg within classes of length: counts of
 candidates by class and bin of the probability, a table of fixed size, give each class its limit. Every candidate of
 all documents counts. The kind of these spans is `random`.
@@ -47,6 +49,8 @@ ENCODINGS = (
 )
 #: Matches that one fold places.
 BLOCK = 256
+#: By how much the chance of three equal symbols of written text is over the square of that of two (from letters' frequencies).
+SKEW = 0.24
 #: Bins of the probability, a class and unit of -log p.
 BINS, BIN = 256, 0.125
 
@@ -131,7 +135,9 @@ def measured(df: DataFrame) -> DataFrame:
     serial = F.when(F.col("w.square") > 0, F.abs(F.col("w.cross") / F.col("w.square")) * F.sqrt(n)).otherwise(F.lit(1e9))
     random = (chi < F.col("t.fails")) & (runs < F.col("t.fails")) & (serial < F.col("t.fails"))
     written = (size - 1) + (n - 1) * (size * F.col("t.alike") - 1)
-    wide = 0.072 * size * F.sqrt(n) + F.sqrt(2 * (size - 1))
+    # equal pairs of n independent symbols: their number's variance, in units of X
+    triples = SKEW * F.col("t.alike") * F.col("t.alike") * n * (n - 1) * (n - 2)
+    wide = 2 * size / n * F.sqrt(n * (n - 1) / 2 * F.col("t.alike") * (1 - F.col("t.alike")) + triples)
     p = normal_cdf(F.greatest((F.col("x") - written) / wide, F.lit(-8.0)))
     units = F.least(F.floor(-F.log(F.greatest(p, F.lit(1e-30))) / BIN), F.lit(BINS - 1)).cast("int")
     return df.withColumn("class", F.floor(F.log2(n) * 2).cast("int")).withColumn("bin", F.when(random, units))

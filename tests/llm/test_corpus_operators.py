@@ -336,6 +336,32 @@ def test_secret_scans(spark):
     assert secrets.scanned(spark, empty(spark)).count() == 0
 
 
+def test_random_tokens_outside_base_spans(spark):
+    r = random.Random(7)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [upper + upper.lower() + digits + "+/", digits + "ABCDEF", upper + "234567", upper.lower() + digits]
+    vocabulary = ["station", "harbour", "letter", "morning", "signal", "window", "bridge", "garden", "summer", "market", "engine", "coastal", "paper", "winter", "reading", "quiet", "yellow", "mountain", "river", "table"]
+    texts, planted = [], []
+    for i in range(1200):
+        n, alphabet = r.choice((32, 40, 48, 64)), r.choice(alphabets)
+        token = "".join(r.choice(alphabet) for _ in range(n))
+        ws = [r.choice(vocabulary) for _ in range(5)]
+        other = r.choice(("_".join(ws), "".join(w.capitalize() for w in ws), "/".join(ws), "".join(ws), (ws[0] * 9)[:40], upper.lower() + digits))
+        texts.append(f"on the {ws[0]} {token} lay {other} and more")
+        planted.append((7 + len(ws[0]) + 1, n, len(alphabet)))
+    got = {x.doc_id: x.spans for x in secrets.scanned(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found, false, missed = collections.Counter(), 0, collections.Counter()
+    for i, (start, n, size) in enumerate(planted):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("random")]
+        hit = (start, start + n) in spans
+        found[n, size] += hit
+        missed[n, size] += not hit
+        false += len(spans) - hit
+    recall = lambda ns, sizes=(64, 16, 32, 36): sum(found[k] for k in found if k[0] in ns and k[1] in sizes) / sum(found[k] + missed[k] for k in found if k[0] in ns and k[1] in sizes)
+    assert recall((48, 64)) >= 0.97 and recall((32, 40), (64,)) >= 0.9 and recall((40,)) >= 0.8
+    assert false <= 0.05 * sum(found.values())
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
