@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lumenreel.functions.text import plain_query_tokens, unicode_tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Bytes a core below which a table is dealt out anew.
+SPREAD_BYTES = 16 << 20
 #: Tokens that may lie between the phrases of a NEAR group that doesn't say (a fixed value of the query language).
 NEAR_TOKENS = 10
 
@@ -323,6 +325,17 @@ def barrier(df: DataFrame, *columns: Column) -> DataFrame:
     return df.select(F.explode_outer(F.array(F.struct(*columns))).alias("_x")).select("_x.*")
 
 
+def spread(docs: DataFrame, *columns: str) -> DataFrame:
+    """These columns of docs, dealt out to all cores where docs is too small for its files to be.
+
+    Files are read by row groups, so one task would tokenise a table of a few. The exchange is bounded by SPREAD_BYTES a core,
+    and passes over the same table share it.
+    """
+    rows, cores = docs.select(*columns), docs.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < SPREAD_BYTES * cores else rows
+
+
 def counted_units(held: DataFrame, parts: list, columns: tuple[str, ...], kept: list[str]) -> DataFrame:
     """`kept` columns, and of the n-th unit _f{n} (a phrase) or _f{n}_{k} (the k-th phrase of a NEAR group)."""
     counts, length = [], sum((F.size(f"_t_{c}") for c in columns), F.lit(0)).alias("_dl")
@@ -360,7 +373,7 @@ def ranked(docs: DataFrame, query: str, id_column: str, columns: tuple[str, ...]
     parts, phrases = units(tree), scored(tree)
     if not parts:
         return empty
-    held = barrier(docs, F.col(id_column), *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
+    held = barrier(spread(docs, id_column, *columns), F.col(id_column), *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
     # of a phrase in a NEAR group the weight comes from all rows that have the phrase
     alone = [p for p in phrases if p not in parts]
     counted = counted_units(held, [*parts, *alone], columns, [id_column])
@@ -379,7 +392,7 @@ def search(docs: DataFrame, query: str, id_column: str, columns: tuple[str, ...]
 
 def token_rows(docs: DataFrame, id_column: str, columns: tuple[str, ...], tokens: Callable[[Column], Column], more: tuple[str, ...] = ()) -> DataFrame:
     """docs' id and `more` with dl, the number of tokens, and the arrays of tokens by column name."""
-    held = barrier(docs, F.col(id_column), *[F.col(c) for c in more], *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
+    held = barrier(spread(docs, *dict.fromkeys([id_column, *more, *columns])), F.col(id_column), *[F.col(c) for c in more], *[tokens(F.col(c)).alias(f"_t_{c}") for c in columns])
     return held.withColumn("dl", sum((F.size(f"_t_{c}") for c in columns), F.lit(0)))
 
 
@@ -401,7 +414,7 @@ def postings(docs: DataFrame, id_column: str, columns: tuple[str, ...], tokens:
 def doc_stats(docs: DataFrame, columns: tuple[str, ...], tokens: Callable[[Column], Column] = unicode_tokens) -> DataFrame:
     """One row: n_docs and mean length."""
     length = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
-    return docs.select(length.alias("dl")).agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return spread(docs, *columns).select(length.alias("dl")).agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def wanted(phrases: list[Phrase]) -> Column:
