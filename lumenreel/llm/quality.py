@@ -122,7 +122,11 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
-    """(row, id, text) with the base counts, base_failed, score and kept; row has the columns of docs."""
+    """(row, base counts, base_failed, score, kept); row has the columns of docs.
+
+    The outer form of explode() keeps the steps apart from what is done with the verdicts: a filter on one would be pushed
+    below the steps that make it, each with the arrays before it made anew for every place.
+    """
     held = wrapped(docs, id=own(id_column), text=own(text).cast("string"))
     trusted = trusted_ids(labels, id_column, trusted_rows)
     marks = markers(held.select("id", "text"), trusted_ids(labels, id_column, trusted_rows, 1), trusted).scalar()
@@ -134,7 +138,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     held = held.withColumn("_found", F.array_intersect("_grams", F.col("_marks.every")))
     toxic = (F.size("_found") >= 2) | F.arrays_overlap("_found", F.col("_marks.strong"))
     held = held.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & ~toxic)
-    return held.drop("_grams", "_weights", "_marks", "_found")
+    return held.select(F.explode_outer(F.array(F.struct("row", *BASE, "score", "kept"))).alias("x")).select("x.*")
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -143,10 +147,5 @@ def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose verdict is to keep them, with their own columns.
-
-    A plain filter on the verdict would be pushed below the steps that make it, each with the arrays before it made anew
-    for every place; the outer form of explode() keeps the steps apart.
-    """
-    only = F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")
-    return unwrapped(verdicts(docs, labels, **options).select(only).filter("row is not null"), docs.columns, {})
+    """The rows of docs whose verdict is to keep them, with their own columns."""
+    return unwrapped(verdicts(docs, labels, **options).filter("kept"), docs.columns, {})

@@ -237,6 +237,39 @@ def tokens_of(text):
     return regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+", (text or "").lower())
 
 
+def quality_truth(spark, rows, trusted, toxic, buckets=quality.BUCKETS, prior=quality.PRIOR):
+    """(score, kept) of each row (id, text), with the engine's hash taken as given."""
+    seen = {t for _, x in rows for t in tokens_of(x)}
+    pairs = {(a, b) for _, x in rows for a, b in zip([None, *tokens_of(x)], tokens_of(x), strict=False)}
+    one = {r.t: r.h for r in spark.createDataFrame([(t,) for t in seen], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    table = spark.createDataFrame([(a and one[a], one[b]) for a, b in pairs], "a long, b long").distinct().select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).alias("h")).collect()
+    two = {(r.a, r.b): r.h for r in table}
+
+    def grams(text):
+        h = [one[t] for t in tokens_of(text)]
+        return [x % buckets for x in h] + [two[a, b] for a, b in zip([None, *h], h, strict=False)]
+
+    raw, target, bad, good = (collections.Counter() for _ in range(4))
+    counts = {True: 0, False: 0}
+    for doc, text in rows:
+        raw.update(grams(text))
+        if doc is not None and doc in trusted | toxic:
+            counts[doc in toxic] += 1
+            (bad if doc in toxic else good).update(set(tokens_of(text)))
+        if doc is not None and doc in trusted:
+            target.update(grams(text))
+    n, m = sum(raw.values()), sum(target.values())
+    marks = {t for t, x in bad.items() if x >= quality.MARKER_ROWS and x >= counts[True] * quality.MARKER_SHARE and counts[False] and np.log((x + 0.5) / (counts[True] + 1)) - np.log((good[t] + 0.5) / (counts[False] + 1)) >= quality.MARKER_RATIO}
+    strong = {t for t in marks if bad[t] >= counts[True] * quality.STRONG_SHARE}
+    out = []
+    for _, text in rows:
+        g = collections.Counter(grams(text))
+        score = sum(k * np.log((target[x] + prior * raw[x] / n) / (m + prior) / (raw[x] / n)) for x, k in g.items()) / max(1, sum(g.values())) if m else 0.0
+        found = set(tokens_of(text)) & marks
+        out.append((score, bool(not base_truth(text)[-1] and score >= quality.THRESHOLD and len(found) < 2 and not found & strong)))
+    return out
+
+
 def test_quality_rules(spark):
     rows = [(i, " ".join(words(60, i)), None, "s", None) for i in range(30)] + [(100 + i, " | ".join(words(60, 50 + i)), None, "s", None) for i in range(10)]
     rows += [(200, None, None, None, None), (201, "", None, None, None), (202, "ä ö\nä ö\n\n ä ö", None, None, None), (203, "a b c d e f " * 9, None, None, None), (None, "é " * 12, None, None, None), (0, rows[0][1], None, None, None), (204, "long text " * 30000, None, None, None)]
@@ -249,27 +282,9 @@ def test_quality_rules(spark):
     assert len(got) == len(rows) and found.agg(F.max("score_input"), F.max("kept_input"), F.max("N_words_input"), F.max("_words"), F.max("trusted")).first() == (3, 3, 3, 3, 3)
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_truth(r.text)
-    # the score itself, with the engine's hash taken as given
-    seen = {t for r in rows for t in tokens_of(r[1])}
-    pairs = {(a, b) for r in rows for a, b in zip([None, *tokens_of(r[1])], tokens_of(r[1]), strict=False)}
-    one = {r.t: r.h for r in spark.createDataFrame([(t,) for t in seen], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
-    table = spark.createDataFrame([(a and one[a], one[b]) for a, b in pairs], "a long, b long").distinct().select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(64)).alias("h")).collect()
-    two = {(r.a, r.b): r.h for r in table}
-
-    def grams(text):
-        h = [one[t] for t in tokens_of(text)]
-        return [x % 64 for x in h] + [two[a, b] for a, b in zip([None, *h], h, strict=False)]
-
-    raw, target = collections.Counter(), collections.Counter()
-    for r in rows:
-        raw.update(grams(r[1]))
-        target.update(grams(r[1]) if r[0] is not None and r[0] < 20 else [])
-    n, m = sum(raw.values()), sum(target.values())
-    for r in got:
-        g = collections.Counter(grams(r.text))
-        want = sum(k * np.log((target[x] + 50 * raw[x] / n) / (m + 50) / (raw[x] / n)) for x, k in g.items()) / max(1, sum(g.values()))
-        assert r.score == pytest.approx(want, abs=1e-9)
-        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+    want = quality_truth(spark, [(r.doc_id, r.text) for r in got], set(range(20)), {101}, 64, 50.0)
+    for r, (score, kept) in zip(got, want, strict=True):
+        assert r.score == pytest.approx(score, abs=1e-9) and r.kept == kept
     kept = quality.kept_rows(docs, labels, buckets=64, prior=50.0)
     assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted(r.text for r in got if r.kept)
     assert quality.judged(empty(spark), labels).count() == 0
@@ -660,21 +675,51 @@ def test_chat_formatting(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage against brute force, on documents with all that can be odd about them."""
     import corpus_pipeline as p
 
-    junk = [(500 + i, " | ".join(words(60, 900 + i)), "en", "s0", None) for i in range(5)]
     item = " ".join(words(40, 4242))
-    docs = [(i, f"shared header line of the site\n{' '.join(words(120, i))}", "en", f"s{i % 2}", None) for i in range(40)] + junk
-    docs += [(100, docs[7][1] + " tail", "en", "s1", None), (101, f"{' '.join(words(60, 77))} {item} {' '.join(words(20, 78))}", "en", "s0", None)]
-    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(d[0], int(d[0] not in range(500, 505)), 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    at, seen = spark.createDataFrame(docs, DOCS), []
-    for name, stage in p.STAGES[:-1]:
+    header = "shared header line of the site"
+    rows = [(i, f"{header}\n{' '.join(words(400, i))}", f"s{i % 2}") for i in range(40)]
+    rows += [(500 + i, " | ".join(words(60, 900 + i)), "s0") for i in range(5)] + [(600 + i, f"{header}\n{' '.join(words(100, 650 + i))} scum", "s1") for i in range(9)]
+    rows += [(100, rows[7][1] + " tail", "s1"), (101, f"{' '.join(words(60, 77))} {item} {' '.join(words(20, 78))}", "s0"), (102, "", "s0"), (103, None, None), (104, "too short", "s1"), (105, " ".join(words(20000, 7)), "s0")]
+    # ids with several texts, repeated rows, rows without an id: a copy, a new text, one with an item
+    rows += [(5, " ".join(words(90, 801)), "s0"), rows[3], rows[3], (None, rows[9][1], "s1"), (None, " ".join(words(90, 802)), None), (None, f"{' '.join(words(60, 803))} {item}", None), (106, f"{header}\n" * 12, "s1")]
+    labels = [(d, int(not 500 <= d < 505), int(600 <= d < 605)) for d in (*range(40), *range(500, 505), *range(600, 605))] + [(None, 1, 0)]
+    docs = spark.createDataFrame([(d, t, "en", s, None) for d, t, s in rows], DOCS)
+    for clash in ("score", "kept", "n_words", "row", "node", "host", "item_id", "key", "length"):
+        docs = docs.withColumn(clash, F.lit("x"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    tests = [(1, item), (2, None)]
+    spark.createDataFrame(tests, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at, seen = docs, []
+    for name, stage in p.STAGES:
         at = Scratch(spark).keep(stage(spark, at, str(tmp_path)), name)
-        seen.append({r.doc_id: r.text for r in at.collect()})
-    assert set(seen[0]) == {d[0] for d in docs} - {d[0] for d in junk}
-    assert set(seen[1]) == set(seen[0]) and not any("shared header" in t for t in seen[1].values())
-    assert set(seen[2]) == set(seen[1]) - {100} and set(seen[3]) == set(seen[2]) - {101}
-    assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} == set(seen[3])
-    json.dumps([n for n, _ in p.STAGES])
+        seen.append(at.collect())
+        if name != "packing":
+            assert at.columns == p.COLUMNS
+    texts = [sorted(((r.doc_id, r.text) for r in x), key=str) for x in seen[:4]]
+    good, bad = {d for d, q, t in labels if d is not None and q and not t}, {d for d, q, t in labels if d is not None and q and t}
+    kept = [r for r, (_, k) in zip(rows, quality_truth(spark, [r[:2] for r in rows], good, bad), strict=True) if k]
+    assert texts[0] == sorted((r[:2] for r in kept), key=str) and not {500, 501, 600, 605, 102, 103, 104} & {r[0] for r in kept} and {5, 101, 105} <= {r[0] for r in kept}
+    lined = line_truth([(d, h, t) for d, t, h in kept], line_dedup.RATIO, line_dedup.MIN_PAGES, True)
+    assert texts[1] == sorted(((d, t) for d, t, _, _ in lined), key=str) and not any(header in t for _, t in texts[1])
+    want, nulls = first_truth(texts[1], 80, 5)
+    null_rows = [r for r in texts[2] if r[0] is None]
+    assert sorted((r for r in texts[2] if r[0] is not None), key=str) == want and len(null_rows) == nulls == 2
+    clean = [r for r in texts[2] if not contained_truth([(1, r[1])], tests)]
+    assert texts[3] == sorted(clean, key=str) and len(clean) == len(texts[2]) - 2
+    ids = packing.encoder(tokenizer_path())
+    assert sum(r.length for r in seen[4]) == sum(len(ids(t)) + 1 for _, t in clean) and {r.doc_id for r in seen[4]} == {d for d, _ in clean}
+    whole = p.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in seen[4])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
