@@ -11,7 +11,7 @@ partner, in the next one. For each band `allocate` weighs two ways by cost:
 * one-deletion neighbourhoods, m = (H + 1) / 2 rounded up: of m segments one differs in at most one element, so a
   signature for each segment and for each segment less one element meet.
 
-Equal sets share a node id and travel once for each batch. Signatures are packed in numpy by bucket, one binary row
+Equal sets share a node id and travel once for each batch; different sets that share a hash take a second one. Signatures are packed in numpy by bucket, one binary row
 for each bucket and batch, and a task takes up its buckets one after another, sorted by Spark, so it holds one of them at
 a time. A list of nodes with a common signature first gives links to one centre, which are verified on the sets
 themselves; then to a member of the list's largest class. Lists whose nodes are then in one class are done, and in the
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +47,8 @@ OWN, BELOW, OWN_LESS, BELOW_LESS = 0, 1, 2, 3
 CHUNK = 2048
 #: Signatures that a worker gathers before it packs them by bucket, and buckets for each partition of their shuffle.
 FLUSH, BUCKETS = 1 << 19, 4
+#: Node ids that several sets may have in common.
+MOST_DOUBLES = 100_000
 
 
 def bands(percent: int, up_to: int) -> list[tuple[int, int]]:
@@ -97,9 +100,23 @@ def shingle_set(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray
     return np.unique(sequence_hashes(found, size))
 
 
-def node_of(found: np.ndarray) -> int:
-    """A set's node id, from its size and elements."""
-    return xxhash.xxh3_64_intdigest(found.tobytes(), seed=len(found)) - 2**63
+@dataclass(frozen=True)
+class Nodes:
+    """Node ids of sets: a hash of the size and the elements, or a second one where sets have the first in common."""
+
+    doubles: frozenset[int] = frozenset()
+    bits: int = 64
+
+    def of(self, found: np.ndarray) -> int | None:
+        """A set's node id; of an empty set none."""
+        if not len(found):
+            return None
+        node = (xxhash.xxh3_64_intdigest(found.tobytes(), seed=len(found)) >> (64 - self.bits)) - 2**63
+        return self.second(found) if node in self.doubles else node
+
+    @staticmethod
+    def second(found: np.ndarray) -> int | None:
+        return xxhash.xxh3_64_intdigest(found.tobytes(), seed=2**63 + len(found)) - 2**63 if len(found) else None
 
 
 def signatures(found: np.ndarray, band: int, high: int, percent: int, documents: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,19 +173,35 @@ def may_link(one: np.ndarray, two: np.ndarray, size_one, size_two, percent: int)
     return differ * (100 + percent) <= (size_one + size_two) * (100 - percent)
 
 
-def membership(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, n_shingles, bits) of each row."""
+def membership(docs: DataFrame, size: int, nodes: Nodes) -> DataFrame:
+    """(doc_id, node, second, n_shingles, bits) of each row."""
 
     def run(batches):
         for ids, sets in shingled(batches, size):
-            nodes = [node_of(s) if len(s) else None for s in sets]
             bits = [parities(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "node", "n_shingles", "bits"])
+            columns = [pa.array(x, pa.int64()) for x in (ids, map(nodes.of, sets), map(nodes.second, sets), map(len, sets))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary())], ["doc_id", "node", "second", "n_shingles", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long, bits binary")
+    return docs.mapInArrow(run, "doc_id long, node long, second long, n_shingles long, bits binary")
 
 
-def packed_signatures(docs: DataFrame, size: int, percent: int, buckets: int, counts: dict[int, int], top: int) -> DataFrame:
+def told_apart(members: DataFrame, nodes: Nodes) -> tuple[DataFrame, Nodes]:
+    """members and nodes after sets that share a node id have taken their second one.
+
+    Of 10^10 different sets some three pairs share one of 64 bits, so what comes to the driver is a handful of numbers.
+    """
+    shared = members.groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a <> b").select("node")
+    doubles = frozenset(r["node"] for r in shared.limit(MOST_DOUBLES + 1).collect())
+    if len(doubles) > MOST_DOUBLES:
+        raise ValueError("too many sets share a hash; is it still one?")
+    if not doubles:
+        return members.drop("second"), nodes
+    table = F.broadcast(members.sparkSession.createDataFrame([(d,) for d in doubles], "node long").withColumn("_double", F.lit(True)))
+    own_node = F.when(F.col("_double"), F.col("second")).otherwise(F.col("node"))
+    return members.join(table, "node", "left").withColumn("node", own_node).drop("second", "_double"), Nodes(doubles, nodes.bits)
+
+
+def packed_signatures(docs: DataFrame, size: int, nodes: Nodes, percent: int, buckets: int, counts: dict[int, int], top: int) -> DataFrame:
     """(bucket, entries): the signatures of a batch's distinct sets, a row for each bucket."""
     ranges = bands(percent, top)
     lows = np.array([low for low, _ in ranges], np.int64)
@@ -185,7 +218,7 @@ def packed_signatures(docs: DataFrame, size: int, percent: int, buckets: int, co
     def run(batches):
         parts, held, seen = [], 0, set()
         for _, sets in shingled(batches, size):
-            for node, s in {node_of(s): s for s in sets if len(s)}.items():
+            for node, s in {nodes.of(s): s for s in sets if len(s)}.items():
                 if node in seen:
                     continue
                 seen.add(node)
@@ -421,10 +454,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(scratch: Scratch, docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n_shingles) of each row of docs (doc_id, text), and links (a, b) of nodes that connect each class."""
+def linked(scratch: Scratch, docs: DataFrame, percent: int, size: int, bits: int = 64) -> tuple[DataFrame, DataFrame, Nodes]:
+    """(doc_id, node, n_shingles) of each row of docs (doc_id, text), links (a, b) of nodes that connect each class, and Nodes."""
     partitions = partitions_for(docs)
-    members = scratch.keep(membership(docs, size), "members")
+    first = scratch.keep(membership(docs, size, Nodes(bits=bits)), "members")
+    members, nodes = told_apart(first, Nodes(bits=bits))
     top = members.agg(F.max("n_shingles")).first()[0] or 0
     ranges = bands(percent, max(top, 1))
     # a count for each band: as many rows as there are bands, about log(largest set) / log(1 / threshold)
@@ -432,16 +466,16 @@ def linked(scratch: Scratch, docs: DataFrame, percent: int, size: int) -> tuple[
     per_band = members.filter("n_shingles > 0").groupBy((F.size(F.filter(low, lambda x: x <= F.col("n_shingles"))) - 1).alias("band")).count()
     # rounded to a power of two, so that few distinct allocations arise
     counts = {r["band"]: 1 << int(r["count"]).bit_length() for r in per_band.toLocalIterator()}
-    found = scratch.keep(lists(packed_signatures(docs, size, percent, partitions * BUCKETS, counts, top), partitions), "lists")
-    nodes = found.select(F.explode("nodes").alias("node")).distinct()
-    maps = members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
+    found = scratch.keep(lists(packed_signatures(docs, size, nodes, percent, partitions * BUCKETS, counts, top), partitions), "lists")
+    listed = found.select(F.explode("nodes").alias("node")).distinct()
+    maps = members.join(listed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
     maps = scratch.keep(maps.filter("doc_id is not null"), "maps")
     slim = scratch.keep(members.drop("bits"), "members")
-    scratch.drop(members)
+    scratch.drop(first)
 
     def elements(batches):
         for _, sets in shingled(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(nodes.of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
     # a shuffle at any size: the ids grow with the input, and texts of one id are few
     chosen = docs.join(maps.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
@@ -458,10 +492,10 @@ def linked(scratch: Scratch, docs: DataFrame, percent: int, size: int) -> tuple[
         scratch.drop(labels, info, pairs, more, links)
         links = both
     scratch.drop(sets, found, maps)
-    return slim, links
+    return slim, links, nodes
 
 
-def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, size: int = 4, id_column: str = "doc_id", text_column: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id, node) of each row of docs.
 
     Documents are linked when 100 * common shingles >= percent * all shingles of the two; component_id is the smallest
@@ -469,7 +503,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
     `size` are one shingle; no words: no shingle and no link. node is equal for equal sets, null for empty ones.
     """
     scratch = Scratch(spark)
-    members, links = linked(scratch, docs.select(own(id_column).cast("long").alias("doc_id"), own(text_column).cast("string").alias("text")), percent, size)
+    members, links, _ = linked(scratch, docs.select(own(id_column).cast("long").alias("doc_id"), own(text_column).cast("string").alias("text")), percent, size, bits)
     # links of rows that share an id
     repeated = members.filter("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     shared = members.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b")
@@ -482,7 +516,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "node")
 
 
-def first_of_class(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def first_of_class(spark: SparkSession, docs: DataFrame, percent: int = 80, size: int = 5, id_column: str = "doc_id", text_column: str = "text", bits: int = 64) -> DataFrame:
     """The rows of docs less those that are near copies of another: of each class one row stays.
 
     It is the one of the smallest id; rows without an id come after all others, in the order of a hash of their text, and
@@ -494,7 +528,7 @@ def first_of_class(spark: SparkSession, docs: DataFrame, percent: int = 80, size
     # ids above all others for rows without one, equal for equal texts
     high = F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62)
     keyed = wrapped(docs, doc_id=F.coalesce(own(id_column).cast("long"), high), text=text)
-    members, links = linked(scratch, keyed.select("doc_id", "text"), percent, size)
+    members, links, nodes = linked(scratch, keyed.select("doc_id", "text"), percent, size, bits)
     labels = components(links, scratch)
     filled = members.filter("node is not null")
     best = filled.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("class")).agg(F.min(F.struct("doc_id", "node")).alias("x"))
@@ -505,19 +539,19 @@ def first_of_class(spark: SparkSession, docs: DataFrame, percent: int = 80, size
     scratch.drop(members, labels, links)
     out = keyed.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select("row")
     if not several.isEmpty():  # ids of several rows: the rows are told apart by their sets
-        shared = with_node(keyed.join(several.hint("shuffle_hash"), "doc_id", "left_semi"), size)
+        shared = with_node(keyed.join(several.hint("shuffle_hash"), "doc_id", "left_semi"), size, nodes)
         first = shared.join(best, ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min_by("row", F.to_json("row")).alias("row"))
         out = out.union(first.select("row")).union(shared.filter("node is null").select("row"))
     return unwrapped(out, docs.columns, {})
 
 
-def with_node(rows: DataFrame, size: int) -> DataFrame:
+def with_node(rows: DataFrame, size: int, nodes: Nodes) -> DataFrame:
     """rows (row, doc_id, text) with `node`."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in sliced(batches):
             sets = [shingle_set(t.lower().split(), hashes, size) for t in binary_column(batch, "text")]
-            yield batch.append_column("node", pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()))
+            yield batch.append_column("node", pa.array(map(nodes.of, sets), pa.int64()))
 
     return rows.select("row", "doc_id", "text").mapInArrow(run, rows.select("row", "doc_id", "text").schema.add("node", "long"))

@@ -113,6 +113,16 @@ def test_jaccard_long_lists_cross_in_blocks(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
 
 
+def test_jaccard_of_sets_that_share_a_node_id(spark):
+    docs = corpus(spark)
+    # hashes of four bits: nearly all sets share one, and take the second
+    got = ngram_jaccard.jaccard_classes(spark, docs, 80, 5, bits=4).collect()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == jaccard_truth(rows, 80, 5)
+    kept = ngram_jaccard.first_of_class(spark, docs, 80, 5, bits=4)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == first_truth(rows, 80, 5)[0]
+
+
 def first_truth(rows, percent, size):
     """The rows (id, text) that stay: of each class of linked texts the one of the least id, nulls last."""
     sets = []
