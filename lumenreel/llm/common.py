@@ -99,9 +99,13 @@ def own(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def wrapped(df: DataFrame, **columns: Column) -> DataFrame:
-    """`row`, a struct of all of df's columns, and the given columns: no name of df can clash with those of a method."""
-    return df.select(F.struct(*[own(c) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+def wrapped(df: DataFrame, without: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """`row`, a struct of df's columns, and the given columns: no name of df can clash with those of a method.
+
+    without: columns of df that row leaves out, as they will be replaced; null stands in for a row without columns.
+    """
+    kept = [own(c) for c in df.columns if c not in without] or [F.lit(None).cast("string").alias("none")]
+    return df.select(F.struct(*kept).alias("row"), *[c.alias(n) for n, c in columns.items()])
 
 
 def unwrapped(df: DataFrame, names: list[str], outputs: dict[str, Column], replaced: dict[str, Column] | None = None) -> DataFrame:

@@ -54,7 +54,7 @@ def boilerplate(pages: DataFrame, ratio: float, min_pages: int, copies: bool) ->
 
 def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """pages with `text` less its boilerplate lines, and n_lines and n_removed (blank lines don't count)."""
-    held = wrapped(pages, host=own(host), text=own(text).cast("string"))
+    held = wrapped(pages, (text,), host=own(host), text=own(text).cast("string"))
     often = boilerplate(held.select("host", "text"), ratio, min_pages, copies)
     both = held.join(often, F.col("host").eqNullSafe(F.col("site")), "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
     stays = F.filter(lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("often"), line_hash(x)), F.lit(False)))

@@ -510,7 +510,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, percent: int = 85, siz
     labels = components(links.union(shared), scratch)
     scratch.drop(links)
     classed = members.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
-    least = classed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # a table of its own: Spark splits a class of very many rows in a join of two exchanges, not below an aggregate
+    least = scratch.keep(classed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
     out = classed.join(least, "class", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), "node")

@@ -76,10 +76,11 @@ def start(docs: DataFrame, scratch: Scratch, shards: int) -> DataFrame:
     return scratch.keep(planned.select(out).union(dealt.select(out)), "start")
 
 
-def wishes(placed: DataFrame) -> DataFrame:
+def wishes(placed: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, shard, wish) of each linked document whose chunk has more of its documents elsewhere."""
     counts = placed.filter("chunk is not null").groupBy("chunk", "shard").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("chunk").agg(F.max_by("shard", F.struct("n", F.xxhash64("chunk", "shard"))).alias("wish"))
+    # a table of its own: Spark splits a chunk of very many rows in a join of two exchanges, not below an aggregate
+    best = scratch.keep(counts.groupBy("chunk").agg(F.max_by("shard", F.struct("n", F.xxhash64("chunk", "shard"))).alias("wish")), "best")
     asked = placed.filter("chunk is not null").select("row", "shard", "chunk").join(best, "chunk")
     return asked.filter("shard <> wish").select("row", "shard", "wish")
 
@@ -100,7 +101,7 @@ def quotas(asked: DataFrame, placed: DataFrame) -> DataFrame:
 
 def round_of(placed: DataFrame, scratch: Scratch, turn: int) -> tuple[DataFrame, int]:
     """One round: the new table, and how many documents moved."""
-    asked = scratch.keep(wishes(placed), f"asked{turn}")
+    asked = scratch.keep(wishes(placed, scratch), f"asked{turn}")
     limits = scratch.keep(quotas(asked, placed), f"quotas{turn}")  # at most shards x shards rows
     order = [F.xxhash64("row"), F.col("row")]
     ranked = numbered(asked.select("row", F.col("shard").alias("a"), F.col("wish").alias("b")), ["a", "b"], order, "rank", 16)
