@@ -42,14 +42,15 @@ def fused(texts: DataFrame, vectors: DataFrame, weights: tuple[float, float], k:
     return both.select(id_column, "rank", "similarity", score.alias("score")).orderBy(F.desc("score"), id_column).limit(k)
 
 
-def hybrid_search(clips: DataFrame, vectors: DataFrame, query: str, embedding: list[float] | None, mode: str = "auto", k: int = 50, id_column: str = "clip_id", columns: tuple[str, ...] = ("tags_text", "description", "transcript", "user_tags_text"), keep: DataFrame | None = None, **options) -> DataFrame:
+def hybrid_search(clips: DataFrame, vectors: DataFrame, query: str, embedding: list[float] | None, mode: str = "auto", k: int = 50, id_column: str = "clip_id", columns: tuple[str, ...] = ("tags_text", "description", "transcript", "user_tags_text"), keep: DataFrame | None = None, text_hits: DataFrame | None = None, **options) -> DataFrame:
     """(id, rank, similarity, score) of the best k clips.
 
-    Filters come first, as `keep`: the ids that may be found, applied to both branches before their best 2k.
+    Filters come first, as `keep`: the ids that may be found, applied to both branches before their best 2k. text_hits, the
+    (id, rank) of a stored index, take the place of a search over the clips' texts.
     """
     if keep is not None:
         vectors = vectors.join(keep.select(id_column), id_column, "left_semi")
-    text_side = ranked(clips, query, id_column, columns, **options)
+    text_side = ranked(clips, query, id_column, columns, **options) if text_hits is None else text_hits
     if keep is not None:
         text_side = text_side.join(keep.select(id_column), id_column, "left_semi")
     if mode == "vector":

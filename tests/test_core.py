@@ -499,6 +499,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.found(spark, root, "zuruckbleiben", "fts", 5).first().clip_id == 2
     cli.main(["search", "--root", root, "--query", "lighthouse"])
     assert "ferry_harbour.webm" in capsys.readouterr().out
+    (tmp_path / "media").mkdir()
+    (tmp_path / "media" / "one.mp4").write_bytes(b"1")
+    cli.main(["index", "--root", root, "--folder", str(tmp_path / "media")])
+    assert "one.mp4" in capsys.readouterr().out and files.open_table(spark, root, "videos").count() == 5
+    # by the stored index now
+    assert {r.clip_id for r in cli.found(spark, root, "platform", "fts", 5).collect()} == {1, 2}
+    everything = str(tmp_path / "all")
+    cli.main(["init", "--root", everything])
+    assert cli.synced(spark, everything, root) == {"videos": 5, "clips": 9} and cli.synced(spark, everything, root) == {"videos": 0, "clips": 0}
+    clips = files.open_table(spark, everything, "clips").join(files.open_table(spark, everything, "videos").select("video_id", "file_name"), "video_id")
+    assert {r.source_clip_id for r in clips.filter("file_name = 'viaduct.mkv'").collect()} == {5, 6, 7}
+    cli.main(["sync", "--root", everything, "--folder", root, "--force"])
+    assert "'clips': 9" in capsys.readouterr().out and files.open_table(spark, everything, "clips").count() == 9
     (tmp_path / "log").write_text("Duration: 00:01:00.00\npts_time:20\npts_time:20.1\n")
     cli.main(["segments", "--root", root, "--log", str(tmp_path / "log")])
     assert "20.0" in capsys.readouterr().out
