@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import xxhash
@@ -34,12 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder; they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder; they cut lineage and outlive lost executors.
+
+    What an operator returns may read its tables, so they stay until sweeping() ends, where the caller has written it.
+    """
+
+    made: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        self.made.append(self)
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -65,6 +72,18 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def sweeping():
+    """Delete the tables of all operators that a block calls when it ends; by then their results must be written."""
+    before = len(Scratch.made)
+    try:
+        yield
+    finally:
+        for scratch in Scratch.made[before:]:
+            scratch.delete(scratch.root)
+        del Scratch.made[before:]
+
+
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str):
     """The session's setting, for as long as a block runs."""

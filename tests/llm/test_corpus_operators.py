@@ -722,7 +722,9 @@ def test_pipeline(spark, tmp_path):
     assert texts[3] == sorted(clean, key=str) and len(clean) == len(texts[2]) - 2
     ids = packing.encoder(tokenizer_path())
     assert sum(r.length for r in seen[4]) == sum(len(ids(t)) + 1 for _, t in clean) and {r.doc_id for r in seen[4]} == {d for d, _ in clean}
+    tables = len(Scratch.made)
     whole = p.run(spark, str(tmp_path)).collect()
+    assert len(Scratch.made) == tables + 1  # the run's own
     assert sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in seen[4])
 
 
