@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch
+from lumenreel.llm.common import Scratch, sweeping
 from lumenreel.llm.decontam import without_items
 from lumenreel.llm.line_dedup import without_boilerplate
 from lumenreel.llm.ngram_jaccard import first_of_class
@@ -73,7 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with sweeping():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
         if before is not None:
             scratch.drop(before)
         before = docs
