@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import own, unwrapped, wrapped
+from lumenreel.llm.common import Scratch, own, unwrapped, wrapped
 
 #: The share of a host's pages above which a line is boilerplate, and the fewest pages it must be on: what only two pages
 #: share tells nothing about a site.
@@ -38,24 +38,28 @@ def line_hash(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(pages: DataFrame, ratio: float, min_pages: int, copies: bool) -> DataFrame:
-    """(site, often) of each host with boilerplate, from pages (host, text)."""
+def boilerplate(scratch: Scratch, pages: DataFrame, ratio: float, min_pages: int, copies: bool) -> DataFrame:
+    """(site, often) of each host with boilerplate, from pages (host, text).
+
+    What is joined by host is a table of its own: Spark splits a host of very many rows in a join of two exchanges, not
+    below an aggregate.
+    """
     total = F.count(F.lit(1))
     one = pages.select("host", F.md5(F.encode(F.col("text"), "utf-8")).alias("page"), F.array_distinct(F.transform(lines(F.col("text")), line_hash)).alias("lines"))
     if not copies:
         one = one.dropDuplicates(["host", "page"])
-    hosts = one.groupBy("host").agg(total.alias("pages"))
+    hosts = scratch.keep(one.groupBy("host").agg(total.alias("pages")), "hosts")
     found = one.select("host", F.explode_outer("lines").alias("line"))
     counts = found.filter("line is not null").groupBy("host", "line").agg(total.alias("n")).filter(F.col("n") >= min_pages)
     counts = counts.withColumnRenamed("host", "site")
     often = counts.join(hosts, F.col("site").eqNullSafe(F.col("host"))).filter(F.col("n") > F.col("pages") * F.lit(ratio))
-    return often.groupBy("site").agg(F.collect_list("line").alias("often"))
+    return scratch.keep(often.groupBy("site").agg(F.collect_list("line").alias("often")), "often")
 
 
 def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """pages with `text` less its boilerplate lines, and n_lines and n_removed (blank lines don't count)."""
     held = wrapped(pages, (text,), host=own(host), text=own(text).cast("string"))
-    often = boilerplate(held.select("host", "text"), ratio, min_pages, copies)
+    often = boilerplate(Scratch(pages.sparkSession), held.select("host", "text"), ratio, min_pages, copies)
     both = held.join(often, F.col("host").eqNullSafe(F.col("site")), "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
     stays = F.filter(lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("often"), line_hash(x)), F.lit(False)))
 

@@ -233,7 +233,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, revisit_fro
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digested = pages.withColumn("sha1", F.unhex(F.sha1(F.encode("html", "utf-8"))))
     shared = digested.filter(F.octet_length("html") >= revisit_from).groupBy(F.col("sha1").alias("same")).agg(F.max("page_id").alias("response"))
-    # one row for each payload on the built side; a payload that very many pages have is split by the skew handling
+    # a table of its own, with a row for each payload: Spark splits a payload that very many pages have in a join of two
+    # exchanges, not below an aggregate
+    shared = Scratch(spark).keep(shared, "shared")
     rows = digested.join(shared.hint("shuffle_hash"), F.col("sha1") == F.col("same"), "left")
     small = F.octet_length("html") < revisit_from
     refers_to = F.when(~small & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
