@@ -100,10 +100,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:
-    """Partitions for a shuffle by hand: the session's number, or more where df is estimated at more than that many `each` bytes."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    most = 100_000  # an estimate of an unknown size can be without bound
-    return max(shuffle_partitions(df.sparkSession), min(most, size // each) if size < 1 << 60 else 0)
+    """Partitions for a shuffle by hand: the session's number, or one for each `each` bytes of the tables that df reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    # tables of unknown size are estimated at the largest number there is
+    return max(shuffle_partitions(df.sparkSession), sum(s for s in sizes if s < 1 << 60) // each)
 
 
 def sliced(batches, rows: int = SLICE_ROWS) -> Iterator:
