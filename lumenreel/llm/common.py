@@ -19,6 +19,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 CACHE_WORDS = 30_000
 #: Rows that a Python worker unpacks at a time.
 SLICE_ROWS = 250
+#: Bytes of an Arrow batch of a table that Scratch writes.
+BATCH_BYTES = 4 << 20
 #: Spread 64-bit values (fixed odd multipliers).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -53,9 +55,12 @@ class Scratch:
         return f"{self.root}/{self.count:03d}-{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; the result has the attribute scratch_path. Shuffle files go with the write."""
+        """Write df and read it back; the result has the attribute scratch_path. Shuffle files go with the write.
+
+        Arrow batches are small meanwhile: each is held by Spark and by a Python worker, and unpacked there.
+        """
         path = self.path(name)
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
             df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path

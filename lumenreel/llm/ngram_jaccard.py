@@ -46,7 +46,7 @@ OWN, BELOW, OWN_LESS, BELOW_LESS = 0, 1, 2, 3
 #: Members of a list that travel in one row.
 CHUNK = 2048
 #: Signatures that a worker gathers before it packs them by bucket, and buckets for each partition of their shuffle.
-FLUSH, BUCKETS = 1 << 19, 4
+FLUSH, BUCKETS = 1 << 18, 4
 #: Node ids that several sets may have in common.
 MOST_DOUBLES = 100_000
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenreel.llm.common import Scratch, binary_column, sliced
+from lumenreel.llm.common import BATCH_BYTES, Scratch, binary_column, setting, sliced
 
 FRAME_MAGIC, DICTIONARY_MAGIC, EMPTY_MAGIC = 0xFD2FB528, 0x184D2A5D, 0x184D2A50
 #: An empty skippable frame; as text it is the sink's line end.
@@ -255,7 +255,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, revisit_fro
             yield pa.RecordBatch.from_arrays([pa.array([archive_of(held)], pa.binary())], ["archive"])
 
     files = rows.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
-    files.write.option("lineSep", EMPTY_FRAME.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        files.write.option("lineSep", EMPTY_FRAME.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 READ = {"page_id": "long", "url": "string", "record_type": "string", "payload_bytes": "long", "payload_digest": "string", "refers_to": "long", "record_id": "string", "payload": "binary"}
