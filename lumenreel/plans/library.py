@@ -151,7 +151,7 @@ def upsert_meta(t: Tables) -> DataFrame:
     return sync.upsert_meta(old, new).select("folder_path", F.col("last_synced_clip_rowid").alias("clip"), "volume_name")
 
 
-query("volume_of", "SELECT (SELECT min_by(s_name, s_suppkey) FROM supplier WHERE s_nationkey = 5) AS uuid, (SELECT min_by(s_name, s_suppkey) FROM supplier) AS other")(
+query("volume_of", "SELECT coalesce((SELECT min_by(s_name, s_suppkey) FROM supplier WHERE s_nationkey = 5), (SELECT min_by(s_name, s_suppkey) FROM supplier)) AS uuid, (SELECT min_by(s_name, s_suppkey) FROM supplier) AS other")(
     lambda t: sync.volume_of(volumes(t), "5").select(F.col("volume_uuid").alias("uuid")).join(F.broadcast(sync.volume_of(volumes(t), "none").select(F.col("volume_uuid").alias("other"))))  # one row each
 )
 
