@@ -241,11 +241,13 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         near = both.join(labels.withColumnRenamed("node", "other"), "other")
         near = near.groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
+        # a table of its own: Spark splits a label of very many nodes in a join of two exchanges, not below an aggregate
+        lower = scratch.keep(lower, "lower")
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = lower.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"), "was")
         moved = scratch.keep(moved, "moved")
         changed = moved.filter("label <> was").limit(1).count()
-        scratch.drop(labels)
+        scratch.drop(labels, lower)
         labels = moved
         if not changed:
             scratch.drop(both)
