@@ -467,11 +467,12 @@ def linked(scratch: Scratch, docs: DataFrame, percent: int, size: int, bits: int
     # rounded to a power of two, so that few distinct allocations arise
     counts = {r["band"]: 1 << int(r["count"]).bit_length() for r in per_band.toLocalIterator()}
     found = scratch.keep(lists(packed_signatures(docs, size, nodes, percent, partitions * BUCKETS, counts, top), partitions), "lists")
-    listed = found.select(F.explode("nodes").alias("node")).distinct()
+    # a table of its own, for a node that very many copies have
+    listed = scratch.keep(found.select(F.explode("nodes").alias("node")).distinct(), "listed")
     maps = members.join(listed, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("n_shingles").alias("size"))
     maps = scratch.keep(maps.filter("doc_id is not null"), "maps")
     slim = scratch.keep(members.drop("bits"), "members")
-    scratch.drop(first)
+    scratch.drop(first, listed)
 
     def elements(batches):
         for _, sets in shingled(batches, size):
