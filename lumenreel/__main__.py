@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenreel.functions.paths import last_component
 from lumenreel.functions.text import compose_text, timecode
 from lumenreel.operators import embedding, facets, search, segments, sync
 from lumenreel.sources import files, mock, text_index
@@ -61,7 +62,7 @@ def indexed(spark: SparkSession, root: str, folder: str) -> DataFrame:
     new = scan.join(videos.select("file_path"), "file_path", "left_anti")
     hashes = files.hashed_files(spark, folder)
     rows = new.join(hashes, "file_path", "left").withColumn("source_video_id", F.monotonically_increasing_id() + last + 1)
-    rows = rows.select(F.xxhash64(F.lit(folder), "source_video_id").alias("video_id"), F.lit(folder).alias("source_folder"), "source_video_id", "file_path", files.last_component(F.col("file_path")).alias("file_name"), F.col("size").alias("file_size"), "file_hash")
+    rows = rows.select(F.xxhash64(F.lit(folder), "source_video_id").alias("video_id"), F.lit(folder).alias("source_folder"), "source_video_id", "file_path", last_component(F.col("file_path")).alias("file_name"), F.col("size").alias("file_size"), "file_hash")
     versioned(spark, root, "videos", videos.unionByName(rows, allowMissingColumns=True))
     index = clip_index(spark, root)
     index.build(searchable(files.open_table(spark, root, "clips")))
